@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 #: Runs of text remembered by a worker in each of two generations, which bounds its memory for any corpus.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 CACHE_WORD_CHARS = 64
 
 
