@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, html, langid, urls
 from .common import table
 
 
@@ -18,6 +18,36 @@ def tokenizer_path(spark: SparkSession) -> str:
     return spark.conf.get("spark.tessera.tokenizer.path", None) or public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+#: Domains that are blocked where no rule fits.
+BLOCKED_DOMAINS = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocked = spark.createDataFrame([(x,) for x in BLOCKED_DOMAINS], "key string")
+    judged = urls.judge(spark, table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, blocked)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op2_sql() -> str:
+    fits = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
+    rules = sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1])))
+    rule = " ".join(f"when {fits.format(h=h, p=p)} then '{h}{p}'" for _, h, p in rules)
+    action = " ".join(f"when rule = '{h}{p}' then '{a}'" for a, h, p in rules)
+    domain = " or ".join(f"host = '{d}' or ends_with(host, '.{d}')" for d in BLOCKED_DOMAINS)
+    part = "coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', {}), '')"
+    host = f"translate({part.format(1)}, '{urls.UPPER}', '{urls.LOWER}')"
+    return f"""
+        with parts as (select page_id, {host} as host, {part.format(2)} as path from pages),
+        ruled as (select *, case {rule} end as rule from parts)
+        select page_id, host, path, rule, case {action} when {domain} then 'block' else 'allow' end as verdict from ruled"""
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -30,8 +60,20 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~out))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_url_filter": op2_url_filter,
     "op4_bpe": op4_bpe,
+    "op5_language_id": op5_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": _op2_sql(),
+}
