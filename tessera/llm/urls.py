@@ -157,7 +157,8 @@ def build(ws: Workspace, urls: DataFrame, keys: Column, sets: dict[str, DataFram
             first[name] = make_level(listed[name], sizes[name], 0, min(0.5, sizes[name] * math.sqrt(0.5) / universe), max_bits)
     out = {name: Cascade([]) for name in sets}
     for name, level in first.items():
-        wrong = urls.select(F.explode(F.filter(F.arrays_zip(keys.alias("c"), flags(level, keys).alias("f")), lambda x: x["f"])).alias("x")).select("x.c.key").distinct()
+        tested = urls.withColumn("c", keys).withColumn("f", flags(level, F.col("c")))
+        wrong = tested.select(F.explode(F.filter(F.arrays_zip("c", "f"), lambda x: x["f"])).alias("x")).select("x.c.key").distinct()
         wrong = wrong.join(listed[name], "key", "left_anti").select("key", *(h.alias(f"h{i}") for i, h in enumerate(hashes(F.col("key")), 1)))
         inner, outer = ws.save(wrong, f"wrong-{name}"), listed[name]
         levels = [level]
@@ -191,9 +192,15 @@ def judge(spark: SparkSession, df: DataFrame, rules: Sequence[tuple[str, str, st
     out = parts.withColumn("__keys", keys)
     for name, cascade in cascades.items():
         out = out.withColumn(f"__{name}", flags(cascade, F.col("__keys")))
-    rank = lambda allow: lambda x: F.struct(F.char_length(x["__keys"]["key"]).alias("n"), x["__keys"]["n_host"].alias("h"), F.lit(allow).alias("allow"), x["__keys"]["key"].alias("key"))
-    hits = [F.transform(F.filter(F.arrays_zip("__keys", f"__{a}"), lambda x, a=a: x[f"__{a}"]), rank(a == "allow")) for a in ("allow", "block")]
-    best = F.array_max(F.concat(*hits))
+
+    def hits(action: str) -> Column:
+        flag = f"__{action}"
+        return F.transform(
+            F.filter(F.arrays_zip("__keys", flag), lambda x: x[flag]),
+            lambda x: F.struct(F.char_length(x["__keys"]["key"]).alias("n"), x["__keys"]["n_host"].alias("h"), F.lit(action == "allow").alias("allow"), x["__keys"]["key"].alias("key")),
+        )
+
+    best = F.array_max(F.concat(hits("allow"), hits("block")))
     # a domain is a candidate with an empty path prefix
     domain = F.exists(F.arrays_zip("__keys", "__domain"), lambda x: x["__domain"] & (F.char_length(x["__keys"]["key"]) == x["__keys"]["n_host"]))
     out = out.withColumn("__best", best).withColumn("rule", F.col("__best.key"))
