@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ class Workspace:
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about SLICE_BYTES of one text or binary column; a longer row is a run of its own."""
     col = batch.column(column)
-    sizes = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > SLICE_BYTES:

@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -140,7 +141,7 @@ def flags(cascade: Cascade | Level, keys: Column) -> Column:
     def test(h1: pa.Array, h2: pa.Array) -> pa.Array:
         ask = cascade.listed if isinstance(cascade, Cascade) else cascade.passes
         found = ask(as_uint(h1.flatten()), as_uint(h2.flatten()))
-        sizes = pa.compute.list_value_length(h1).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(h1).fill_null(0).to_numpy(zero_copy_only=False)
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(found))
 
     return test(F.transform(keys, lambda k: hashes(k["key"])[0]), F.transform(keys, lambda k: hashes(k["key"])[1]))
