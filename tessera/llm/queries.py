@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, langid, lines, mixing, neardup, urls
+from . import bpe, html, langid, lines, media, mixing, neardup, urls
 from .common import table
 
 
@@ -48,6 +48,10 @@ def _op2_sql() -> str:
         select page_id, host, path, rule, case {action} when {domain} then 'block' else 'allow' end as verdict from ruled"""
 
 
+def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.chunked_media(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -123,6 +127,7 @@ OP8_SQL = """
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_url_filter": op2_url_filter,
+    "op3_media_chunks": op3_media_chunks,
     "op4_bpe": op4_bpe,
     "op5_language_id": op5_language_id,
     "op6_near_dedup": op6_near_dedup,
