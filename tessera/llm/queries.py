@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, langid, lines, media, mixing, neardup, urls
+from . import bpe, embeddings, html, langid, lines, media, mixing, neardup, urls
 from .common import table
 
 
@@ -123,6 +123,10 @@ OP8_SQL = """
     from placed"""
 
 
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_url_filter": op2_url_filter,
@@ -132,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_dedup": op6_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
+    "op10_near_vectors": op10_near_vectors,
 }
 
 ORACLES: dict[str, str] = {
