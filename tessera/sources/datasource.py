@@ -141,5 +141,6 @@ class RasterFile(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # for the equality on page
     for s in (source("gif", RasterReader), source("tiff", TiffReader), source("bmp", BmpReader), RasterFile):
         spark.dataSource.register(s)
