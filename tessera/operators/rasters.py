@@ -84,6 +84,11 @@ def nearest(colours: DataFrame, channels: Sequence[str], palette: Sequence[Seque
     return colours.withColumn(out, F.array_min(F.transform(entries, distance))["i"])
 
 
+def map_colours(pixels: DataFrame, channels: Sequence[str], palette: Sequence[Sequence[int]], out: str = "i") -> DataFrame:
+    """Nearest entries of all pixels: each distinct colour is matched once, then joined back."""
+    return pixels.join(nearest(pixels.select(*channels).distinct(), channels, palette, out), list(channels))
+
+
 def palette_lookup(pixels: DataFrame, index: str, local: DataFrame, common: DataFrame | None, image: Sequence[str], columns: Sequence[str], default: int | None = None) -> DataFrame:
     """Colours of indices from the image's own palette, else the common one, else the default.
 
@@ -183,6 +188,11 @@ def quality(pairs: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> Data
     return pairs.groupBy(*group).agg(F.when(mse > 0, 10 * F.log10(255.0 * 255.0 / mse)).alias("psnr"), F.max(F.abs(d)).alias("max_diff"), F.avg(F.abs(d)).alias("mean_diff"))
 
 
+def any_pixel(pixels: DataFrame, predicates: dict[str, Column], group: Sequence[str]) -> DataFrame:
+    """Whether some pixel of each group meets each named predicate."""
+    return pixels.groupBy(*group).agg(*(F.bool_or(p).alias(name) for name, p in predicates.items()))
+
+
 # --- tags and strips --------------------------------------------------------------------------------
 
 
@@ -229,3 +239,31 @@ def locate_chunks(chunks: DataFrame, tags: DataFrame) -> DataFrame:
 def first_error(chunks: DataFrame, group: Sequence[str]) -> DataFrame:
     """The error of the first strip or tile that has one."""
     return chunks.where("error is not null").groupBy(*group).agg(F.min_by("error", "idx").alias("error"))
+
+
+def assemble(chunks: DataFrame, pages: DataFrame, group: Sequence[str] = ("path", "page")) -> DataFrame:
+    """(group, samples) of planes put together from their strips or tiles; what is missing stays zero.
+
+    chunks has the group, plane, x0, y0, width, rows and data (64-bit little-endian
+    codes, row by row); pages has the group, width, height and channels. A page's
+    pieces meet in one task, so pages that are too large for that stay as pieces.
+    """
+    pieces = chunks.where("data is not null").groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("y0", "x0", "plane", "width", "rows", "data"))).alias("pieces"))
+    rows = pages.select(*group, "width", "height", "channels").join(pieces, list(group), "left")
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in group), "samples binary"])
+
+    def build(batches):
+        for batch in batches:
+            out = []
+            for width, height, channels, pieces_ in zip(*batch.columns[len(group) :], strict=True):
+                width, height, channels = width.as_py(), height.as_py(), channels.as_py()
+                page = np.zeros((height, width, channels), "<i8")
+                for p in pieces_.as_py() or []:
+                    data = np.frombuffer(p["data"], "<i8").reshape(p["rows"], p["width"], -1)
+                    h, w = min(p["rows"], height - p["y0"]), min(p["width"], width - p["x0"])
+                    at = slice(p["plane"], p["plane"] + 1) if data.shape[2] < channels else slice(None)
+                    page[p["y0"] : p["y0"] + h, p["x0"] : p["x0"] + w, at] = data[:h, :w]
+                out.append(page.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(group)], pa.array(out, pa.binary())], [*group, "samples"])
+
+    return rows.mapInArrow(build, schema)

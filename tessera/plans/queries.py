@@ -117,6 +117,22 @@ def nearest_palette(spark, sf_dir):
     return R.nearest(s.select(F.col("s").alias("r"), (255 - F.col("s")).alias("g"), P.idiv(F.col("s"), 2).alias("b")), ["r", "g", "b"], PALETTE)
 
 
+@query("with $RASTER, palette(i, r, g, b) as (values " + ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(PALETTE)) + """),
+    d as (select y, x, i, (s - p.r) * (s - p.r) + (255 - s - p.g) * (255 - s - p.g) + (s // 2 - p.b) * (s // 2 - p.b) as d from raster, palette p)
+    select y, x, arg_min(i, d * 256 + i)::bigint as i from d group by y, x""")
+def map_colours(spark, sf_dir):
+    s = F.col("s")
+    px = raster(spark, sf_dir).select("y", "x", s.alias("r"), (255 - s).alias("g"), P.idiv(s, 2).alias("b"))
+    return R.map_colours(px, ["r", "g", "b"], PALETTE).select("y", "x", "i")
+
+
+@query("with $RASTER select y // 64 as tile, bool_or(s = 0) as clear, bool_or(s < 128) as needs_transparent, bool_or(s > 200) as bright from raster group by y // 64")
+def any_pixel(spark, sf_dir):
+    s = F.col("s")
+    px = raster(spark, sf_dir).select(P.idiv(F.col("y"), 64).alias("tile"), "s")
+    return R.any_pixel(px, {"clear": s == 0, "needs_transparent": s < 128, "bright": s > 200}, ["tile"])
+
+
 @query("with $RASTER select count(distinct s) as colours, label from raster group by label")
 def distinct_colours(spark, sf_dir):
     return R.distinct_colours(raster(spark, sf_dir), ["s"], ["label"])
@@ -346,6 +362,17 @@ def tiff_crop(spark, sf_dir):
     return exploded(images, F.col("data"), 8)
 
 
+@query("with $RASTER select y, x, s from raster")
+def assembled_strips(spark, sf_dir):
+    """Strips decoded one by one, as for pages larger than a task, and put together again."""
+    files = tiff_files(spark, sf_dir)
+    places = readers.chunks(files)
+    data = readers.chunk_pixels(files, places).select("path", "page", "idx", "data")
+    pages = files.select("path", F.lit(0).alias("page"), "width", "height", F.lit(1).alias("channels"))
+    whole = R.assemble(places.drop("error").join(data, ["path", "page", "idx"]), pages)
+    return exploded(whole.join(files.select("path", "ys", "width"), "path"), F.col("samples"), 8)
+
+
 @query("with $RASTER select y, x, s from raster")
 def tiff_roundtrip(spark, sf_dir):
     files = tiff_files(spark, sf_dir)

@@ -71,6 +71,13 @@ def test_scan_of_headers_has_no_pixels_in_its_plan(spark, folder):
     assert "content" not in plan.split("Physical Plan")[1] and "LessThan(length,10)" in plan
 
 
+def test_bitmaps_equal_those_of_the_image_source(spark, folder):
+    path, image = folder
+    row = spark.read.format("image").load(f"{path}/a.bmp").select("image.*").first()
+    theirs = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels)[..., 2::-1]
+    assert (theirs == image[..., :3]).all()
+
+
 def test_data_sources(spark, folder):
     path, image = folder
     datasource.register(spark)
