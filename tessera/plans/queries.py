@@ -412,7 +412,11 @@ BYTES_SQL = "select doc_id, octet_length(encode(text))::bigint as n, md5(text) a
 
 def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.encode("text", "utf-8")
-    return table(spark, sf_dir, "documents").select("doc_id", data.alias("data"), F.octet_length(data).alias("size"))
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a codec is worth a shuffle only where few files would leave cores idle
+        docs = docs.select("doc_id", "text").repartition(cores)
+    return docs.select("doc_id", data.alias("data"), F.octet_length(data).alias("size"))
 
 
 def summary(rows: DataFrame, data: str) -> DataFrame:
