@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embeddings, html, langid, lines, media, mixing, neardup, substrings, urls
-from .common import table
+from .common import spread, table
 
 
 def tokenizer_path(spark: SparkSession) -> str:
@@ -19,7 +19,7 @@ def tokenizer_path(spark: SparkSession) -> str:
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = html.extract(table(spark, sf_dir, "pages"))
+    pages = html.extract(spread(table(spark, sf_dir, "pages")))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
@@ -49,12 +49,12 @@ def _op2_sql() -> str:
 
 
 def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.chunked_media(table(spark, sf_dir, "documents"))
+    return media.chunked_media(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return bpe.round_trip(docs, path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -67,11 +67,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.held_out(F.col("doc_id"))
     model = langid.fit(docs.where(~out))
-    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+    return langid.predict(spread(docs.select("doc_id", "text")), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ OP8_SQL = """
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substrings.remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
