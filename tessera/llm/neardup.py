@@ -43,6 +43,8 @@ WORDS, COORDINATES, BAND = 5, 512, 7
 PERCENT = 75
 #: Pairs with fewer equal signature bits are not compared: at similarity 0.75, 448 of 512 bits are equal with a deviation of 7.5.
 EQUAL_BITS = 408
+#: One in so many buckets takes part in the first round.
+FIRST_SHARE = 8
 #: Pivots of a bucket in its second round; in each later one so many times more.
 PIVOTS = 16
 
@@ -210,11 +212,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     state = members.select("bucket", "rep").join(known, "rep").withColumn("component", F.col("rep"))
     labels: DataFrame | None = None
     edges: DataFrame | None = None
-    for k in range(1, 40):
-        if labels is None:
-            active = ws.save(state, "active-1")
-            pivots = active.groupBy("bucket").agg(F.max(F.struct(F.col("degree"), (-F.col("rep")).alias("order"), "rep", "n", "bits")).alias("p"))
-            pivots = pivots.select("bucket", F.col("p.rep").alias("b"), F.col("p.n").alias("nb"), F.col("p.bits").alias("bits_b"), F.col("p.rep").alias("cb"))
+    for k in range(40):
+        if k < 2:
+            # first a share of the buckets, which connects most of a large group; then all of them, for who is left
+            active = ws.save(state, "active-0").where(F.pmod("bucket", F.lit(FIRST_SHARE)) == 0) if k == 0 else ws.save(state, "active-1")
+            pivots = active.groupBy("bucket").agg(F.max(F.struct(F.col("degree"), (-F.col("rep")).alias("order"), "rep", "n", "bits", "component")).alias("p"))
+            pivots = pivots.select("bucket", F.col("p.rep").alias("b"), F.col("p.n").alias("nb"), F.col("p.bits").alias("bits_b"), F.col("p.component").alias("cb"))
         else:
             parts = state.groupBy("bucket", "component").agg(F.count("*").alias("c"))
             largest = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("m")).where("parts > 1").select("bucket", F.col("m.component").alias("largest"))
@@ -232,8 +235,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         edges = new if edges is None else edges.union(new)
         if labels is None or new.limit(1).count():
             labels = components(ws, edges, f"labels-{k}")
-        state = active.select("bucket", "rep", "n", "degree", "bits").join(pivots.select("bucket", F.col("b").alias("rep")), ["bucket", "rep"], "left_anti")
-        state = state.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        if k == 0:
+            state = ws.spark.read.schema(state.schema).parquet(f"{ws.path}/active-0")
+        else:
+            state = active.join(pivots.select("bucket", F.col("b").alias("rep")), ["bucket", "rep"], "left_anti")
+        state = state.select("bucket", "rep", "n", "degree", "bits").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     else:
         raise RuntimeError("buckets were not worked off")
     named = classes.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
