@@ -12,8 +12,8 @@ stretch: its bytes are hashed as a whole.
    them windows are compared one by one. One copy of each stretch under such a
    hash is sent, in bytes, to the task of its hash, where the hashes of all
    windows are sorted. Where more than ``most`` stretches share an anchor hash,
-   hashes of windows are counted by Spark instead, which combines them before
-   the shuffle, so that no task holds a group of unbounded size.
+   their window hashes are dealt into as many parts by hash as keep each of one
+   size, so that no task holds a group of unbounded size.
 4. Covered positions of a document are merged and removed at once.
 
 Hashes have 64 bits under a 64-bit anchor hash; whatever is found is checked
@@ -40,7 +40,7 @@ from .common import Workspace, map_slices
 from .neardup import _BYTE, _POWERS, mix
 
 LENGTH, GRAM = 200, 48
-MOST = 20_000
+MOST = 300
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
@@ -239,21 +239,53 @@ def singles(sent: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "rid long, a int, b int")
 
 
-def counted(sent: DataFrame, length: int) -> DataFrame:
-    """The same for keys with any number of stretches: window hashes are counted by Spark."""
+def in_parts(sent: DataFrame, length: int, per_part: int) -> DataFrame:
+    """(rid, starts) of the same for keys with any number of stretches; starts packs the windows found.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The window hashes of a key are dealt by hash into as many parts as it has
+    per_part stretches, so a part stays of one size however many documents share
+    a passage. Tasks hand a part its hashes in packed rows, not one by one.
+    """
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                key, rid, n, place, body = (col.slice(k, 2048) for col in batch.columns)
-                if len(body):
-                    h, owner, window = window_hashes(body.to_pylist(), length)
-                    key, rid, n, place = (x.to_numpy(zero_copy_only=False) for x in (key, rid, n, place))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[owner], h.view(np.int64), rid[owner], n[owner], (place >> 16)[owner] + window)], ["key", "h", "rid", "n", "start"])
+            for k in range(0, batch.num_rows, 1024):
+                key, rid, n, place, stretches_, body = (col.slice(k, 1024) for col in batch.columns)
+                if not len(body):
+                    continue
+                h, owner, window = window_hashes(body.to_pylist(), length)
+                key, rid, n, place, group = (x.to_numpy(zero_copy_only=False) for x in (key, rid, n, place, stretches_))
+                part = (h % ((group + per_part - 1) // per_part).astype(np.uint64)[owner]).astype(np.int32)
+                order = np.lexsort((part, key[owner]))
+                owner, h, part, start = owner[order], h[order], part[order], ((place >> 16)[owner] + window)[order]
+                # a stretch that stands for several counts twice, under a row id of its own that is never reported
+                many = n[owner] > 1
+                first = np.flatnonzero(np.concatenate([[True], (key[owner][1:] != key[owner][:-1]) | (part[1:] != part[:-1])]))
+                ends = np.append(first[1:], len(h))
+                code = np.where(many, -1, start).astype(np.int32)
+                out = [(key[owner[i]], part[i], h[i:j].tobytes(), rid[owner[i:j]].tobytes(), code[i:j].tobytes()) for i, j in zip(first, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "part", "h", "rids", "starts"])
+
+    def match(table: pa.Table) -> pa.Table:
+        h = np.frombuffer(b"".join(table.column("h").to_pylist()), np.uint64)
+        rid = np.frombuffer(b"".join(table.column("rids").to_pylist()), np.int64)
+        start = np.frombuffer(b"".join(table.column("starts").to_pylist()), np.int32)
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        twice = np.zeros(len(h), bool)
+        twice[order[1:]] |= same
+        twice[order[:-1]] |= same
+        # a hash met by a stretch that stands for several is repeated by itself; such stretches are not reported
+        twice &= start >= 0
+        at = np.flatnonzero(twice)
+        at = at[np.lexsort((start[at], rid[at]))]
+        first = np.flatnonzero(np.concatenate([[True], rid[at][1:] != rid[at][:-1]])) if len(at) else np.zeros(0, np.int64)
+        ends = np.append(first[1:], len(at))[: len(first)]
+        return pa.table({"rid": pa.array(rid[at[first]], pa.int64()), "starts": pa.array([start[at[i:j]].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())})
 
-    rows = sent.select("key", "rid", "n", "place", "body").mapInArrow(run, "key long, h long, rid long, n long, start long")
-    twice = rows.groupBy("key", "h").agg(F.sum("n").alias("times")).where("times > 1").select("key", "h")
-    return rows.where("n = 1").join(twice, ["key", "h"]).select("rid", F.col("start").cast("int").alias("a"), (F.col("start") + length).cast("int").alias("b"))
+    rows = sent.select("key", "rid", "n", "place", "stretches", "body").mapInArrow(pack, "key long, part int, h binary, rids binary, starts binary")
+    return rows.groupBy("key", "part").applyInArrow(match, "rid long, starts binary")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
@@ -275,11 +307,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     state = ws.save(applied(docs, notes, doc_id, text, length), "state")
     ws.drop("met")
     sent = state.where("kind = 'stretch'").select("key", "rid", "n", "place", "body")
-    hot = send.where(F.col("stretches") > most).select("key").distinct()
+    hot = send.where(F.col("stretches") > most).select("key", "stretches").distinct()
     few = sent.join(hot, "key", "left_anti")
-    some = singles(few, length).union(counted(sent.join(hot, "key", "left_semi"), length))
-    more = some.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("more"))
-    waiting = state.where("kind = 'wait'").join(more, "rid", "left").select("doc_id", "n_bytes", "spans", "more", "body")
+    more = singles(few, length).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("more"))
+    hits = in_parts(sent.join(hot, "key"), length, most).groupBy("rid").agg(F.collect_list("starts").alias("hits"))
+    waiting = state.where("kind = 'wait'").join(more, "rid", "left").join(hits, "rid", "left").select("doc_id", "n_bytes", "spans", "more", "hits", "body")
     kind = waiting.schema["doc_id"].dataType.simpleString()
 
     def step():
@@ -287,8 +319,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for n, spans, more, body in zip(*(col.to_pylist() for col in batch.columns[1:]), strict=True):
+            for n, spans, more, hits, body in zip(*(col.to_pylist() for col in batch.columns[1:]), strict=True):
                 pairs = list(zip(spans[::2], spans[1::2], strict=True)) + [(m["a"], m["b"]) for m in more or []]
+                pairs += [(a, a + length) for starts in hits or [] for a in np.frombuffer(starts, np.int32).tolist()]
                 gone, runs, kept = without(expand.decompress(body), merge(pairs))
                 out.append((n, gone, runs, hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*out, strict=True))
