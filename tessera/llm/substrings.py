@@ -16,8 +16,9 @@ stretch: its bytes are hashed as a whole.
    size, so that no task holds a group of unbounded size.
 4. Covered positions of a document are merged and removed at once.
 
-Hashes have 64 bits under a 64-bit anchor hash; whatever is found is checked
-against the document's bytes before it counts.
+Equality rests on 64-bit hashes under a 64-bit anchor hash. A note on a stretch
+counts only where the document's bytes there have the stretch's hash, so rows
+whose ids collide do no harm.
 
 A null or empty text, or one shorter than ``length``, has nothing to remove.
 Texts of any length are read whole. Rows with the same id and text are separate
