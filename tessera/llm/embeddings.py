@@ -1,23 +1,31 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
-Codes: vectors are centred and rotated by a rotation learned on a bounded sample
-(``sample_rows``): alternately the signs of the rotated sample are taken as codes
-and the rotation is fitted to them (orthogonal Procrustes). Every vector's signs
-are its code of as many bits as it has components.
-
-Tables: each table is keyed by ``key_bits`` bits of the code. Vectors of a label
-that share a key in some table are candidates, and every candidate pair is
-reranked with the original vectors in double precision: links are exactly those
-candidates with cosine >= ``least``. With 20 tables of 16 bits, a pair at cosine
-0.98 (4 of 64 bits differ on average) is missed with probability (1 - 0.94 ** 16)
-** 20, under one in a thousand; closer pairs less.
-
-Equal vectors of a label are one class; only classes enter the tables. A table's
-cell is dealt in blocks of ``block`` classes, and pairs of blocks are compared as
-matrices, so a task never holds more than two blocks, whatever a cell's size. A
-pair that meets in several tables is counted in the first. Links between classes
-are counted, not listed: for components each pair of blocks gives every linked
-class with one class of its component there.
+Codes: unit vectors are centred and rotated by a rotation learned on a bounded
+sample (``sample_rows``): of the sample's principal components, at most
+``tables`` * ``key_bits``, alternately the signs are taken as codes and the
+rotation is fitted to them (orthogonal Procrustes). The signs are the code.
+
+Tables: the code is dealt into ``tables`` disjoint parts of at most ``key_bits``
+bits. A pair at cosine >= least has a squared distance of at most e = 2 - 2 *
+least, which neither centring nor rotation changes and dropped components only
+lessen, so in some part it is at most e / tables. Where a bit of that part
+differs, the two components lie on either side of zero, so the squares of both
+vectors' components at those bits sum to at most e / tables, and those of one of
+the two to at most half of that. Each vector therefore looks into the cells of
+all keys that it reaches by turning bits whose squared components sum to at most
+half of e / tables, and finds every partner that does not find it: retrieval is
+exact for every pair, whatever the data. A vector with more than ``probes`` such
+keys looks by the first 12, 8, 4 or no bits of the part, into the cells of that
+level. Candidates are reranked with the original vectors in double precision.
+
+Equal vectors of a label are one class; only classes enter the tables. Small
+cells are compared many to a task; a cell of more than ``block`` rows is dealt
+in blocks, and blocks of looking and of lying classes are compared as matrices,
+so a task never holds more than two blocks of a cell, whatever its size. A pair
+that meets several times is counted in the first table, and there for the
+looking class with the lower number. Links between classes are counted, not
+listed: for components each task gives every linked class with one class of its
+component there.
 
 Vectors that are null or zero or hold null or non-finite components, and rows
 without a label, link with nothing. Vectors of different lengths are not
@@ -38,29 +46,84 @@ from pyspark.sql.functions import arrow_udf
 from .common import Workspace, components
 
 SAMPLE_ROWS, ITERATIONS = 4000, 30
-TABLES, KEY_BITS, BLOCK = 20, 16, 1024
+TABLES, KEY_BITS, PROBES, BLOCK = 4, 16, 64, 1024
+#: Bits between two levels of a table.
+STEP = 4
+#: Squared components are compared as integers, so that every task decides alike.
+SCALE = 1 << 30
 
 
 class Quantiser:
-    """Mean, rotation and the code bits of each table for vectors of one length."""
+    """Mean, rotation and tables of code bits for vectors of one length."""
 
-    def __init__(self, sample: np.ndarray, tables: int, key_bits: int, iterations: int = ITERATIONS):
+    def __init__(self, sample: np.ndarray, least: float, tables: int, key_bits: int, probes: int, iterations: int = ITERATIONS):
         n = sample.shape[1]
         rng = np.random.default_rng(7)
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         self.mean = unit.mean(axis=0)
-        self.rotation = np.linalg.qr(rng.standard_normal((n, n)))[0]
         x = unit - self.mean
+        bits = min(n, tables * key_bits)
+        main = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :bits]
+        x = x @ main
+        rotation = np.linalg.qr(rng.standard_normal((bits, bits)))[0]
         for _ in range(iterations):
-            u, _, v = np.linalg.svd(np.where(x @ self.rotation >= 0, 1.0, -1.0).T @ x)
-            self.rotation = (u @ v).T
-        self.picks = [np.sort(rng.permutation(n)[: min(n, key_bits)]) for _ in range(tables)]
-
-    def keys(self, vectors: np.ndarray) -> np.ndarray:
-        """(rows, tables) keys."""
+            u, _, v = np.linalg.svd(np.where(x @ rotation >= 0, 1.0, -1.0).T @ x)
+            rotation = (u @ v).T
+        self.rotation = main @ rotation
+        self.parts = np.array_split(rng.permutation(bits), max(1, min(tables, bits // STEP)))
+        self.levels = [sorted({*range(0, len(p), STEP), len(p)}) for p in self.parts]
+        self.probes = probes
+        # rounding of the double arithmetic and of the stored components is far below the margin
+        self.limit = int(((2 - 2 * least) / len(self.parts) / 2 * (1 + 1e-5) + 1e-7) * SCALE)
+
+    def components(self, vectors: np.ndarray) -> np.ndarray:
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        bits = ((unit - self.mean) @ self.rotation >= 0).astype(np.int64)
-        return np.stack([bits[:, p] @ (1 << np.arange(len(p))) for p in self.picks], axis=1)
+        return ((unit - self.mean) @ self.rotation).astype(np.float32)
+
+    @staticmethod
+    def squares(y: np.ndarray) -> np.ndarray:
+        return np.floor(y.astype(np.float64) ** 2 * SCALE).astype(np.int64)
+
+    def spots(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, parts) levels at which each row looks, and (row, spot) in row order: where it lies (even) and looks (odd)."""
+        levels = np.zeros((len(y), len(self.parts)), np.int32)
+        rows, spots = [], []
+        for t, part in enumerate(self.parts):
+            code, square = (y[:, part] >= 0).astype(np.int64), self.squares(y[:, part])
+            home = np.zeros(len(y), np.int64)
+            row, key, cost = np.arange(len(y)), np.zeros(len(y), np.int64), np.zeros(len(y), np.int64)
+            done, left = 0, None
+            for level in self.levels[t]:
+                for j in range(done, level):
+                    home |= code[:, j] << j
+                    key |= code[row, j] << j
+                    turned = cost + square[row, j]
+                    fits = np.flatnonzero(turned <= self.limit)
+                    row, key, cost = np.concatenate([row, row[fits]]), np.concatenate([key, key[fits] ^ (1 << j)]), np.concatenate([cost, turned[fits]])
+                done = level
+                base = (t * 64 + level) << 33
+                rows.append(np.arange(len(y)))
+                spots.append(base | home << 1)
+                few = np.bincount(row, minlength=len(y)) <= self.probes
+                if left is not None:  # rows with too many keys here look by the level before
+                    stay = ~few[left[0]]
+                    rows.append(left[0][stay])
+                    spots.append(left[1][stay])
+                keep = few[row]
+                row, key, cost = row[keep], key[keep], cost[keep]
+                levels[row, t] = level
+                left = row, base | key << 1 | 1
+            rows.append(left[0])
+            spots.append(left[1])
+        row, spot = np.concatenate(rows), np.concatenate(spots)
+        order = np.argsort(row, kind="stable")
+        return levels, row[order], spot[order]
+
+    def sees(self, t: int, y: np.ndarray, levels: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether the vectors with components y, looking at the given levels, find the others in table t."""
+        part = self.parts[t]
+        differ = ((y[:, part] >= 0) != (other[:, part] >= 0)) & (np.arange(len(part)) < levels[:, t, None])
+        return (self.squares(y[:, part]) * differ).sum(axis=1) <= self.limit
 
 
 def usable(vector: str) -> F.Column:
@@ -74,42 +137,58 @@ def rows_of(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def fit(classes: DataFrame, tables: int, key_bits: int, sample_rows: int) -> dict[int, Quantiser]:
+def fit(classes: DataFrame, least: float, tables: int, key_bits: int, probes: int, sample_rows: int) -> dict[int, Quantiser]:
     """A quantiser for each vector length, from the sample_rows classes with the least hashes."""
     order = Window.partitionBy("dim").orderBy(F.xxhash64("class"), "class")
     sample = classes.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_rows).select("dim", "v").collect()
     by: dict[int, list] = {}
     for r in sample:
         by.setdefault(r.dim, []).append(r.v)
-    return {d: Quantiser(np.array(v, np.float64), tables, key_bits) for d, v in by.items()}
+    return {d: Quantiser(np.array(v, np.float64), least, tables, key_bits, probes) for d, v in by.items()}
 
 
-CELL = ["label", "dim", "tab", "key"]
+CELL = ["label", "dim", "spot"]
 
 
-def cells(classes: DataFrame, quantisers: dict[int, Quantiser]) -> DataFrame:
-    """Each class in each table: label, dim, tab and key name its cell."""
+def coded(classes: DataFrame, quantisers: dict[int, Quantiser]) -> DataFrame:
+    """Each class with a number, its components, the levels at which it looks and its spots."""
 
-    @arrow_udf("array<int>")
-    def keys(dims: pa.Array, vectors: pa.Array) -> pa.Array:
+    @arrow_udf("struct<y array<float>, levels array<int>, spots array<long>>")
+    def code(dims: pa.Array, vectors: pa.Array) -> pa.Array:
         out: list = [None] * len(dims)
         d = dims.to_numpy(zero_copy_only=False)
         for dim in np.unique(d):
             where = np.flatnonzero(d == dim)
-            for i, row in zip(where, quantisers[int(dim)].keys(rows_of(vectors.take(pa.array(where)))), strict=True):
-                out[i] = row
-        return pa.array(out, pa.list_(pa.int32()))
+            q = quantisers[int(dim)]
+            y = q.components(rows_of(vectors.take(pa.array(where))))
+            levels, row, spot = q.spots(y)
+            for i, a, b, c in zip(where, y, levels, np.split(spot, np.searchsorted(row, np.arange(1, len(where)))), strict=True):
+                out[i] = {"y": a, "levels": b, "spots": c}
+        return pa.array(out, pa.struct([("y", pa.list_(pa.float32())), ("levels", pa.list_(pa.int32())), ("spots", pa.list_(pa.int64()))]))
 
-    keyed = classes.withColumn("keys", keys("dim", "v"))
-    return keyed.select("*", F.posexplode("keys").alias("tab", "key"))
+    return classes.withColumn("code", code("dim", "v")).select("*", "code.*").drop("code").withColumn("number", F.monotonically_increasing_id())
 
 
 def blocked(found: DataFrame, block: int) -> DataFrame:
-    """Rows of each cell copied to the pairs of blocks (i <= j) that they take part in; cells of one class are left out."""
-    sizes = found.groupBy(*CELL).agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    rows = found.join(sizes, CELL).withColumn("mine", F.pmod(F.xxhash64(F.lit("block"), "class"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(*CELL, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class", "n", "v", "keys")
+    """Rows of each cell, copied to the pairs of blocks (i looks, j lies) that they take part in; cells without a pair are left out."""
+    used = found.select("dim", F.posexplode("levels").alias("tab", "level")).distinct().collect()
+    levels = F.array(*[F.lit(r.dim << 16 | r.tab * 64 + r.level).cast("long") for r in used]) if used else F.array().cast("array<long>")
+    spots = found.select("number", "label", "dim", F.explode("spots").alias("at")).withColumn("looks", F.col("at").bitwiseAND(1) == 1).withColumn("spot", F.shiftright("at", 1))
+    # nobody looks at the other levels
+    spots = spots.where(F.col("looks") | F.array_contains(levels, F.shiftleft(F.col("dim").cast("long"), 16).bitwiseOR(F.shiftright("spot", 32)))).drop("at")
+    looking = F.sum(F.col("looks").cast("int"))
+    sizes = spots.groupBy(*CELL).agg(looking.alias("p"), (F.count("*") - looking).alias("h"), F.min("number").alias("low"), F.max("number").alias("high"))
+    sizes = sizes.where("p > 0 and h > 0 and low < high").withColumn("ps", F.ceil(F.col("p") / block).cast("int")).withColumn("hs", F.ceil(F.col("h") / block).cast("int")).drop("low", "high")
+    rows = spots.join(sizes, CELL)
+    mine = lambda n: F.pmod(F.xxhash64(F.lit("block"), "number"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rows = rows.withColumn("i", F.explode(F.when(F.col("looks"), F.array(mine("ps"))).otherwise(every("ps"))))
+    rows = rows.withColumn("j", F.explode(F.when(F.col("looks"), every("hs")).otherwise(F.array(mine("hs")))))
+    # cells of one block go many to a task
+    many = F.greatest(F.lit(1), F.lit(found.count() // 64)).cast("long")
+    deal = F.when((F.col("p") + F.col("h")) * 8 > block, F.xxhash64(*CELL)).otherwise(F.pmod(F.xxhash64(*CELL), many))
+    rows = rows.select("number", "spot", "looks", "i", "j", deal.alias("deal"))
+    return rows.join(found.select("number", "label", "dim", "class", "n", "v", "y", "levels"), "number")
 
 
 def roots(size: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -125,48 +204,60 @@ def roots(size: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare(rows: DataFrame, least: float) -> DataFrame:
-    """(class, n_links, near): for each linked class of a pair of blocks, the rows linked there and a class of its component."""
+def compare(rows: DataFrame, quantisers: dict[int, Quantiser], least: float) -> DataFrame:
+    """(class, n_links, near): for each linked class of a task, the rows linked there and a class of its component."""
 
     def pairs(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        side = table.column("mine").to_numpy()
-        i, j, tab = (table.column(c)[0].as_py() for c in ("i", "j", "tab"))
-        ids, n = table.column("class").to_numpy(), table.column("n").to_numpy()
-        v = rows_of(table.column("v").chunk(0))
+        q = quantisers[table.column("dim")[0].as_py()]
+        number, at = np.unique(table.column("number").to_numpy(), return_inverse=True)
+        first = np.zeros(len(number), np.int64)
+        first[at] = np.arange(len(at))
+        once = table.take(pa.array(first)).combine_chunks()  # a class of several cells here is held once
+        ids, n = once.column("class").to_numpy(), once.column("n").to_numpy()
+        v, y, levels = (rows_of(once.column(c).chunk(0)) for c in ("v", "y", "levels"))
         v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        keys = rows_of(table.column("keys").chunk(0))
-        a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        spot, looks = table.column("spot").to_numpy(), table.column("looks").to_numpy()
+        order = np.lexsort((spot, label))
+        ends = np.flatnonzero((np.diff(spot[order]) != 0) | (np.diff(label[order]) != 0)) + 1
         links, xs, ys = np.zeros(len(ids), np.int64), [], []
-        for start in range(0, len(a), 256):
-            part = a[start : start + 256]
-            x, y = np.nonzero(v[part] @ v[b].T >= least)
-            x, y = part[x], b[y]
-            fresh = x < y if i == j else np.ones(len(x), bool)
-            if tab:  # a pair that met in an earlier table was counted there
-                fresh &= ~(keys[x, :tab] == keys[y, :tab]).any(axis=1)
-            x, y = x[fresh], y[fresh]
-            np.add.at(links, x, n[y])
-            np.add.at(links, y, n[x])
-            xs.append(x)
-            ys.append(y)
+        for cell in np.split(order, ends):
+            tab = int(spot[cell[0]] >> 38)
+            a, b = at[cell[looks[cell]]], at[cell[~looks[cell]]]
+            for start in range(0, len(a), 256):
+                part = a[start : start + 256]
+                x, z = np.nonzero(v[part] @ v[b].T >= least)
+                x, z = part[x], b[z]
+                x, z = x[x != z], z[x != z]
+                if not len(x):
+                    continue
+                fresh = (x < z) | ~q.sees(tab, y[z], levels[z], y[x])
+                for t in range(tab):  # a pair that met in an earlier table was counted there
+                    fresh &= ~(q.sees(t, y[x], levels[x], y[z]) | q.sees(t, y[z], levels[z], y[x]))
+                x, z = x[fresh], z[fresh]
+                np.add.at(links, x, n[z])
+                np.add.at(links, z, n[x])
+                xs.append(x)
+                ys.append(z)
         near = roots(len(ids), np.concatenate([*xs, np.zeros(0, np.int64)]), np.concatenate([*ys, np.zeros(0, np.int64)]))
         hit = links > 0
         return pa.table({"class": ids[hit], "n_links": links[hit], "near": ids[near[hit]]})
 
-    return rows.groupBy(*CELL, "i", "j").applyInArrow(pairs, "class long, n_links long, near long")
+    return rows.groupBy("dim", "deal", "i", "j").applyInArrow(pairs, "class long, n_links long, near long")
 
 
-def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98, tables: int = TABLES, key_bits: int = KEY_BITS, block: int = BLOCK, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98, tables: int = TABLES, key_bits: int = KEY_BITS, probes: int = PROBES, block: int = BLOCK, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of df."""
     ws = Workspace(df.sparkSession, "vectors")
     fits = F.coalesce(usable(vector), F.lit(False)) & F.col(label).isNotNull() & F.col(vec_id).isNotNull()
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(fits, F.col(label)).alias("label"), F.when(fits, F.col(vector)).alias("v"))
     classes = rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("class"), F.count("*").alias("n")).withColumn("dim", F.size("v"))
     classes = ws.save(classes, "classes")
-    found = ws.save(cells(classes, fit(classes, tables, key_bits, sample_rows)), "cells")
-    linked = ws.save(compare(blocked(found, block), least), "linked")
-    ws.drop("cells")
+    quantisers = fit(classes, least, tables, key_bits, probes, sample_rows)
+    found = ws.save(coded(classes, quantisers), "coded")
+    linked = ws.save(compare(blocked(found, block), quantisers, least), "linked")
+    ws.drop("coded")
     counts = linked.groupBy("class").agg(F.sum("n_links").alias("links"))
     labels = components(ws, linked.select(F.col("class").alias("a"), F.col("near").alias("b")), "labels").withColumnRenamed("id", "class")
     named = classes.join(counts, "class", "left").join(labels, "class", "left")

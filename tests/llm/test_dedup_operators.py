@@ -296,3 +296,19 @@ def test_recall_on_the_embeddings(spark, sf):
         want += m.sum()
         assert (got.loc[g.vec_id].n_links.to_numpy() <= m.sum(1)).all()
     assert got.n_links.sum() >= 0.9 * want
+
+
+@pytest.mark.parametrize("shift", [0, 2])
+def test_no_pair_just_above_the_threshold_is_lost(spark, shift):
+    g = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(unit(g.standard_normal((1500, 64))) + shift * unit(g.standard_normal(64)))
+    away = g.standard_normal(x.shape)
+    away = unit(away - (away * x).sum(axis=1, keepdims=True) * x)
+    cosine = g.uniform(0.98001, 0.985, (len(x), 1))
+    v = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * away])
+    got = embeddings.near_vectors(spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(v)], "vec_id long, embedding array<double>, label int")).collect()
+    near = v @ v.T >= 0.98
+    np.fill_diagonal(near, False)
+    want = groups(list(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True)), list(range(len(v))))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (near[i].sum(), want[i]) for i in want}
