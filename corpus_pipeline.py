@@ -17,9 +17,9 @@ from tessera.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an identified language, learned from the labels of those not held out."""
+    """Documents in an identified language, learned from the labels of those not held out; all with a letter where there are no labels."""
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    return langid.predict(docs, model, lang="__lang", score="__score").where(F.col("__lang") != langid.UND).select(docs.columns)
+    return langid.predict(docs, model, lang="__lang", score="__score").where((F.col("__lang") != langid.UND) | langid.has_letter("text")).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

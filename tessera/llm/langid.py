@@ -8,9 +8,11 @@ normalised by log2 of the labelled text's length and by the number of letters
 either side, and a phrase ends where the run ends: the phrases of a run then
 depend on the run alone, so that they are counted once and remembered.
 
-Labelled text is a bounded sample (``sample_rows`` texts a language of at most
-``sample_chars`` characters, and of their words the most frequent that fit in
-``train_chars``). Prediction reads whole texts and the text alone.
+Labelled text is a bounded sample (``sample_rows`` texts a language of any
+length, of a long one ``PIECES`` pieces spread over its letters that together
+hold ``sample_chars`` characters, and of their words the most frequent that fit
+in ``train_chars``): every label that has a text with a letter is learned.
+Prediction reads whole texts and the text alone.
 
 A text that is null, empty or without letters is ``und`` with score 0, as is
 every text when there are no labels. Ties go to the label first by code point.
@@ -35,6 +37,8 @@ UND = "und"
 #: Runs of text whose counts a worker remembers, in each of two generations.
 CACHE_RUNS = 150_000
 CACHE_CHARS = 64
+#: Pieces of a long labelled text, of which the first starts it and the last ends it.
+PIECES = 16
 #: Bits of one counter in the packed sum of counts.
 FIELD = 48
 
@@ -148,6 +152,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def has_letter(text: str) -> Column:
+    return F.col(text).rlike(r"\p{L}")
+
+
+def excerpt(text: str, sample_chars: int) -> Column:
+    """The pieces of a text of which its model may see sample_chars characters: the whole of a short one."""
+    runs = F.trim(F.regexp_replace(text, r"[^\p{L}\p{M}]+", " "))
+    size = max(1, sample_chars // PIECES)
+    starts = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.floor(k * (F.length(runs) - size) / (PIECES - 1)).cast("int") + 1)
+    return F.when(F.length(text) <= sample_chars, F.array(F.col(text))).when(F.length(runs) <= sample_chars, F.array(runs)).otherwise(F.transform(starts, lambda at: F.substring(runs, at, size)))
+
+
+def words_of(pieces: list[str]) -> set[str]:
+    """Lower-case words; of several pieces without what their ends may have cut, unless a piece is one run."""
+    out: set[str] = set()
+    for piece in pieces:
+        found = letters(piece.lower())
+        out.update(found[1:-1] if len(pieces) > 1 and len(found) > 2 else found)
+    return out
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = 150, sample_chars: int = 4000, train_chars: int = 24_000) -> Model:
     """A model of the languages of labelled rows.
 
@@ -155,18 +180,18 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows
     the rows that holds about three times sample_rows is kept where it is read,
     copies of a text are merged before the shuffle, and only then are rows ranked.
     """
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & (F.length("text").between(1, sample_chars)))
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & has_letter("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not sizes:
         return Model({})
     limits = [x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 3 * sample_rows / n)))]
     rows = rows.where((F.col("h") / F.lit(2.0**64) + 0.5) < F.create_map(*limits)[F.col("lang")])
-    rows = rows.groupBy("lang", "h").agg(F.min("text").alias("text"))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= sample_rows)
+    rows = rows.select("lang", "h", excerpt("text", sample_chars).alias("pieces")).groupBy("lang", "h").agg(F.min("pieces").alias("pieces"))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "pieces"))).where(F.col("r") <= sample_rows)
     counts: dict[str, Counter] = {k: Counter() for k in sizes}
-    for r in rows.select("lang", "text").collect():  # at most sample_rows * sample_chars a language
-        counts[r.lang].update(set(letters(r.text.lower())))
+    for r in rows.select("lang", "pieces").collect():  # at most sample_rows * sample_chars a language
+        counts[r.lang].update(words_of(r.pieces))
     words = {}
     for k, seen in counts.items():
         left, words[k] = train_chars, []

@@ -55,3 +55,10 @@ def test_run_equals_its_stages(spark, sf):
     rows = pipeline.run(spark, sf)
     assert rows.columns == ["doc_id", "source", "n_tokens", "ids", "decoded"] and rows.count() > 0
     assert pipeline.ORACLE_SQL is None and langid.UND == "und"
+
+
+def test_language_stage_without_labels_keeps_texts_with_letters(spark, sf):
+    for label in (None, "en"):
+        rows = [(1, "clean words", label, "s", 11), (2, None, label, "s", 0), (3, "12 34", label, "s", 5), (4, "longer words " * 500, label, "s", 6500)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        assert {r.doc_id for r in pipeline.language(spark, docs, sf).collect()} == {1, 4}

@@ -87,6 +87,18 @@ def test_language_edges(spark):
     assert langid.predict(rows.where("false"), model).count() == 0
 
 
+def test_labels_of_long_texts_are_learned(spark):
+    late = "1234 " * 20_000 + "ovde je kuća i reka " * 3  # letters at the very end
+    labelled = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "pies i kot mieszkają w domu nad rzeką. " * 200, "pl"), (3, late, "sr"), (4, "山水人家" * 3000, "zh"), (5, "12 34", "zz")], "doc_id long, text string, lang string")
+    model = langid.fit(labelled)
+    assert model.langs == ["en", "pl", "sr", "zh"] and all(len(t) <= 24_002 for t in model.texts)
+    rows = spark.createDataFrame([(1, "pies mieszka nad rzeką"), (2, "reka i kuća"), (3, "人家山水"), (4, "the dog")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.predict(rows, model).orderBy("doc_id").collect()] == ["pl", "sr", "zh", "en"]
+    spread = "".join(chr(97 + k) * 3 + " " for k in range(26) for _ in range(500))  # 52,000 characters, a letter after the other
+    seen = langid.fit(spark.createDataFrame([(1, spread, "x")], "doc_id long, text string, lang string")).texts[0]
+    assert "aaa" in seen and "zzz" in seen and len(set(seen.split())) >= 12
+
+
 # --- pages ------------------------------------------------------------------------------------------
 
 
