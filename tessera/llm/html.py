@@ -166,7 +166,7 @@ def first_pass(b: Block, rules: Rules) -> str:
     n = len(b.text)
     words = b.text.lower().split()
     visible = sum(map(len, words))
-    if b.excluded or "©" in b.text or b.linked > rules.links * visible and not (b.region and n >= rules.long and b.linked < visible):
+    if b.excluded or "©" in b.text and n < rules.short and not b.region or b.linked > rules.links * visible and not (b.region and n >= rules.long and b.linked < visible):
         return "bad"
     density = sum(w.strip(".,;:!?\"'()[]%#*&$") in STOP_WORDS for w in words) / len(words)
     if n < rules.short:

@@ -134,6 +134,17 @@ def test_pages_of_many_forms(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<article><p>Photo © Ann</p><p>{LONG}&copy; 2020 Bob</p></article><p>© 2021 site</p>", f"Photo © Ann\n{LONG}© 2020 Bob"),
+        (f"<p>{LONG}© 2020 Bob</p><p>© 2021 site</p>", f"{LONG}© 2020 Bob"),
+    ],
+)
+def test_copyright_signs(page, text):
+    assert html.main_text(page) == text
+
+
 def test_extract_keeps_other_columns(spark):
     rows = spark.createDataFrame([(1, "<p>" + LONG, "old"), (1, "<p>" + LONG, "old"), (2, None, None)], "page_id long, html string, text string")
     got = html.extract(rows).orderBy("page_id").collect()
