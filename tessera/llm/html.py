@@ -3,7 +3,10 @@
 A page is cut into blocks at block-level tags. The first pass judges each block
 by itself: link density, membership in a menu, header, footer, sidebar, notice,
 advert, form or comment container, length, and density of stop words make it
-good, bad, or leave a short one undecided. In the second pass undecided blocks
+good, bad, or leave a short one undecided. Stop words are those of four
+languages: long blocks without them are bad only where blocks with them hold at
+least as much of the page, and are written in Latin letters; otherwise length and
+link density decide. In the second pass undecided blocks
 inherit the label of the nearest decided neighbours in their own region (an
 article, or the rest of the page); where two neighbours disagree the nearer one
 counts, the earlier on a tie. A region without decided blocks is good if it is
@@ -61,6 +64,8 @@ NOT_TEXT_NAMES = frozenset(
 HEADER_NAMES = frozenset({"header", "topbar"})
 #: Names that say a container merely has such a part.
 LAYOUT_NAMES = frozenset("has with no without wrapper container layout page".split())
+#: Label of long blocks outside articles that no stop word tells of.
+UNKNOWN = "?"
 ATTRIBUTES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
@@ -79,6 +84,7 @@ class Block:
     region: int
     excluded: bool
     linked: int
+    stopped: bool = False  # long, with stop words
     label: str = field(default="")
 
 
@@ -171,10 +177,24 @@ def first_pass(b: Block, rules: Rules) -> str:
     density = sum(w.strip(".,;:!?\"'()[]%#*&$") in STOP_WORDS for w in words) / len(words)
     if n < rules.short:
         return ""
+    b.stopped = density >= rules.stop_low
     if density >= rules.stop_high or n >= rules.long and density >= rules.stop_low:
         return "good"
-    # Long without stop words: a list of names or junk, unless an article holds it; then its neighbours decide.
-    return "" if b.region or density >= rules.stop_low else "bad"
+    # Long without stop words: its neighbours decide in an article, elsewhere the language of the page.
+    return "" if b.region or b.stopped else UNKNOWN
+
+
+def latin(text: str) -> bool:
+    alphabetic = [c for c in text if c.isalpha()]
+    return 2 * sum(c < "\u0250" or "\u1e00" <= c < "\u1f00" for c in alphabetic) >= len(alphabetic)
+
+
+def judge_unknown(found: list[Block]) -> None:
+    """Blocks without stop words are lists of names or junk on a page of a known language, text on another."""
+    unknown = [b for b in found if b.label == UNKNOWN]
+    known = sum(len(b.text) for b in found if b.stopped) >= sum(len(b.text) for b in unknown)
+    for b in unknown:
+        b.label = "bad" if known and latin(b.text) else "good"
 
 
 def second_pass(found: list[Block], regions: dict[int, list[int]]) -> None:
@@ -208,6 +228,7 @@ def main_text(page: str | None, rules: Rules | None = None) -> str:
     for i, b in enumerate(found):
         b.label = first_pass(b, rules)
         regions.setdefault(b.region, []).append(i)
+    judge_unknown(found)
     second_pass(found, regions)
     good = [b for b in found if b.label == "good"]
     if any(b.region for b in good):

@@ -145,6 +145,25 @@ def test_copyright_signs(page, text):
     assert html.main_text(page) == text
 
 
+POLISH = "Dawno temu w małym domu nad rzeką mieszkała rodzina, która codziennie chodziła do lasu po drewno i grzyby. "
+RUSSIAN = "Давным-давно в маленьком доме у реки жила семья, которая каждый день ходила в лес за дровами и грибами. "
+CHINESE = "很久以前在河边的小屋里住着一家人他们每天都去森林里捡柴和采蘑菇回来以后大家围着火炉讲故事。" * 3
+
+
+@pytest.mark.parametrize("prose", [POLISH, POLISH * 3, RUSSIAN, RUSSIAN * 3, CHINESE])
+def test_pages_in_other_languages(prose):
+    prose = prose.strip()
+    links = f"<div><a href=x>{prose}</a></div>"
+    assert html.main_text(f"<nav>{prose}</nav><div>{prose}</div>{links}<p>{prose}</p><p>1999</p><footer>{prose}</footer>") == f"{prose}\n{prose}\n1999"
+    english = "The cookies of this site are there for you and for the work that we do with it."  # of no container that rules it out
+    assert html.main_text(f"<div>{prose}</div><div>{prose}</div>" + f"<p>{english}</p>").startswith(f"{prose}\n{prose}")
+
+
+def test_lists_beside_prose_are_left_out():
+    names = "Alder Birch Cedar Maple Poplar Willow Juniper Hazel Rowan Linden Hawthorn Elder Spruce"
+    assert html.main_text(f"<p>{LONG}</p><div>{names}</div>") == LONG.strip()
+
+
 def test_extract_keeps_other_columns(spark):
     rows = spark.createDataFrame([(1, "<p>" + LONG, "old"), (1, "<p>" + LONG, "old"), (2, None, None)], "page_id long, html string, text string")
     got = html.extract(rows).orderBy("page_id").collect()
