@@ -20,7 +20,8 @@ one bit of each coordinate, inside the join; what passes is confirmed on full se
 
 Of pairs at similarity 0.75, bands of 7 in 512 coordinates miss (1 - 0.75 ** 7)
 ** 73, 3 in 100,000, and the bits (5 deviations) fewer than 1 in a million; at
-0.8 both together miss 1 in a hundred million.
+0.8 both together miss 1 in a hundred million. Below 0.75 narrower bands and a
+lower bound of bits keep these chances at the threshold (``bounds``).
 
 Null and blank texts have no set and are linked with nothing; rows without an id
 keep a null component and are kept. Rows that share an id are one document.
@@ -124,6 +125,23 @@ def sketch(hashes: np.ndarray, t: int = COORDINATES) -> np.ndarray:
     return out
 
 
+def bounds(percent: int) -> tuple[int, int]:
+    """Width of bands and least equal bits: those of PERCENT from there on, below it such that no more is missed at the threshold."""
+    if percent >= PERCENT:
+        return BAND, EQUAL_BITS
+
+    def missed(share: float, width: int) -> float:
+        return (1 - share**width) ** (COORDINATES // width)
+
+    share = percent / 100
+    widths = [w for w in range(1, BAND + 1) if missed(share, w) <= missed(PERCENT / 100, BAND)]
+    if not widths:
+        raise ValueError(f"{COORDINATES} coordinates do not find pairs of {percent} percent")
+    mean, top = COORDINATES * (1 + share) / 2, COORDINATES * (1 + PERCENT / 100) / 2
+    deviations = (top - EQUAL_BITS) / (top * (1 - PERCENT / 100) / 2) ** 0.5
+    return max(widths), int(mean - deviations * (mean * (1 - share) / 2) ** 0.5)
+
+
 def bands(coordinates: np.ndarray, width: int = BAND) -> np.ndarray:
     rows = coordinates[: len(coordinates) // width * width].reshape(-1, width)
     h = np.arange(1, len(rows) + 1, dtype=np.uint64) * np.uint64(_ODD)
@@ -137,7 +155,7 @@ def signature(coordinates: np.ndarray) -> np.ndarray:
     return np.packbits((mix(coordinates) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
-def measured(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+def measured(docs: DataFrame, doc_id: str, text: str, words: int, width: int = BAND) -> DataFrame:
     """(doc_id, key, n, bands, bits): key names the set; a document without words has none."""
 
     def step():
@@ -157,7 +175,7 @@ def measured(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
                     if len(known) >= 5000:
                         known.clear()
                     c = sketch(s)
-                    known[key] = bands(c), signature(c)
+                    known[key] = bands(c, width), signature(c)
                 keys.append(key)
                 found.append(known[key][0])
                 bits.append(known[key][1])
@@ -196,8 +214,9 @@ def equal_bits(a: str, b: str) -> Column:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
+    width, least_bits = bounds(percent)
     ws = Workspace(docs.sparkSession, "neardup")
-    rows = ws.save(measured(docs, doc_id, text, words), "measured")
+    rows = ws.save(measured(docs, doc_id, text, words, width), "measured")
     classes = rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "bands", "bits")).alias("m")).select("key", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.bands").alias("bands"), F.col("m.bits").alias("bits"))
     classes = ws.save(classes, "classes")
     found = classes.select("rep", F.explode("bands").alias("bucket"))
@@ -228,7 +247,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             pivots = active.where("component <> largest").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS ** (k - 1))
             pivots = pivots.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"), F.col("component").alias("cb"))
         pivots = ws.save(pivots, f"pivots-{k}")
-        close = (F.col("component") != F.col("cb")) & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")) & (equal_bits("bits", "bits_b") >= EQUAL_BITS)
+        close = (F.col("component") != F.col("cb")) & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")) & (equal_bits("bits", "bits_b") >= least_bits)
         pairs = active.alias("l").join(pivots.withColumnRenamed("bucket", "bucket_b"), (F.col("bucket") == F.col("bucket_b")) & close)
         pairs = pairs.select(F.col("rep").alias("a"), "b").distinct()
         new = ws.save(verified(pairs, texts, words, percent), f"edges-{k}")

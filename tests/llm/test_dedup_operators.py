@@ -140,6 +140,22 @@ def test_groups_chains_and_edges(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_lower_thresholds_find_their_pairs(spark):
+    g = np.random.default_rng(11)
+    word = lambda: "".join(g.choice(list("abcdefghij"), 8))
+    rows = []
+    for k in range(40):  # two texts that share 240 of 240 + 2 * 110 shingles
+        common = [word() for _ in range(244)]
+        rows += [(2 * k + side, " ".join(common + [word() for _ in range(110)])) for side in (0, 1)]
+    sets = shingle_sets(rows)
+    assert all(0.5 <= len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) < 0.55 for k in range(40))
+    got = neardup.near_duplicates(frame(spark, rows), percent=50).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
+    assert neardup.bounds(75) == (neardup.BAND, neardup.EQUAL_BITS) and neardup.bounds(90) == neardup.bounds(75)
+    with pytest.raises(ValueError):
+        neardup.bounds(1)
+
+
 def test_sketch_estimates_similarity():
     a = neardup.mix(np.arange(1, 1501, dtype=np.uint64))
     for share in (0.5, 0.75, 0.9):
