@@ -6,26 +6,28 @@ thrown into a hashed bin with a hashed value; in round t + b every element goes
 to bin b. A bin keeps the least (round, value), and rounds end when no bin is
 empty, so every coordinate is filled after 2 t rounds at the latest and the
 share of equal coordinates is concentrated around the Jaccard similarity as for
-independent permutations. Bands of coordinates give buckets of candidates.
+independent permutations. Bands of coordinates give buckets of candidates; of
+buckets with the same members one is kept.
 
 Documents with equal sets are one class from the start, named by their smallest
-id; only classes are compared further. Within a bucket not all pairs are made:
-in rounds, a pivot (first the member that shares most buckets with others) is
-compared with the members that are not yet in its component, and leaves the
-bucket. Later pivots come from outside the bucket's largest component, many
-times more in each round, until the members left are of one component. Each pair
-of a bucket is thus either compared or already connected, so components are
-those of all links among candidates. A comparison first looks at set sizes and at
-one bit of each coordinate, inside the join; what passes is confirmed on full sets.
+id; only classes are compared further. The texts of a bucket's members meet in
+one task, or for a large bucket in many, each with blocks of bounded size; full
+sets are intersected there as 0/1 matrices, and only links that span what was
+found leave the task. First a share of the buckets is compared inside blocks,
+which costs one text a member and joins most of a large group. Buckets whose
+members are then in one component are done. In the others every member outside
+the largest component is compared with all members of other components, so each
+pair of a bucket is compared or already connected, and components are those of
+all links among candidates.
 
 Of pairs at similarity 0.75, bands of 7 in 512 coordinates miss (1 - 0.75 ** 7)
-** 73, 3 in 100,000, and the bits (5 deviations) fewer than 1 in a million; at
-0.8 both together miss 1 in a hundred million. Below 0.75 narrower bands and a
-lower bound of bits keep these chances at the threshold (``bounds``).
+** 73, 3 in 100,000; at 0.8 one in a hundred million. Below 0.75 narrower bands
+keep that chance at the threshold (``band_width``).
 
 Null and blank texts have no set and are linked with nothing; rows without an id
 keep a null component and are kept. Rows that share an id are one document.
-Texts of any length are read whole. An empty table gives an empty one.
+Texts of any length are read whole. An empty table gives an empty one. Only id
+and text are read: other columns, whatever their names, have no part in it.
 """
 
 from __future__ import annotations
@@ -42,12 +44,12 @@ from .common import Workspace, components, map_slices
 
 WORDS, COORDINATES, BAND = 5, 512, 7
 PERCENT = 75
-#: Pairs with fewer equal signature bits are not compared: at similarity 0.75, 448 of 512 bits are equal with a deviation of 7.5.
-EQUAL_BITS = 408
 #: One in so many buckets takes part in the first round.
 FIRST_SHARE = 8
-#: Pivots of a bucket in its second round; in each later one so many times more.
-PIVOTS = 16
+#: Texts and shingles of a block, about; a longer text is a block's only one.
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 19
+#: Columns of the 0/1 matrices that are multiplied at a time.
+COLUMNS = 4096
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 2**64)
@@ -125,21 +127,18 @@ def sketch(hashes: np.ndarray, t: int = COORDINATES) -> np.ndarray:
     return out
 
 
-def bounds(percent: int) -> tuple[int, int]:
-    """Width of bands and least equal bits: those of PERCENT from there on, below it such that no more is missed at the threshold."""
+def band_width(percent: int) -> int:
+    """BAND from PERCENT on; below it the widest band that misses no more at the threshold."""
     if percent >= PERCENT:
-        return BAND, EQUAL_BITS
+        return BAND
 
     def missed(share: float, width: int) -> float:
         return (1 - share**width) ** (COORDINATES // width)
 
-    share = percent / 100
-    widths = [w for w in range(1, BAND + 1) if missed(share, w) <= missed(PERCENT / 100, BAND)]
+    widths = [w for w in range(1, BAND + 1) if missed(percent / 100, w) <= missed(PERCENT / 100, BAND)]
     if not widths:
         raise ValueError(f"{COORDINATES} coordinates do not find pairs of {percent} percent")
-    mean, top = COORDINATES * (1 + share) / 2, COORDINATES * (1 + PERCENT / 100) / 2
-    deviations = (top - EQUAL_BITS) / (top * (1 - PERCENT / 100) / 2) ** 0.5
-    return max(widths), int(mean - deviations * (mean * (1 - share) / 2) ** 0.5)
+    return max(widths)
 
 
 def bands(coordinates: np.ndarray, width: int = BAND) -> np.ndarray:
@@ -150,118 +149,146 @@ def bands(coordinates: np.ndarray, width: int = BAND) -> np.ndarray:
     return h.view(np.int64)
 
 
-def signature(coordinates: np.ndarray) -> np.ndarray:
-    """One bit of each coordinate: equal where coordinates are, else by chance."""
-    return np.packbits((mix(coordinates) & np.uint64(1)).astype(np.uint8)).view(np.int64)
-
-
 def measured(docs: DataFrame, doc_id: str, text: str, words: int, width: int = BAND) -> DataFrame:
-    """(doc_id, key, n, bands, bits): key names the set; a document without words has none."""
+    """(doc_id, key, n, bands): key names the set; a document without words has none. Copies near each other have their bands once."""
 
     def step():
-        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        known: set[bytes] = set()
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, sizes, found, bits = [], [], [], []
+            keys, sizes, found = [], [], []
             for x in batch.column(1):
                 s = shingles(x.as_py(), words)
                 sizes.append(len(s))
-                if not len(s):
-                    for col in (keys, found, bits):
-                        col.append(None)
-                    continue
-                key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                if key not in known:
-                    if len(known) >= 5000:
-                        known.clear()
-                    c = sketch(s)
-                    known[key] = bands(c, width), signature(c)
+                key = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 keys.append(key)
-                found.append(known[key][0])
-                bits.append(known[key][1])
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "key", "n", "bands", "bits"])
+                if key is None or key in known:
+                    found.append(None)
+                    continue
+                if len(known) >= 100_000:
+                    known.clear()
+                known.add(key)
+                found.append(bands(sketch(s), width))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "n", "bands"])
 
         return run
 
-    return map_slices(docs, [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")], step, "doc_id long, key binary, n long, bands array<long>, bits array<long>")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. b is the pivot of many pairs, so its text joins last."""
-    one, two = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    return map_slices(docs, [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")], step, "doc_id long, key binary, n long, bands array<long>")
+
+
+def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of one with each of two."""
+    if len(one) * len(two) <= 4:
+        return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in two] for a in one], np.int64)
+    row = np.repeat(np.arange(len(one) + len(two)), [len(s) for s in (*one, *two)])
+    order = np.argsort(values := np.concatenate([*one, *two]), kind="stable")
+    values, row = values[order], row[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]])
+    shared = ~(new & np.concatenate([new[1:], [True]]))  # what one set alone has cannot be in two
+    row, column = row[shared], (np.cumsum(new[shared]) - 1)
+    out = np.zeros((len(one), len(two)), np.float64)
+    ends = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + COLUMNS, COLUMNS))
+    for a, b in zip(ends, ends[1:], strict=False):
+        m = np.zeros((len(one) + len(two), COLUMNS), np.float32)
+        m[row[a:b], column[a:b] % COLUMNS] = 1
+        out += m[: len(one)] @ m[len(one) :].T
+    return out.astype(np.int64)
+
+
+def roots(size: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least index reachable from each index by the links (x, y)."""
+    label = np.arange(size)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def linked(tiles: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): components joined by links between a text that asks and one that answers in a tile (bucket, i, j)."""
+    at = ["bucket", "i", "j"]
+    rows = tiles.join(texts, "rep").repartition(*at).sortWithinPartitions(*at).select(*at, "component", "asks", "answers", "text")
+
+    def spanning(members: list[tuple[int, bool, bool, str]]) -> list[tuple[int, int]]:
+        component, place = np.unique([m[0] for m in members], return_inverse=True)
+        sets = [shingles(m[3], words) for m in members]
+        size = np.array([len(s) for s in sets])
+        one, two = (np.flatnonzero([m[k] for m in members]) for k in (1, 2))
+        both = intersections([sets[i] for i in one], [sets[i] for i in two])
+        close = 100 * both >= percent * (size[one, None] + size[None, two] - both)
+        x, y = np.nonzero(close & (place[one, None] != place[None, two]))
+        root = roots(len(component), place[one[x]], place[two[y]])
+        return [(int(component[k]), int(component[r])) for k, r in enumerate(root) if k != r]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot = None, np.zeros(0, np.uint64)
+        tile, members, out = None, [], []
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                b = b.as_py()
-                if b != last:
-                    last, pivot = b, shingles(b, words)
-                s = shingles(a.as_py(), words)
-                both = len(np.intersect1d(s, pivot, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(pivot) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for bucket, i, j, *rest in zip(*(batch.column(k).to_pylist() for k in range(6)), batch.column(6), strict=True):
+                if (bucket, i, j) != tile:
+                    if len(members) > 1:
+                        out += spanning(members)
+                    tile, members = (bucket, i, j), []
+                members.append((*rest[:3], rest[3].as_py()))
+        if len(members) > 1:
+            out += spanning(members)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def equal_bits(a: str, b: str) -> Column:
-    terms = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(COORDINATES // 64)]
-    return F.lit(COORDINATES) - sum(terms[1:], terms[0])
+def blocks(texts: Column, sizes: Column) -> Column:
+    """Blocks for so many texts with so many shingles together."""
+    return F.greatest(F.ceil(texts / BLOCK_TEXTS), F.ceil(sizes / BLOCK_SHINGLES)).cast("int")
+
+
+def within_blocks(state: DataFrame) -> DataFrame:
+    """Tiles of single blocks; the member of a bucket with the least hash is in all its blocks."""
+    sizes = state.groupBy("bucket").agg(blocks(F.count("*"), F.sum("n")).alias("blocks"), F.min(F.struct(F.xxhash64("rep"), "rep")).alias("pivot"))
+    rows = state.join(sizes, "bucket")
+    own = F.array(F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("i", F.explode(F.when(F.col("rep") == F.col("pivot.rep"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
+    return rows.select("bucket", "i", F.lit(0).alias("j"), "rep", "component", F.lit(True).alias("asks"), F.lit(True).alias("answers"))
+
+
+def across_blocks(state: DataFrame) -> DataFrame:
+    """Tiles in which each member outside its bucket's largest component meets all members; buckets of one component are left out."""
+    parts = state.groupBy("bucket", "component").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
+    order = F.max(F.struct("texts", "n", "component"))
+    sizes = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("texts").alias("texts"), F.sum("n").alias("all_n"), order.alias("m")).where("parts > 1")
+    left = blocks(F.col("texts") - F.col("m.texts"), F.col("all_n") - F.col("m.n"))
+    sizes = sizes.select("bucket", F.col("m.component").alias("largest"), left.alias("is"), blocks(F.col("texts"), F.col("all_n")).alias("js"))
+    rows = state.join(sizes, "bucket").withColumn("asking", F.col("component") != F.col("largest"))
+    mine = lambda n: F.pmod(F.xxhash64("rep", "bucket"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    asked = F.transform(every("js"), lambda j: F.struct(mine("is").alias("i"), j.alias("j"), F.lit(True).alias("asks"), (j == mine("js")).alias("answers")))
+    answering = F.transform(every("is"), lambda i: F.struct(i.alias("i"), mine("js").alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("answers")))
+    tiles = F.when(F.col("asking"), F.concat(asked, F.filter(answering, lambda t: t["i"] != mine("is")))).otherwise(answering)
+    return rows.select("bucket", "rep", "component", F.explode(tiles).alias("t")).select("bucket", "t.i", "t.j", "rep", "component", "t.asks", "t.answers")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
-    width, least_bits = bounds(percent)
     ws = Workspace(docs.sparkSession, "neardup")
-    rows = ws.save(measured(docs, doc_id, text, words, width), "measured")
-    classes = rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "bands", "bits")).alias("m")).select("key", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.bands").alias("bands"), F.col("m.bits").alias("bits"))
-    classes = ws.save(classes, "classes")
-    found = classes.select("rep", F.explode("bands").alias("bucket"))
-    sizes = found.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("s2")).where("size > 1")
-    # a group of close documents meets in most bands: of buckets with the same members one is enough
-    distinct = sizes.groupBy("size", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+    rows = ws.save(measured(docs, doc_id, text, words, band_width(percent)), "measured")
+    classes = rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
+    # both the sizes of buckets and their members come from one exchange
+    found = classes.select("rep", "n", F.explode("bands").alias("bucket")).repartition("bucket")
+    sizes = found.groupBy("bucket").agg(F.count("*").alias("size"), *(F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"s{k}") for k in range(2))).where("size > 1")
+    distinct = sizes.groupBy("size", "s0", "s1").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = ws.save(found.join(distinct, "bucket"), "members")
-    degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
-    known = ws.save(degree.join(classes.select("rep", "n", "bits"), "rep"), "known")
-    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(known.select("rep"), "rep", "left_semi")
+    labels = ws.save(members.select("rep", F.col("rep").alias("component")).distinct(), "labels")
+    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(labels.select("rep"), "rep", "left_semi")
     texts = ws.save(texts, "texts")
-    state = members.select("bucket", "rep").join(known, "rep").withColumn("component", F.col("rep"))
-    labels: DataFrame | None = None
-    edges: DataFrame | None = None
-    for k in range(40):
-        if k < 2:
-            # first a share of the buckets, which connects most of a large group; then all of them, for who is left
-            active = ws.save(state, "active-0").where(F.pmod("bucket", F.lit(FIRST_SHARE)) == 0) if k == 0 else ws.save(state, "active-1")
-            pivots = active.groupBy("bucket").agg(F.max(F.struct(F.col("degree"), (-F.col("rep")).alias("order"), "rep", "n", "bits", "component")).alias("p"))
-            pivots = pivots.select("bucket", F.col("p.rep").alias("b"), F.col("p.n").alias("nb"), F.col("p.bits").alias("bits_b"), F.col("p.component").alias("cb"))
-        else:
-            parts = state.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-            largest = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("m")).where("parts > 1").select("bucket", F.col("m.component").alias("largest"))
-            active = ws.save(state.join(largest, "bucket"), f"active-{k}")
-            if active.limit(1).count() == 0:
-                break
-            order = Window.partitionBy("bucket").orderBy(F.col("degree").desc(), "rep")
-            pivots = active.where("component <> largest").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS ** (k - 1))
-            pivots = pivots.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"), F.col("component").alias("cb"))
-        pivots = ws.save(pivots, f"pivots-{k}")
-        close = (F.col("component") != F.col("cb")) & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")) & (equal_bits("bits", "bits_b") >= least_bits)
-        pairs = active.alias("l").join(pivots.withColumnRenamed("bucket", "bucket_b"), (F.col("bucket") == F.col("bucket_b")) & close)
-        pairs = pairs.select(F.col("rep").alias("a"), "b").distinct()
-        new = ws.save(verified(pairs, texts, words, percent), f"edges-{k}")
-        edges = new if edges is None else edges.union(new)
-        if labels is None or new.limit(1).count():
-            labels = components(ws, edges, f"labels-{k}")
-        if k == 0:
-            state = ws.spark.read.schema(state.schema).parquet(f"{ws.path}/active-0")
-        else:
-            state = active.join(pivots.select("bucket", F.col("b").alias("rep")), ["bucket", "rep"], "left_anti")
-        state = state.select("bucket", "rep", "n", "degree", "bits").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    else:
-        raise RuntimeError("buckets were not worked off")
-    named = classes.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    for name, share, tiles in (("first", FIRST_SHARE, within_blocks), ("second", 1, across_blocks)):
+        state = members.where(F.pmod("bucket", F.lit(share)) == 0).join(labels, "rep")
+        edges = ws.save(linked(tiles(state), texts, words, percent), f"edges-{name}")
+        joined = components(ws, edges, f"joined-{name}").select(F.col("id").alias("component"), F.col("component").alias("low"))
+        labels = ws.save(labels.join(joined, "component", "left").select("rep", F.coalesce("low", "component").alias("component")), f"labels-{name}")
+    named = rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")).join(labels, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(named, "key", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

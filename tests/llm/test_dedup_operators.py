@@ -140,6 +140,23 @@ def test_groups_chains_and_edges(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_buckets_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 6)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 900)
+    base = words(120)
+    rows = [(k, edited(base, int(rng.integers(1, 12)))) for k in range(90)]  # many pairs lie about the threshold
+    rows += [(200 + k, edited(rows[k][1], 2) + " " + words(900)) for k in range(4)]
+    check_near(spark, rows)
+    other = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, rep int, bucket int, component int, n int")
+    assert sorted(neardup.near_duplicates(other).collect()) == sorted(neardup.near_duplicates(frame(spark, rows)).collect())
+
+
+def test_intersections():
+    for sizes in ((1, 1), (3, 5), (20, 30)):
+        one, two = ([np.unique(rng.integers(0, 3000, int(rng.integers(1, 900))).astype(np.uint64)) for _ in range(n)] for n in sizes)
+        assert (neardup.intersections(one, two) == [[len(set(a) & set(b)) for b in two] for a in one]).all()
+
+
 def test_lower_thresholds_find_their_pairs(spark):
     g = np.random.default_rng(11)
     word = lambda: "".join(g.choice(list("abcdefghij"), 8))
@@ -151,9 +168,9 @@ def test_lower_thresholds_find_their_pairs(spark):
     assert all(0.5 <= len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) < 0.55 for k in range(40))
     got = neardup.near_duplicates(frame(spark, rows), percent=50).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
-    assert neardup.bounds(75) == (neardup.BAND, neardup.EQUAL_BITS) and neardup.bounds(90) == neardup.bounds(75)
+    assert neardup.band_width(75) == neardup.band_width(90) == neardup.BAND
     with pytest.raises(ValueError):
-        neardup.bounds(1)
+        neardup.band_width(1)
 
 
 def test_sketch_estimates_similarity():
