@@ -29,7 +29,7 @@ LONG = """
 000000011100 000000011101 000000011110 000000011111
 """
 # Two-dimensional modes.
-MODES = {"1": 0, "011": 1, "010": -1, "000011": 2, "000010": -2, "0000011": 3, "0000010": -3, "0001": "pass", "001": "horizontal"}
+MODES = {"1": 0, "011": 1, "010": -1, "000011": 2, "000010": -2, "0000011": 3, "0000010": -3, "0001": "pass", "001": "horizontal", "0000001": "extension"}
 EOL = "000000000001"
 
 
@@ -40,6 +40,7 @@ def runs_of(table: str) -> dict[str, int]:
 
 CODES = (runs_of(WHITE), runs_of(BLACK))
 LONGEST = 13
+LONGEST_RUN = 1 << 20
 
 
 def lookup(codes: dict) -> list:
@@ -69,22 +70,24 @@ class Bits:
         word = int.from_bytes(self.value[i : i + 5].ljust(5, b"\0"), "big")
         return word >> 40 - (self.at & 7) - n & (1 << n) - 1
 
-    def run(self, colour: int) -> int | None:
-        """A whole run, or None where no code stands."""
+    def run(self, colour: int) -> int:
+        """A whole run."""
         total = 0
         while True:
             found = RUNS[colour][self.peek(LONGEST)]
-            if found is None or self.at >= self.size:
-                return None
+            if found is None:
+                raise RasterError("Invalid", "no facsimile code")
             self.at += found[1]
             total += found[0]
             if found[0] < 64:
                 return total
+            if total > LONGEST_RUN:
+                raise RasterError("Invalid", "facsimile run too long")
 
     def eol(self) -> bool:
         """Skips an end of line with its fill, if one comes next."""
         at = self.at
-        while at < self.size and self.size - at >= 12:
+        while at <= self.size:
             save, self.at = self.at, at
             word = self.peek(12)
             self.at = save
@@ -92,10 +95,14 @@ class Bits:
                 self.at = at + 12
                 return True
             if word:
-                return False
+                break
             at += 1
         return False
 
+    def check(self) -> None:
+        if self.at > self.size:
+            raise RasterError("Invalid", "facsimile data end within a row")
+
 
 def next_change(line: list[int], at: int, colour: int) -> int:
     """Index into the changes of the first to the right of at that changes to the opposite of colour."""
@@ -105,55 +112,53 @@ def next_change(line: list[int], at: int, colour: int) -> int:
     return i
 
 
-def row_1d(bits: Bits, width: int) -> list[int] | None:
-    """Changing positions of a row, the first to black; None where a code fails."""
+def row_1d(bits: Bits, width: int) -> list[int]:
+    """Changing positions of a row, the first to black."""
     out, x, colour = [], 0, 0
     while x < width:
-        run = bits.run(colour)
-        if run is None:
-            return None
-        x += run
+        x += bits.run(colour)
         if x > width:
-            x = width
+            raise RasterError("Invalid", "facsimile run past the row")
+        bits.check()
         out.append(x)
         colour ^= 1
     return out
 
 
-def row_2d(bits: Bits, reference: list[int], width: int) -> list[int] | None:
+def row_2d(bits: Bits, reference: list[int], width: int) -> list[int]:
     out: list[int] = []
     a0, colour = -1, 0
     limit = len(reference)
     b = 0
     while a0 < width:
         found = MODE[bits.peek(LONGEST)]
-        if found is None or bits.at >= bits.size:
-            return None
+        if found is None:
+            raise RasterError("Invalid", "no facsimile code")
+        if found[0] == "extension":
+            raise RasterError("Unsupported", "facsimile in uncompressed mode")
         bits.at += found[1]
         # the first change to the right of a0 that has the opposite colour
         b = max(0, b - 2)
         while b < limit and (reference[b] <= a0 or b % 2 != colour):
             b += 1
         b1 = reference[b] if b < limit else width
+        start = max(a0, 0)
         if found[0] == "pass":
             a0 = reference[b + 1] if b + 1 < limit else width
         elif found[0] == "horizontal":
-            x = max(a0, 0)
             for c in (colour, colour ^ 1):
-                run = bits.run(c)
-                if run is None:
-                    return None
-                x = min(x + run, width)
-                out.append(x)
-            a0 = x
+                start += bits.run(c)
+                out.append(start)
+            a0 = start
         else:
             a0 = b1 + found[0]
-            if not 0 <= a0 <= width or out and a0 < out[-1]:
-                return None
+            if a0 < start:
+                raise RasterError("Invalid", "facsimile change before its place")
             out.append(a0)
             colour ^= 1
-        if a0 >= width:
-            break
+        if a0 > width:
+            raise RasterError("Invalid", "facsimile run past the row")
+        bits.check()
     return out
 
 
@@ -164,35 +169,23 @@ def pack(changes: list[int], width: int) -> bytes:
     return np.packbits(row).tobytes()
 
 
-def fax_decode(data: bytes, width: int, height: int, scheme: str, byte_aligned: bool = False) -> bytes:
-    """Rows packed to bytes, black 1. scheme: mh, g3-1d, g3-2d or g4. Rows after a failure are white."""
+def fax_decode(data: bytes, width: int, height: int, scheme: str) -> bytes:
+    """Rows packed to bytes, black 1. scheme: mh, g3-1d, g3-2d or g4. Damage within the rows asked for is an error."""
     bits = Bits(data)
     rows: list[bytes] = []
     reference: list[int] = []
-    while len(rows) < height and bits.at < bits.size:
+    for y in range(height):
         two = scheme == "g4"
         if scheme.startswith("g3"):
-            while bits.eol():
-                if scheme == "g3-2d":
-                    two = bits.peek(1) == 0
-                    bits.at += 1
-        elif scheme == "mh" or byte_aligned:
-            bits.at = -(-bits.at // 8) * 8
-        changes = row_2d(bits, reference, width) if two else row_1d(bits, width)
-        if changes is None:
-            if not scheme.startswith("g3"):
-                break
-            # damaged: go on at the next end of line
-            while bits.at < bits.size and bits.peek(12) != 1:
+            bits.eol()
+            if scheme == "g3-2d":
+                two = bits.peek(1) == 0
                 bits.at += 1
-            if bits.at >= bits.size:
-                break
-            changes = list(reference)
-        rows.append(pack(changes, width))
-        reference = changes
-    if not rows and height:
-        raise RasterError("Invalid", "no row could be decoded")
-    return b"".join(rows) + bytes((height - len(rows)) * (-(-width // 8)))
+        elif scheme == "mh" and y:
+            bits.at = -(-bits.at // 8) * 8
+        reference = row_2d(bits, reference, width) if two else row_1d(bits, width)
+        rows.append(pack(reference, width))
+    return b"".join(rows)
 
 
 def code_run(n: int, colour: int) -> str:

@@ -15,9 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import palette as palettes
-from tessera.operators.pixels import idiv, long
+from tessera.operators.pixels import idiv, long, pack_rgb, unpack_rgb
 
 MAX_PALETTE = 256
+#: Entries of 16-bit indices, the most that a file's palette has.
+BROADCAST_COLOURS = 1 << 16
+#: Numbers that one row makes at a time where a page is cut into strips or tiles.
+CHUNKS_AT_A_TIME = 1 << 16
 
 
 # --- predictors and runs ----------------------------------------------------------------------------
@@ -57,11 +61,16 @@ def distinct_colours(pixels: DataFrame, colours: Sequence[str], image: Sequence[
     return pixels.groupBy(*image).agg(F.countDistinct(*colours).alias("colours"))
 
 
-def exact_palette(counts: DataFrame, colour: str, image: Sequence[str], most: int = MAX_PALETTE) -> DataFrame:
-    """(image, i, colour) ascending, for images of at most so many colours."""
-    w = Window.partitionBy(*image)
-    ranked = counts.withColumn("__n", F.count("*").over(w)).where(F.col("__n") <= most)
-    return ranked.withColumn("i", (F.row_number().over(w.orderBy(colour)) - 1).cast("long")).select(*image, "i", colour)
+def exact_palette(counts: DataFrame, colour: str, image: Sequence[str], most: int = MAX_PALETTE, weight: str = "n") -> DataFrame:
+    """(image, i, colour) ascending: the colours of an image of at most so many, else the median cut of its packed colours."""
+    keyed = counts.withColumn("__all", F.lit(0))  # a key also where there are no image columns
+    sized = keyed.join(keyed.groupBy(*image, "__all").agg(F.count("*").alias("__n")), [*image, "__all"])
+    few, more = sized.where(F.col("__n") <= most), sized.where(F.col("__n") > most)
+    w = Window.partitionBy(*image).orderBy(colour)
+    ranked = few.withColumn("i", (F.row_number().over(w) - 1).cast("long")).select(*image, "i", colour)
+    r, g, b = unpack_rgb(F.col(colour))
+    cut = median_cut(more.select(*image, r.alias("r"), g.alias("g"), b.alias("b"), F.col(weight).alias("n")), image, most)
+    return ranked.union(cut.select(*image, "i", pack_rgb(F.col("r"), F.col("g"), F.col("b")).cast(counts.schema[colour].dataType).alias(colour)))
 
 
 def first_seen(pixels: DataFrame, image: Sequence[str], order: Sequence[str], colour: str) -> DataFrame:
@@ -92,13 +101,15 @@ def map_colours(pixels: DataFrame, channels: Sequence[str], palette: Sequence[Se
 def palette_lookup(pixels: DataFrame, index: str, local: DataFrame, common: DataFrame | None, image: Sequence[str], columns: Sequence[str], default: int | None = None) -> DataFrame:
     """Colours of indices from the image's own palette, else the common one, else the default.
 
-    local has (image, i, columns), at most 256 rows an image.
+    local has (image, i, columns). The common palette is sent to every task if it
+    has at most BROADCAST_COLOURS rows, as those of files do, and joined otherwise.
     """
     own = local.select(*image, F.col("i").alias(index), *(F.col(c).alias(f"__own_{c}") for c in columns))
     out = pixels.join(own, [*image, index], "left")
     if common is not None:
-        rest = common.select(F.col("i").alias(index), *(F.col(c).alias(f"__all_{c}") for c in columns)).limit(MAX_PALETTE)
-        out = out.join(F.broadcast(rest), index, "left")
+        rest = common.select(F.col("i").alias(index), *(F.col(c).alias(f"__all_{c}") for c in columns))
+        few = rest.limit(BROADCAST_COLOURS + 1).count() <= BROADCAST_COLOURS
+        out = out.join(F.broadcast(rest) if few else rest, index, "left")
     for c in columns:
         options = [F.col(f"__own_{c}"), *([F.col(f"__all_{c}")] if common is not None else []), *([F.lit(default)] if default is not None else [])]
         out = out.withColumn(c, F.coalesce(*options))
@@ -212,28 +223,41 @@ def page_fields(tags: DataFrame) -> DataFrame:
     return rows.withColumn("rows_per_strip", F.coalesce(F.least("rows_per_strip", "height"), F.col("height")))
 
 
-def enumerate_chunks(pages: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """A row per strip or tile (plane, idx, x0, y0, width, rows); pages with more than most give none."""
+def enumerate_chunks(pages: DataFrame) -> DataFrame:
+    """A row per strip or tile (plane, idx, x0, y0, width, rows) of pages of any size: first runs of numbers are made, then their numbers."""
     tiled = F.col("tile_w").isNotNull() & F.col("tile_h").isNotNull()
     cw, ch = F.when(tiled, F.col("tile_w")).otherwise(F.col("width")), F.when(tiled, F.col("tile_h")).otherwise(F.col("rows_per_strip"))
     planes = F.when(F.col("planar") == 2, F.col("samples_per_pixel")).otherwise(F.lit(1)).cast("long")
     rows = pages.withColumn("__cw", long(cw)).withColumn("__ch", long(ch)).withColumn("__planes", planes)
     rows = rows.withColumn("__across", idiv(F.col("width") + F.col("__cw") - 1, F.col("__cw"))).withColumn("__down", idiv(F.col("height") + F.col("__ch") - 1, F.col("__ch")))
     per = F.col("__across") * F.col("__down")
-    rows = rows.where(per * F.col("__planes") <= most).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), per * F.col("__planes") - 1)))
+    last = per * F.col("__planes") - 1
+    rows = rows.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(CHUNKS_AT_A_TIME).cast("long"))))
+    rows = rows.withColumn("idx", F.explode(F.sequence("__from", F.least(F.col("__from") + CHUNKS_AT_A_TIME - 1, last))))
     place = F.col("idx") % per
     rows = rows.withColumn("plane", idiv(F.col("idx"), per)).withColumn("x0", (place % F.col("__across")) * F.col("__cw")).withColumn("y0", idiv(place, F.col("__across")) * F.col("__ch"))
     rows = rows.withColumn("chunk_width", F.col("__cw")).withColumn("chunk_rows", F.when(tiled, F.col("__ch")).otherwise(F.least(F.col("__ch"), F.col("height") - F.col("y0"))))
-    return rows.drop("__cw", "__ch", "__planes", "__across", "__down")
+    return rows.drop("__cw", "__ch", "__planes", "__across", "__down", "__from")
 
 
 def locate_chunks(chunks: DataFrame, tags: DataFrame) -> DataFrame:
-    """Offsets and sizes of strips or tiles; those without a place keep nulls."""
-    places = tags.where(F.col("tag").isin(273, 279, 324, 325)).groupBy("path", "page").agg(
-        F.max(F.when(F.col("tag").isin(273, 324), F.col("ints"))).alias("__offsets"), F.max(F.when(F.col("tag").isin(279, 325), F.col("ints"))).alias("__counts")
-    )
-    found = places.select("path", "page", F.posexplode(F.arrays_zip("__offsets", "__counts")).alias("idx", "__z")).select("path", "page", F.col("idx").cast("long").alias("idx"), F.col("__z.__offsets").alias("offset"), F.col("__z.__counts").alias("byte_count"))
-    return chunks.join(found, ["path", "page", "idx"], "left")
+    """Offsets and sizes of strips or tiles; those without a place keep nulls.
+
+    chunks are those of page_fields. A size that the file does not give is the stored size
+    of uncompressed samples, and null of compressed ones, which then run to the end of the file.
+    """
+    listed = tags.where(F.col("tag").isin(273, 279, 324, 325)).select("path", "page", "tag", F.posexplode("ints").alias("idx", "value"))
+    value = lambda tag: F.max(F.when(F.col("tag") == tag, F.col("value"))).alias(f"__{tag}")
+    places = listed.groupBy("path", "page", F.col("idx").cast("long").alias("idx")).agg(*map(value, (273, 279, 324, 325)))
+    own = tags.where("tag = 324").select("path", "page", F.lit(True).alias("__own")).distinct()
+    rows = chunks.join(places, ["path", "page", "idx"], "left").join(own, ["path", "page"], "left")
+    tiled = F.col("tile_w").isNotNull() & F.col("tile_h").isNotNull() & F.col("__own").isNotNull()
+    for out, t, strip in (("offset", "__324", "__273"), ("byte_count", "__325", "__279")):
+        rows = rows.withColumn(out, F.when(tiled, F.col(t)).otherwise(F.col(strip)))
+    channels = F.when(F.col("planar") == 2, 1).otherwise(F.col("samples_per_pixel"))
+    stored = F.col("chunk_rows") * idiv(F.col("chunk_width") * channels * F.element_at("bits_per_sample", 1) + 7, 8)
+    rows = rows.withColumn("byte_count", F.coalesce("byte_count", F.when(F.col("offset").isNotNull() & (F.col("compression") == 1), stored)))
+    return rows.drop("__own", "__273", "__279", "__324", "__325")
 
 
 def first_error(chunks: DataFrame, group: Sequence[str]) -> DataFrame:

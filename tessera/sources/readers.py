@@ -26,6 +26,8 @@ from tessera.sources import tiff as tiff_
 
 #: Rows are given on after about so many bytes of pixels.
 BATCH_BYTES = 32 << 20
+#: Wanted strips or tiles up to which their places are broadcast (a few dozen bytes each).
+BROADCAST_CHUNKS = 100_000
 
 
 def files(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
@@ -194,11 +196,13 @@ def chunks(source: DataFrame, limits: Limits = Limits(), mode: str = "permissive
             yield error_row(path, e, mode)
             return
         for page in range(len(t.directories)):
-            found, e = guarded(t.chunks, page)
-            if e:
-                yield error_row(path, e, mode) | {"page": page}
-                continue
-            for c in found:
+            it = t.chunks(page)
+            while True:
+                c, e = guarded(next, it, None)
+                if e:
+                    yield error_row(path, e, mode) | {"page": page}
+                if c is None:
+                    break
                 yield {"path": path, "page": page, **asdict(c)}
 
     return table(source, S.CHUNKS, rows)
@@ -208,25 +212,31 @@ def chunk_pixels(source: DataFrame, wanted: DataFrame, limits: Limits = Limits()
     """(path, page, idx, data, incomplete) of the wanted strips or tiles: 64-bit little-endian codes, row by row.
 
     wanted is a filtered table of chunks; a filter on x0 and y0 there decodes a crop alone.
+    Up to BROADCAST_CHUNKS of them are sent to where the files are read, so that contents
+    are not shuffled; beyond that each wanted file moves once.
     """
-    asked = wanted.where("error is null").groupBy("path", "page").agg(F.collect_set("idx").alias("idxs"))
-    rows = source.select("path", "content").join(asked, "path")
+    wanted = wanted.where("error is null")
+    asked = wanted.groupBy("path").agg(F.collect_set(F.struct("page", "idx")).alias("idxs"))
+    few = wanted.limit(BROADCAST_CHUNKS + 1).count() <= BROADCAST_CHUNKS
+    rows = source.select("path", "content").join(F.broadcast(asked) if few else asked, "path")
     schema = f"path string, page int, idx int, data binary, incomplete boolean, {S.ERROR}"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content, page, idxs in zip(*batch.columns, strict=True):
+            for path, content, asked in zip(*batch.columns, strict=True):
                 t = tiff_.Tiff(content.as_py(), limits)
-                page = page.as_py()
-                info = t.info(page)
-                places = t.chunks(page, info)
-                for idx in sorted(idxs.as_py()):
-                    found, e = guarded(t.chunk_rows, page, info, places[idx], info.bits_per_sample[0])
-                    data = None if e else found[0].astype("<i8").tobytes()
-                    yield pa.RecordBatch.from_pylist([{"path": path.as_py(), "page": page, "idx": idx, "data": data, "incomplete": None if e else found[1], "error": {"kind": e.kind, "message": e.message} if e else None}], arrow)
-
-    return rows.select("path", "content", "page", "idxs").mapInArrow(run, schema)
+                pages: dict[int, list[int]] = {}
+                for r in asked.as_py():
+                    pages.setdefault(r["page"], []).append(r["idx"])
+                for page, idxs in sorted(pages.items()):
+                    info = t.info(page)
+                    for place in t.chunks(page, info, sorted(idxs)):
+                        found, e = guarded(t.chunk_rows, page, info, place, info.bits_per_sample[0])
+                        data = None if e else found[0].astype("<i8").tobytes()
+                        yield pa.RecordBatch.from_pylist([{"path": path.as_py(), "page": page, "idx": place.idx, "data": data, "incomplete": None if e else found[1], "error": {"kind": e.kind, "message": e.message} if e else None}], arrow)
+
+    return rows.select("path", "content", "idxs").mapInArrow(run, schema)
 
 
 __all__ = ["bmp", "bmp_info", "chunk_pixels", "chunks", "files", "frames", "gif", "gif_info", "page_info", "pages", "tags"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -223,62 +223,99 @@ class Tiff:
         photometric = self.int(d, 262)
         if photometric is None:
             photometric = 0 if code in (2, 3, 4) else 2 if spp >= 3 else 1
-        tile_w, tile_h = self.int(d, 322), self.int(d, 323)
+        planar = self.int(d, 284, 1) == 2 and spp > 1
+        tile_w, tile_h = self.tile(d, w, h, spp if planar else 1)
         rows = self.int(d, 278, h)
         icc = self.raw(d, 34675)
         number = self.ints(d, 297) or []
         res = [(self.floats(d, t) or [None])[0] for t in (282, 283)]
         return PageInfo(
             self.big, self.e == ">", w, h, self.ints(d, 258) or [1], spp, named(FORMAT, self.int(d, 339, 1)), named(PHOTOMETRIC, photometric), named(COMPRESSION, code),
-            "Planar" if self.int(d, 284, 1) == 2 else "Chunky", tile_w if tile_h else None, tile_h if tile_w else None, min(rows, h) or h, self.int(d, 317, 1), o if 1 <= (o := self.int(d, 274, 1)) <= 8 else 1,
+            "Planar" if planar else "Chunky", tile_w, tile_h, max(1, min(rows, h)), self.int(d, 317, 1), o if 1 <= (o := self.int(d, 274, 1)) <= 8 else 1,
             self.ints(d, 338) or [], icc[1] if icc else None, *res, self.int(d, 296, 2), self.int(d, 254, 0), number[0] if number else None, number[1] if len(number) > 1 else None,
         )
 
     # -- strips and tiles --------------------------------------------------------------------------
 
-    def chunks(self, page: int, info: PageInfo | None = None) -> list[Chunk]:
-        """Geometry and place of every strip or tile; a place that the file lacks is None."""
+    def tile(self, d: dict[int, Entry], w: int, h: int, planes: int) -> tuple[int, int] | tuple[None, None]:
+        """Tile dimensions, where tiles have places of their own or there is a strip's place for each of them."""
+        tw, th = self.int(d, 322), self.int(d, 323)
+        if not tw or not th:
+            return None, None
+        strips = d.get(273)
+        own = 324 in d or strips is not None and strips.count == -(-w // tw) * -(-h // th) * planes
+        return (tw, th) if own else (None, None)
+
+    def places(self, page: int, info: PageInfo) -> tuple[list[int], list[int]]:
+        """Offsets and sizes of strips or tiles; sizes may lack."""
         d = self.directories[page]
+        at, size = (324, 325) if info.tile_w is not None and 324 in d else (273, 279)
+        offsets = self.ints(d, at)
+        if not offsets:
+            raise RasterError("Invalid", "no strip or tile offsets")
+        return offsets, self.ints(d, size) or []
+
+    def chunks(self, page: int, info: PageInfo | None = None, wanted: Iterable[int] | None = None) -> Iterator[Chunk]:
+        """Geometry and place of every strip or tile, or of the wanted ones.
+
+        The place is None where the file lists fewer; a size that the file lacks is the
+        stored size of uncompressed data and else what is left of the file.
+        """
         info = info or self.info(page)
-        tiled = info.tile_w is not None
-        offsets = self.ints(d, 324 if tiled else 273) or self.ints(d, 273) or []
-        counts = self.ints(d, 325 if tiled else 279) or self.ints(d, 279) or []
-        cw, ch = (info.tile_w, info.tile_h) if tiled else (info.width, info.rows_per_strip)
-        if self.limits.max_pixels is not None and cw * ch > max(self.limits.max_pixels, 0):
+        cw, ch = (info.tile_w, info.tile_h) if info.tile_w is not None else (info.width, info.rows_per_strip)
+        if self.limits.max_pixels is not None and info.tile_w is not None and cw * ch > max(self.limits.max_pixels, 0):
             raise RasterError("LimitExceeded", f"tiles of {cw} x {ch} pixels")
+        offsets, counts = self.places(page, info)
         planes = info.samples_per_pixel if info.planar == "Planar" else 1
         across, down = -(-info.width // cw), -(-info.height // ch)
-        if across * down * planes > max(len(offsets), 1) * 4 + 4096:
-            raise RasterError("LimitExceeded", "far more tiles than places")
-        out = []
-        for idx in range(across * down * planes):
+        for idx in range(across * down * planes) if wanted is None else wanted:
             plane, rest = divmod(idx, across * down)
             y, x = divmod(rest, across)
-            rows = ch if tiled else min(ch, info.height - y * ch)
-            offset = offsets[idx] if idx < len(offsets) else None
-            count = counts[idx] if idx < len(counts) else None
-            if offset is not None and count is None:
-                count = max(0, len(self.data) - offset) if len(offsets) == 1 else None
-            out.append(Chunk(idx, plane, x * cw, y * ch, cw, rows, offset, count))
-        return out
+            rows = ch if info.tile_w is not None else min(ch, info.height - y * ch)
+            chunk = Chunk(idx, plane, x * cw, y * ch, cw, rows, None, None)
+            if idx < len(offsets):
+                chunk.offset = offsets[idx]
+                if idx < len(counts):
+                    chunk.byte_count = counts[idx]
+                elif info.compression == "None":
+                    chunk.byte_count = self.stored_size(page, info, chunk)
+                else:
+                    chunk.byte_count = max(0, len(self.data) - chunk.offset)
+            yield chunk
+
+    def subsampling(self, page: int, info: PageInfo) -> tuple[int, int] | None:
+        """Pixels of a unit of subsampled components across and down."""
+        if info.photometric != "YCbCr":
+            return None
+        sx, sy = ((self.ints(self.directories[page], 530) or [2, 2]) + [2])[:2]
+        if sx not in (1, 2, 4) or sy not in (1, 2, 4):
+            raise RasterError("Invalid", "subsampling")
+        if (sx, sy) == (1, 1):
+            return None
+        if info.planar == "Planar" or info.samples_per_pixel != 3 or info.bits_per_sample[0] != 8:
+            raise RasterError("Unsupported", "subsampled components")
+        return sx, sy
+
+    def stored_size(self, page: int, info: PageInfo, chunk: Chunk) -> int:
+        """Bytes of a strip or tile before compression."""
+        units = self.subsampling(page, info)
+        if units:
+            return -(-chunk.width // units[0]) * -(-chunk.rows // units[1]) * (units[0] * units[1] + 2)
+        channels = 1 if info.planar == "Planar" else info.samples_per_pixel
+        return chunk.rows * ((chunk.width * channels * info.bits_per_sample[0] + 7) // 8)
 
     def chunk_rows(self, page: int, info: PageInfo, chunk: Chunk, bits: int) -> tuple[np.ndarray, bool]:
         """(values (rows, width, channels), whether data were missing) of a strip or tile; values in file codes."""
         d = self.directories[page]
         channels = 1 if info.planar == "Planar" else info.samples_per_pixel
         w, h = chunk.width, chunk.rows
-        sub = self.ints(d, 530) or [2, 2]
-        packed = info.photometric == "YCbCr" and channels == 3 and tuple(sub[:2]) != (1, 1)
+        packed = self.subsampling(page, info)
+        size = self.stored_size(page, info, chunk)
         if packed:
-            sx, sy = sub[:2]
-            if sx not in (1, 2, 4) or sy not in (1, 2, 4):
-                raise RasterError("Invalid", "subsampling")
-            if bits != 8 or info.predictor not in (1,):
-                raise RasterError("Unsupported", "subsampled components")
+            if info.predictor != 1:
+                raise RasterError("Unsupported", "a predictor with subsampled components")
+            sx, sy = packed
             units = (-(-h // sy), -(-w // sx))
-            size = units[0] * units[1] * (sx * sy + 2)
-        else:
-            size = h * ((w * channels * bits + 7) // 8)
         if self.limits.max_alloc is not None and max(size, h * w * channels * 8) > self.limits.max_alloc:
             raise RasterError("LimitExceeded", "bytes of a strip or tile")
         if chunk.offset is None or chunk.byte_count is None:
@@ -297,11 +334,13 @@ class Tiff:
                 data = inflate(data, size)
             elif code.startswith("Ccitt"):
                 if bits != 1 or channels != 1:
-                    raise RasterError("Unsupported", "facsimile of more than one bit")
-                options = self.int(d, 292, 0)
+                    raise RasterError("Invalid", "facsimile of more than one bit")
+                options = 0 if code == "CcittMh" else self.int(d, 293 if code == "CcittG4" else 292, 0)
+                if options & 2:
+                    raise RasterError("Unsupported", "facsimile in uncompressed mode")
                 scheme = {"CcittMh": "mh", "CcittG4": "g4"}.get(code) or ("g3-2d" if options & 1 else "g3-1d")
                 data = fax_decode(data, w, h, scheme)
-                if info.photometric != "WhiteIsZero":
+                if info.photometric == "BlackIsZero":
                     data = bytes(255 - b for b in data)
             elif code != "None":
                 raise RasterError("Unsupported", code)
@@ -315,10 +354,16 @@ class Tiff:
                 out[..., k] = units_[..., sx * sy + k - 1].repeat(sy, 0).repeat(sx, 1)
             return out[:h, :w], missing
         word = {8: "u1", 16: "u2", 32: "u4", 64: "u8"}.get(bits)
-        if info.predictor == 3 and info.sample_format == "Float":
+        if info.predictor not in (1, 2, 3):
+            raise RasterError("Unsupported", f"predictor {info.predictor}")
+        if info.predictor == 3:
+            if info.sample_format != "Float":
+                raise RasterError("Invalid", "a predictor for floats on integers")
             if bits not in (16, 32, 64):
-                raise RasterError("Unsupported", "float predictor")
+                raise RasterError("Unsupported", f"predictor 3 with {bits} bits")
             return float_unpredict(data, h, w, channels, bits // 8).view(f">u{bits // 8}").astype(word), missing
+        if info.predictor == 2 and not word:
+            raise RasterError("Unsupported", f"predictor 2 with {bits} bits")
         if bits == 24:
             raw = np.frombuffer(data, np.uint8).reshape(h, w, channels, 3).astype(np.uint32)
             order = (0, 1, 2) if self.e == ">" else (2, 1, 0)
@@ -326,8 +371,6 @@ class Tiff:
         if word:
             values = np.frombuffer(data, self.e + word).reshape(h, w, channels).astype(word)
             return (unpredict(values) if info.predictor == 2 else values), missing
-        if info.predictor == 2:
-            raise RasterError("Unsupported", f"predictor with {bits} bits")
         return unpack_bits(data, h, w * channels, bits).reshape(h, w, channels), missing
 
     def decode(self, page: int) -> TiffImage:
@@ -335,23 +378,29 @@ class Tiff:
         self.limits.check_pixels(info.width, info.height)
         bits = info.bits_per_sample[0]
         spp = info.samples_per_pixel
-        if spp < 1 or spp > 65535 or any(b != bits for b in info.bits_per_sample[:spp]):
+        if spp < 1:
+            raise RasterError("Invalid", "no samples")
+        if spp > 65535 or any(b != bits for b in info.bits_per_sample):
             raise RasterError("Unsupported", "samples of different depths")
         kind = info.sample_format
-        if kind == "Float" and bits not in (16, 32, 64) or kind in ("Uint", "Int", "Undefined") and not (1 <= bits <= 32) or kind.startswith("Other"):
+        if not (kind == "Float" and bits in (16, 32, 64) or kind in ("Uint", "Int") and 1 <= bits <= 32):
             raise RasterError("Unsupported", f"{bits} bits of {kind}")
-        if info.photometric not in ("WhiteIsZero", "BlackIsZero", "Rgb", "Palette", "Mask", "Cmyk", "YCbCr"):
+        if info.photometric not in ("WhiteIsZero", "BlackIsZero", "Rgb", "Palette", "Cmyk", "YCbCr"):
             raise RasterError("Unsupported", info.photometric)
         if info.photometric == "Cmyk" and (self.int(d, 332, 1) != 1 or spp < 4):
             raise RasterError("Unsupported", "inks other than four")
         if self.limits.max_alloc is not None and info.width * info.height * spp * 8 > self.limits.max_alloc:
             raise RasterError("LimitExceeded", "bytes of a page")
-        chunks = self.chunks(page, info)
+        if info.compression not in ("None", "Lzw", "PackBits", "Deflate", "CcittMh", "CcittG3", "CcittG4"):
+            raise RasterError("Unsupported", info.compression)
         if info.tile_w is not None and info.tile_w * bits * (1 if info.planar == "Planar" else spp) % 8:
             raise RasterError("Unsupported", "tiles that do not start at a byte")
         canvas: np.ndarray | None = None
         incomplete = False
-        for chunk in chunks:
+        for chunk in self.chunks(page, info):
+            if canvas is not None and chunk.offset is None:
+                incomplete = True  # what has no place stays zero
+                break
             values, missing = self.chunk_rows(page, info, chunk, bits)
             incomplete |= missing
             if canvas is None:
@@ -367,11 +416,9 @@ class Tiff:
         d, kind, spp = self.directories[page], info.photometric, info.samples_per_pixel
         if kind == "Palette":
             table = self.ints(d, 320)
-            if table is None or bits > 16 or info.sample_format == "Float":
-                raise RasterError("Invalid", "no colour map")
-            lut = np.zeros((1 << bits, 3), np.uint16)
-            n = min(len(table) // 3, 1 << bits)
-            lut[:n] = np.array(table[: 3 * (len(table) // 3)], np.uint16).reshape(3, -1)[:, :n].T
+            if table is None or bits > 16 or info.sample_format != "Uint" or len(table) < 3 << bits:
+                raise RasterError("Invalid", "no colour map of this depth")
+            lut = np.array(table[: 3 << bits], np.uint16).reshape(3, -1).T
             return TiffImage(info, "Rgb", lut[values[..., 0]], False)
         base = {"Rgb": 3, "YCbCr": 3, "Cmyk": 4}.get(kind, 1)
         if spp < base:

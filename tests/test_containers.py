@@ -231,14 +231,14 @@ def test_display_forms():
 
 def test_bombs_and_damage():
     assert guarded(tiff.decode, directory({256: (4, 1, 100_000), 257: (4, 1, 100_000)}))[1].kind == "LimitExceeded"
-    assert guarded(tiff.decode, directory({256: short(1), 257: short(1), 322: (4, 1, 1 << 30), 323: (4, 1, 1 << 30)}))[1].kind == "LimitExceeded"
+    assert guarded(tiff.decode, directory({256: short(16), 257: short(16), 322: (4, 1, 1 << 30), 323: (4, 1, 1 << 30), 324: (4, 1, 8), 325: (4, 1, 1)}))[1].kind == "LimitExceeded"
     bomb = deflate(bytes(10 << 20))
     got = tiff.decode(directory({256: short(4), 257: short(4), 258: short(8), 259: short(8), 262: short(1), 273: (4, 1, (0,)), 279: (4, 1, len(bomb))}, bomb))
     assert got.samples.shape == (4, 4, 1)
     loop = bytearray(directory({256: short(1), 257: short(1)}))
     loop[-4:] = struct.pack("<I", 8)
     assert len(tiff.Tiff(bytes(loop)).directories) == 1
-    assert tiff.decode(directory({256: short(3), 257: short(2), 258: short(8), 262: short(1)})).incomplete
+    assert guarded(tiff.decode, directory({256: short(3), 257: short(2), 258: short(8), 262: short(1)}))[1].kind == "Invalid"
     whole = tiff.encode(rng.integers(0, 256, (20, 30, 3)).astype(np.uint8), "Rgb8", tiff.EncodeOptions("Lzw", True))
     for cut in range(0, len(whole), 41):
         assert (guarded(tiff.decode_pages, whole[:cut])[1] or RasterError("Invalid", "")).kind in KINDS
@@ -261,3 +261,84 @@ def test_subsampled_components():
     tags = {256: short(2), 257: short(2), 258: (3, 3, (6,)), 262: short(6), 277: short(3), 273: (4, 1, (0,)), 279: (4, 1, 6), 530: (3, 2, struct.unpack("<I", sub)[0])}
     got = tiff.decode(directory(tags, unit + struct.pack("<3H", 8, 8, 8)))
     assert got.samples[..., 0].tolist() == [[100, 110], [120, 130]] and got.color == "Rgb"
+
+
+def grey(w, h, bits=8, tail=b"", **more):
+    """Tags of a grey page with its samples at TAIL in strips of one row; more tags as t<number>."""
+    base = {256: short(w), 257: short(h), 258: short(bits), 262: short(1), 273: (4, 1, (0,)), 278: short(h), 279: (4, 1, len(tail))}
+    return directory(base | {int(k[1:]): v for k, v in more.items()}, tail)
+
+
+def test_strips_without_sizes():
+    where = 8 + 2 + 12 * 6 + 4
+    tags = {256: short(4), 257: short(3), 258: short(8), 262: short(1), 278: short(1), 273: (4, 3, (12,))}
+    got = tiff.decode(directory(tags, bytes(range(12)) + struct.pack("<3I", *(where + k for k in (0, 4, 8)))))
+    assert got.samples[..., 0].tolist() == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 11]] and not got.incomplete
+    packed = b"\x03abcd" + b"\x03efgh"
+    tags |= {257: short(2), 259: short(32773), 273: (4, 2, (10,))}
+    where += 12
+    got = tiff.decode(directory(tags, packed + struct.pack("<2I", where, where + 5)))
+    assert got.samples.tobytes() == b"abcdefgh"
+
+
+def test_more_tiles_than_places():
+    tags = {256: short(600), 257: short(600), 258: short(8), 262: short(1), 322: short(1), 323: short(1), 324: (4, 1, (0,)), 325: (4, 1, 1)}
+    got = tiff.decode(directory(tags, b"\x09"))
+    assert got.samples[0, 0, 0] == 9 and got.samples.sum() == 9 and got.incomplete
+    t = tiff.Tiff(directory(tags, b"\x09"))
+    assert sum(1 for _ in t.chunks(0)) == 360_000 and [c.x0 for c in t.chunks(0, wanted=[599])] == [599]
+
+
+def test_predictors_that_do_not_fit():
+    kind = lambda **tags: (guarded(tiff.decode, grey(2, 1, tail=bytes(8), **tags))[1] or RasterError("none", "")).kind
+    assert kind(t317=short(2)) == "none"
+    assert kind(t317=short(2), t258=short(24)) == kind(t317=short(2), t258=short(4)) == kind(t317=short(7)) == "Unsupported"
+    assert kind(t317=short(3)) == "Invalid" and kind(t339=short(4)) == kind(t262=short(4)) == "Unsupported"
+
+
+def test_colour_map_must_be_whole():
+    table = np.arange(12, dtype=np.uint16).tobytes()
+    tags = {"t262": short(3), "t320": (3, 12, (1,))}
+    assert tiff.decode(grey(4, 1, 2, b"\x1b" + table, **tags)).samples[0].tolist() == [[k, 4 + k, 8 + k] for k in range(4)]
+    assert guarded(tiff.decode, grey(4, 1, 2, b"\x1b" + table, **tags | {"t320": (3, 11, (1,))}))[1].kind == "Invalid"
+
+
+@pytest.mark.parametrize("scheme,code,options", [("mh", 2, 0), ("g3-1d", 3, 0), ("g3-2d", 3, 1), ("g4", 4, 0)])
+def test_damaged_facsimile_is_refused(scheme, code, options):
+    rows = (rng.random((8, 60)) < 0.3).astype(np.uint8)
+    data = fax_encode(rows, scheme)
+    tags = {"t259": short(code), "t292": (4, 1, options)}
+    assert (tiff.decode(grey(60, 8, 1, data, **tags)).samples[..., 0] == np.where(rows, 0, 255)).all()
+    middle = len(data) // 2
+    for bad in (data[:middle] + bytes(12) + data[middle + 12 :], data[:middle], b""):
+        assert guarded(tiff.decode, grey(60, 8, 1, bad, **tags))[1].kind == "Invalid"
+    if code > 2:
+        assert guarded(tiff.decode, grey(60, 8, 1, data, **tags | {f"t{289 + code}": (4, 1, 2 | options)}))[1].kind == "Unsupported"
+    if code == 4:
+        assert guarded(tiff.decode, grey(60, 8, 1, b"\x03\xc0", **tags))[1].kind == "Unsupported"
+    assert guarded(tiff.decode, grey(60, 8, 2, data, **tags))[1].kind == "Invalid"
+
+
+def test_bitmap_pixel_offset_that_cannot_be_right():
+    pixels = bytes([1, 2, 3, 0])
+    whole = hand_made(40, 24, 0, (0, 0, 0, 0), pixels)
+    for offset in (0, 20, len(whole), 1 << 30):
+        assert bmp.decode(whole[:10] + struct.pack("<I", offset) + whole[14:]).rgba[0, 0].tolist() == [3, 2, 1, 255]
+    assert guarded(bmp.decode, whole[:-3])[1].kind == "Truncated"
+    assert guarded(bmp.decode, whole[:14] + struct.pack("<I", 110) + bytes(120))[1].kind == "Invalid"
+
+
+def test_bitmap_alpha_takes_what_colours_leave():
+    word = struct.pack("<I", 0x40102030)
+    assert bmp.decode(hand_made(56, 32, 0, (0, 0, 0, 0xFFFFFFFF), word)).rgba[0, 0].tolist() == [0x10, 0x20, 0x30, 0x40]
+    for bit, alpha in ((0x8000, 255), (0, 0)):
+        got = bmp.decode(hand_made(56, 16, 0, (0, 0, 0, 0xFFFF), struct.pack("<HH", bit | 0x1F, 0)))
+        assert got.rgba[0, 0].tolist() == [0, 0, 255, alpha] and got.has_alpha
+
+
+def test_fixed_palette():
+    palette = rng.integers(0, 256, (12, 3)).astype(np.uint8)
+    image = gradient(20, 30)
+    got = gif.decode(gif.encode(image, gif.EncodeOptions(palette=palette)))[0].frames[0].rgba
+    d = ((image[:, :, None, :3].astype(int) - palette[None, None].astype(int)) ** 2).sum(-1)
+    assert (got[..., :3] == palette[d.argmin(-1)]).all()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tessera.errors import Limits
 from tessera.functions import udfs
+from tessera.operators import rasters as R
 from tessera.plans import queries as plans
 from tessera.sources import bmp, datasource, gif, readers, tiff
 from tessera.streaming.files import arriving_frames
@@ -120,3 +121,34 @@ def test_stream_of_files(spark, folder):
     q = arriving_frames(spark, str(path)).select("frame", "delay_cs", "error").writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("arrived").where("error is null").count() == 2 and spark.table("arrived").where("error is not null").count() == 1
+
+
+def test_pages_of_very_many_tiles(spark):
+    pages = spark.createDataFrame([("p", 0, 1500, 1000, 1, 1, 1, 1, 1000, [8], 1)], "path string, page int, width long, height long, samples_per_pixel long, planar long, tile_w long, tile_h long, rows_per_strip long, bits_per_sample array<long>, compression long")
+    found = R.enumerate_chunks(pages)
+    got = found.agg(F.count("*"), F.countDistinct("idx"), F.max("idx"), F.max("x0"), F.max("y0")).first()
+    assert tuple(got) == (1_500_000, 1_500_000, 1_499_999, 1499, 999)
+    strips = pages.withColumn("tile_w", F.lit(None).cast("long")).withColumn("rows_per_strip", F.lit(400).cast("long"))
+    tags = spark.createDataFrame([("p", 0, 273, [10, 20, 30])], "path string, page int, tag int, ints array<long>")
+    rows = R.locate_chunks(R.enumerate_chunks(strips), tags).orderBy("idx").collect()
+    assert [(r.offset, r.byte_count) for r in rows] == [(10, 600_000), (20, 600_000), (30, 300_000)]
+    packed = R.locate_chunks(R.enumerate_chunks(strips.withColumn("compression", F.lit(5).cast("long"))), tags)
+    assert packed.where("offset is not null and byte_count is null").count() == 3
+
+
+def test_palettes_of_many_colours(spark):
+    counts = spark.range(1000).select((F.col("id") % 2).alias("image"), (F.col("id") * 7919).alias("colour"), F.lit(1).cast("long").alias("n"))
+    exact = R.exact_palette(counts.where("image = 0 and colour < 7919 * 100"), "colour", ["image"])
+    assert exact.count() == 50
+    cut = R.exact_palette(counts, "colour", ["image"])
+    assert {r["image"]: r["count"] for r in cut.groupBy("image").count().collect()} == {0: 256, 1: 256}
+    assert R.exact_palette(counts.drop("image"), "colour", [], most=2000).count() == 1000
+    px = spark.range(5000).select(F.lit(0).alias("image"), F.col("id").alias("index"))
+    common = spark.range(5000).select(F.col("id").alias("i"), (F.col("id") * 3).alias("grey"))
+    local = spark.createDataFrame([], "image int, i long, grey long")
+    assert R.palette_lookup(px, "index", local, common, ["image"], ["grey"]).where("grey = 3 * index").count() == 5000
+
+
+def test_first_error_wins(spark):
+    rows = spark.createDataFrame([(1, 3, "late"), (1, 1, "early"), (1, 0, None), (2, 0, None)], "page int, idx int, error string")
+    assert [tuple(r) for r in R.first_error(rows, ["page"]).collect()] == [(1, "early")]
