@@ -1,48 +1,40 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton of labelled text is built for each language. A text is
-parsed against each automaton from left to right into the longest runs that
-occur in the labelled text; the language in which it takes the fewest phrases,
-normalised by log2 of the labelled text's length and by the number of letters
-(bits a letter), wins. Runs of letters are parsed one by one, with a space on
-either side, and a phrase ends where the run ends: the phrases of a run then
-depend on the run alone, so that they are counted once and remembered.
-
-Labelled text is a bounded sample (``sample_rows`` texts a language of any
-length, of a long one ``PIECES`` pieces spread over its letters that together
-hold ``sample_chars`` characters, and of their words the most frequent that fit
-in ``train_chars``): every label that has a text with a letter is learned.
-Prediction reads whole texts and the text alone.
+A suffix automaton of labelled running text is built for each language. A whole
+text is parsed against each automaton from left to right into the longest runs
+that occur in the labelled text, across words and spaces; the language in which
+it takes the fewest phrases, normalised by log2 of the labelled text's length
+and by the length of the parsed text (bits a character), wins. Texts are
+lower-cased, and what is neither a letter nor a mark becomes one space.
+
+Labelled text is a bounded sample: ``sample_rows`` texts a language, of any
+length, which together hold ``train_chars`` characters. A text longer than its
+share of those gives ``PIECES`` pieces of running text spread over it. Every
+label that has a text with a letter is learned. Prediction reads whole texts and
+the text alone.
 
 A text that is null, empty or without letters is ``und`` with score 0, as is
 every text when there are no labels. Ties go to the label first by code point.
 The score is 1 - (bits of the best) / (bits of the second best), and 1 with a
 single language. Copies are predicted alike; other columns are kept, and those
-named like the outputs are replaced.
+named like the outputs are replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 UND = "und"
-#: Runs of text whose counts a worker remembers, in each of two generations.
-CACHE_RUNS = 150_000
-CACHE_CHARS = 64
-#: Pieces of a long labelled text, of which the first starts it and the last ends it.
-PIECES = 16
-#: Bits of one counter in the packed sum of counts.
-FIELD = 48
-
-letters = regex.compile(r"\p{L}+").findall
+#: Pieces of a text that is longer than its share, the first from its start, the last from its end.
+PIECES = 8
+#: Ends a piece of labelled text: no parsed text has it, so that no match crosses two pieces.
+END = "\n"
 
 
 def automaton(text: str) -> dict:
@@ -92,60 +84,30 @@ def phrases(root: dict, text: str, dead: dict = {}) -> int:  # noqa: B006  the d
 
 
 class Model:
-    """words: for each language the training words. Automata are built where the model is first used."""
+    """texts: the labelled text of each language. Automata are built where the model is first used, once a worker."""
+
+    built: dict[int, list[dict]] = {}
 
-    def __init__(self, words: dict[str, list[str]]):
-        self.langs = sorted(words)
-        self.texts = [" " + " ".join(words[lang]) + " " for lang in self.langs]
+    def __init__(self, texts: dict[str, str]):
+        self.langs = sorted(texts)
+        self.texts = [texts[lang] for lang in self.langs]
         self.bits = [math.log2(max(2, len(t))) for t in self.texts]
-        self.roots: list[dict] = []
-
-    def __getstate__(self) -> dict:
-        return {"langs": self.langs, "texts": self.texts, "bits": self.bits, "roots": []}
-
-    def start(self) -> Model:
-        if not self.roots:
-            self.roots = [automaton(t) for t in self.texts]
-            self.cache: dict[str, int] = {}
-            self.old: dict[str, int] = {}
-        return self
-
-    def run(self, chunk: str) -> int:
-        """Letters and each language's phrases of a run without white space, packed in one integer."""
-        packed = self.old.get(chunk)
-        if packed is None:
-            packed = 0
-            for word in letters(chunk):
-                padded = f" {word} "
-                packed += len(word)
-                for k, root in enumerate(self.roots, 1):
-                    packed += phrases(root, padded) << FIELD * k
-        if len(chunk) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_RUNS:
-                self.old, self.cache = self.cache, {}
-            self.cache[chunk] = packed
-        return packed
+
+    def roots(self) -> list[dict]:
+        key = hash(tuple(self.texts))
+        if key not in self.built:
+            self.built.clear()
+            self.built[key] = [automaton(t) for t in self.texts]
+        return self.built[key]
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """text is normalised."""
         if not text or not self.langs:
             return UND, 0.0
-        chunks = text.lower().split()
-        found = list(map(self.cache.get, chunks))
-        if None in found:
-            for i, packed in enumerate(found):
-                if packed is None:
-                    found[i] = self.run(chunks[i])
-        total = sum(found)
-        n = total & (1 << FIELD) - 1
-        if not n:
-            return UND, 0.0
-        cost = []
-        for bits in self.bits:
-            total >>= FIELD
-            cost.append((total & (1 << FIELD) - 1) * bits / n)
+        cost = [phrases(root, text) * bits / len(text) for root, bits in zip(self.roots(), self.bits, strict=True)]
         best = min(range(len(cost)), key=cost.__getitem__)
         second = min((c for k, c in enumerate(cost) if k != best), default=math.inf)
-        return self.langs[best], 1.0 - cost[best] / second if second else 0.0
+        return self.langs[best], 1.0 - cost[best] / second
 
 
 def held_out(doc_id: Column) -> Column:
@@ -156,24 +118,19 @@ def has_letter(text: str) -> Column:
     return F.col(text).rlike(r"\p{L}")
 
 
-def excerpt(text: str, sample_chars: int) -> Column:
-    """The pieces of a text of which its model may see sample_chars characters: the whole of a short one."""
-    runs = F.trim(F.regexp_replace(text, r"[^\p{L}\p{M}]+", " "))
-    size = max(1, sample_chars // PIECES)
-    starts = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.floor(k * (F.length(runs) - size) / (PIECES - 1)).cast("int") + 1)
-    return F.when(F.length(text) <= sample_chars, F.array(F.col(text))).when(F.length(runs) <= sample_chars, F.array(runs)).otherwise(F.transform(starts, lambda at: F.substring(runs, at, size)))
+def normalised(text: str) -> Column:
+    """The text as it is parsed; null without letters."""
+    return F.when(has_letter(text), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")))
 
 
-def words_of(pieces: list[str]) -> set[str]:
-    """Lower-case words; of several pieces without what their ends may have cut, unless a piece is one run."""
-    out: set[str] = set()
-    for piece in pieces:
-        found = letters(piece.lower())
-        out.update(found[1:-1] if len(pieces) > 1 and len(found) > 2 else found)
-    return out
+def excerpt(text: Column, chars: Column) -> Column:
+    """Pieces of a text that together hold so many characters: the whole of a short one."""
+    size = F.greatest(F.lit(1), F.floor(chars / PIECES)).cast("int")
+    starts = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.floor(k * (F.char_length(text) - size) / (PIECES - 1)).cast("int") + 1)
+    return F.when(F.char_length(text) <= chars, F.array(text)).otherwise(F.transform(starts, lambda at: F.substring(text, at, size)))
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = 150, sample_chars: int = 4000, train_chars: int = 24_000) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = 150, train_chars: int = 48_000) -> Model:
     """A model of the languages of labelled rows.
 
     The sample is that of the smallest text hashes in each language: a share of
@@ -182,25 +139,21 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & has_letter("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
-    if not sizes:
-        return Model({})
-    limits = [x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 3 * sample_rows / n)))]
-    rows = rows.where((F.col("h") / F.lit(2.0**64) + 0.5) < F.create_map(*limits)[F.col("lang")])
-    rows = rows.select("lang", "h", excerpt("text", sample_chars).alias("pieces")).groupBy("lang", "h").agg(F.min("pieces").alias("pieces"))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "pieces"))).where(F.col("r") <= sample_rows)
-    counts: dict[str, Counter] = {k: Counter() for k in sizes}
-    for r in rows.select("lang", "pieces").collect():  # at most sample_rows * sample_chars a language
-        counts[r.lang].update(words_of(r.pieces))
-    words = {}
-    for k, seen in counts.items():
-        left, words[k] = train_chars, []
-        for w in sorted(seen, key=lambda w: (-seen[w], w)):
-            left -= len(w) + 1
-            if left < 0:
-                break
-            words[k].append(w)
-    return Model({k: v for k, v in words.items() if v})
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("__n"))
+    near = (F.col("h") / F.lit(2.0**64) + 0.5) < F.least(F.lit(1.0), 3 * sample_rows / F.col("__n"))
+    rows = rows.join(sizes, "lang").where(near)
+    # no row's share is less than train_chars / sample_rows, so what a text may give is cut to train_chars before the shuffle
+    rows = rows.withColumn("pieces", excerpt(normalised("text"), F.lit(train_chars))).groupBy("lang", "h").agg(F.min("pieces").alias("pieces"))
+    order = Window.partitionBy("lang").orderBy("h", "pieces")
+    rows = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_rows)
+    rows = rows.withColumn("share", F.floor(train_chars / F.count("*").over(Window.partitionBy("lang"))))
+    size = F.greatest(F.lit(1), F.floor(F.col("share") / PIECES)).cast("int")
+    cut = F.when(F.size("pieces") > 1, F.transform("pieces", lambda p: F.substring(p, F.lit(1), size))).otherwise(excerpt(F.element_at("pieces", 1), F.col("share")))
+    rows = rows.withColumn("pieces", cut)
+    texts: dict[str, list[str]] = {}
+    for r in rows.orderBy("lang", "r").select("lang", "pieces").toLocalIterator():  # train_chars a language, and as many ends of pieces at most
+        texts.setdefault(r.lang, []).extend(r.pieces)
+    return Model({k: END + END.join(v) + END for k, v in texts.items()})
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -208,10 +161,9 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
 
     @arrow_udf("struct<lang string, score double>")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = model.start()
         for a in batches:
-            found = [m.predict(x.as_py()) for x in a]
+            found = [model.predict(x.as_py()) for x in a]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang", "score"])
 
-    out = df.withColumn("__judged", judge(F.col(text)))
+    out = df.withColumn("__judged", judge(normalised(text)))
     return out.withColumn(lang, F.col("__judged.lang")).withColumn(score, F.col("__judged.score")).drop("__judged")

@@ -1,11 +1,15 @@
 """BPE, language identification, HTML, URLs: against the public library, held-out labels, pages and SQL."""
 
+import hashlib
 import html as entities
+import math
 import re
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from conftest import comparable
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,7 +52,11 @@ def test_bpe_columns(spark, sf):
     assert bpe.round_trip(spark.createDataFrame([], EMPTY), PATH).count() == 0
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     out = queries.op4_bpe(spark, sf).collect()
-    assert len(out) == len(docs) and all(r.n_tokens == len(library(docs[r.doc_id])[0]) for r in out)
+    assert len(out) == len(docs)
+    for r in out:
+        ids, decoded = library(docs[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
 
 
 # --- language ---------------------------------------------------------------------------------------
@@ -68,6 +76,38 @@ def test_suffix_automaton_against_brute_force():
         assert langid.phrases(root, probe) == count
 
 
+def brute_prediction(texts, text):
+    """The rules of cross-parsing, by searching the labelled texts."""
+    text = regex.sub(r"[^\p{L}\p{M}]+", " ", (text or "").lower()).strip(" ")
+    if not regex.search(r"\p{L}", text):
+        return "und", 0.0
+    cost = {}
+    for lang, known in texts.items():
+        count, i = 0, 0
+        while i < len(text):
+            n = 1
+            while i + n < len(text) and text[i : i + n + 1] in known:
+                n += 1
+            i += n
+            count += 1
+        cost[lang] = count * math.log2(len(known)) / len(text)
+    order = sorted(cost, key=lambda k: (cost[k], k))
+    return order[0], 1 - cost[order[0]] / cost[order[1]]
+
+
+def test_prediction_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs, train_chars=6000)
+    texts = dict(zip(model.langs, model.texts, strict=True))
+    assert len(texts) > 2 and all(3000 < len(t) <= 6000 + 150 * langid.PIECES + 2 for t in texts.values())
+    whole = {regex.sub(r"[^\p{L}\p{M}]+", " ", (r.text or "").lower()).strip() for r in docs.collect()}
+    assert all(any(piece in w for w in whole) for t in texts.values() for piece in t.split(langid.END))  # running text as it stands
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, " 1\u0301 "), (-3, "Übergrößen in der Straße"), (-4, "字" * 50)], "doc_id long, text string"))
+    for r in langid.predict(rows, model).collect():
+        lang, score = brute_prediction(texts, r.text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-12
+
+
 def test_language_on_held_out_documents(spark, sf):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = queries.op5_language_id(spark, sf).collect()
@@ -91,7 +131,7 @@ def test_labels_of_long_texts_are_learned(spark):
     late = "1234 " * 20_000 + "ovde je kuća i reka " * 3  # letters at the very end
     labelled = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "pies i kot mieszkają w domu nad rzeką. " * 200, "pl"), (3, late, "sr"), (4, "山水人家" * 3000, "zh"), (5, "12 34", "zz")], "doc_id long, text string, lang string")
     model = langid.fit(labelled)
-    assert model.langs == ["en", "pl", "sr", "zh"] and all(len(t) <= 24_002 for t in model.texts)
+    assert model.langs == ["en", "pl", "sr", "zh"] and all(len(t) <= 48_000 + 150 * langid.PIECES for t in model.texts)
     rows = spark.createDataFrame([(1, "pies mieszka nad rzeką"), (2, "reka i kuća"), (3, "人家山水"), (4, "the dog")], "doc_id long, text string")
     assert [r.lang_pred for r in langid.predict(rows, model).orderBy("doc_id").collect()] == ["pl", "sr", "zh", "en"]
     spread = "".join(chr(97 + k) * 3 + " " for k in range(26) for _ in range(500))  # 52,000 characters, a letter after the other
