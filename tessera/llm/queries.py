@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, html, langid, lines, media, mixing, neardup, substrings, urls
+from . import bpe, embeddings, html, langid, lines, media, mixing, neardup, sql, substrings, urls
 from .common import spread, table
 
 
@@ -49,7 +49,7 @@ def _op2_sql() -> str:
 
 
 def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.chunked_media(spread(table(spark, sf_dir, "documents")))
+    return media.chunked_media(spread(table(spark, sf_dir, "documents"))).select("doc_id", *media.FIELDS)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +146,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": _op2_sql(),
+    "op3_media_chunks": sql.OP3_SQL,
+    "op6_near_dedup": sql.OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_mixing": OP8_SQL,
+    "op9_substring_dedup": sql.OP9_SQL,
+    "op10_near_vectors": sql.OP10_SQL,
 }
