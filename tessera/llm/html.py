@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,9 +42,12 @@ STOP_WORDS = frozenset(
     el la los las de y en que un una es por con para del se al lo no su como más pero sus o este
     """.split()
 )
+#: Quotes count after an equals sign only. Nothing is tried twice: a tag ends at its > or gives up at the next <, so that
+#: a page takes time in proportion to its length whatever is left open.
+ATTRIBUTE_TEXT = r"""((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^<>])*+)>"""
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|iframe|svg|math|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|iframe|svg|title)\b{ATTRIBUTE_TEXT}.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/<>]*+){ATTRIBUTE_TEXT}|<[!?][^<>]*+>",
     re.S | re.I,
 )
 BLOCKS = frozenset(
@@ -62,6 +66,12 @@ NOT_TEXT_NAMES = frozenset(
     subscribe signup social share sharing related recommended comment comments disqus replies pagination pager copyright disclaimer""".split()
 )
 HEADER_NAMES = frozenset({"header", "topbar"})
+#: Parts of a name beside one of those above that leave its meaning; with any other part, as in related-work, it is another name.
+NEUTRAL_NAMES = frozenset(
+    """site page global main top bottom left right center upper lower inner outer section area box list block bar link links item items row
+    slot unit post posts article articles content text form icons buttons button group module panel primary secondary mobile desktop
+    story stories thread user reader readers login contact legal info""".split()
+)
 #: Names that say a container merely has such a part.
 LAYOUT_NAMES = frozenset("has with no without wrapper container layout page".split())
 #: Label of long blocks outside articles that no stop word tells of.
@@ -99,15 +109,18 @@ def names_exclude(tag: str, attributes: str, in_region: bool) -> bool:
             if value in NOT_TEXT_ROLES:
                 return True
         elif key != "aria-hidden":
-            names = set(re.split(r"[^a-z0-9]+", value))
-            if not names & LAYOUT_NAMES and (names & NOT_TEXT_NAMES or not in_region and names & HEADER_NAMES):
-                return True
+            listed = NOT_TEXT_NAMES if in_region else NOT_TEXT_NAMES | HEADER_NAMES
+            for full in value.split():
+                names = {x for x in re.split(r"[^a-z]+", full) if x}
+                if names & listed and not names & LAYOUT_NAMES and names <= listed | NEUTRAL_NAMES:
+                    return True
     return False
 
 
 def blocks(page: str) -> Iterator[Block]:
     """Blocks with text, in page order; region 0 is what no article or main element holds."""
     stack: list[tuple[str, int, bool]] = []  # name, region, excluded
+    depth: Counter = Counter()  # open elements of each name
     region, excluded, regions, link = 0, False, 0, 0
     parts: list[tuple[str, bool]] = []
     at, breaks = 0, 0
@@ -130,12 +143,12 @@ def blocks(page: str) -> Iterator[Block]:
     for m in TOKEN.finditer(page):
         take(page[at : m.start()])
         at = m.end()
-        name = m[3]
+        name = m[4]
         if name is None:
             if m[1] is not None:
                 parts.append((" ", False))
             continue
-        name, end = name.lower(), bool(m[2])
+        name, end = name.lower(), bool(m[3])
         if name == "br":
             parts.append((" ", False))
             breaks += 1
@@ -148,21 +161,23 @@ def blocks(page: str) -> Iterator[Block]:
             link = 0 if end else 1
         elif name in NESTED:
             if end:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        if name not in BLOCKS and stack[k][2] != (stack[k - 1][2] if k else False):
-                            yield from close()
-                        del stack[k:]
-                        break
-            elif not m[4].endswith("/"):
+                if depth[name]:  # the end tag of nothing does not search the stack
+                    before, closed = excluded, ""
+                    while closed != name:
+                        closed = stack.pop()[0]
+                        depth[closed] -= 1
+                    if name not in BLOCKS and before != (stack[-1][2] if stack else False):
+                        yield from close()
+            elif not m[5].endswith("/"):
                 inside = region
-                out = excluded or name in NOT_TEXT or name == "header" and not region or names_exclude(name, m[4], region > 0)
+                out = excluded or name in NOT_TEXT or name == "header" and not region or names_exclude(name, m[5], region > 0)
                 if name in REGIONS and not excluded and not region:
                     regions += 1
                     inside = regions
                 if out != excluded and name not in BLOCKS:
                     yield from close()
                 stack.append((name, inside, out))
+                depth[name] += 1
             region, excluded = stack[-1][1:] if stack else (0, False)
     take(page[at:])
     yield from close()
@@ -172,7 +187,10 @@ def first_pass(b: Block, rules: Rules) -> str:
     n = len(b.text)
     words = b.text.lower().split()
     visible = sum(map(len, words))
-    if b.excluded or "©" in b.text and n < rules.short and not b.region or b.linked > rules.links * visible and not (b.region and n >= rules.long and b.linked < visible):
+    if b.excluded or "©" in b.text and n < rules.short and not b.region:
+        return "bad"
+    # in an article a block of links alone is a menu, and a paragraph with links a paragraph
+    if b.linked >= visible if b.region else b.linked > rules.links * visible:
         return "bad"
     density = sum(w.strip(".,;:!?\"'()[]%#*&$") in STOP_WORDS for w in words) / len(words)
     if n < rules.short:
@@ -199,6 +217,9 @@ def judge_unknown(found: list[Block]) -> None:
 
 def second_pass(found: list[Block], regions: dict[int, list[int]]) -> None:
     for region, members in regions.items():
+        if region and not any(found[i].label == "good" for i in members):  # nothing in the article tells its short blocks from text
+            for i in members:
+                found[i].label = found[i].label or "good"
         before: int | None = None
         decided = [k for k, i in enumerate(members) if found[i].label and not found[i].excluded]
         labels = [found[i].label for i in members]

@@ -185,6 +185,30 @@ def test_copyright_signs(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<article><p>{LONG}</p><section id='related-work'><p>Others did it.</p></section><p>For <math><mi>x</mi></math> more.</p></article>", f"{LONG.strip()}\nOthers did it.\nFor x more."),
+        ("<article><p><a href=x>Most of this is a link</a> so.</p><p>Short.</p></article>", "Most of this is a link so.\nShort."),
+        (f"<article><p>{LONG}</p><div class='related-posts'><p>{LONG}</p></div><div class='promotion rules'>{LONG}</div><div id='comments-section'>{LONG}</div></article>", LONG.strip()),
+        (f"<article><p>It's <a title=it's href='a>b'>five o'clock</a> &lt;now</p><p>{LONG}</p></article>", f"It's five o'clock <now\n{LONG.strip()}"),
+        (f"<main><p>{LONG}</p></b></i></section></div><p>x < y and z</p></main>", f"{LONG.strip()}\nx < y and z"),
+    ],
+)
+def test_blocks_inside_articles(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<script ", "<script>", "<a b=\"", "<a b='\"", "<!", "<!--", "</div>", "<div>", "<p title=\"x", "<", "&", "&#", "<b a=", "<p>©<a>", "<span></b>"])
+def test_time_of_broken_pages(unit):
+    took = []
+    for size in (1 << 18, 1 << 20):
+        start = time.perf_counter()
+        html.main_text(unit * (size // len(unit)))
+        took.append(time.perf_counter() - start)
+    assert took[1] < 20 and took[1] < 12 * took[0] + 0.5
+
+
 POLISH = "Dawno temu w małym domu nad rzeką mieszkała rodzina, która codziennie chodziła do lasu po drewno i grzyby. "
 RUSSIAN = "Давным-давно в маленьком доме у реки жила семья, которая каждый день ходила в лес за дровами и грибами. "
 CHINESE = "很久以前在河边的小屋里住着一家人他们每天都去森林里捡柴和采蘑菇回来以后大家围着火炉讲故事。" * 3
