@@ -4,6 +4,15 @@ Language identification rejects documents without letters; line dedup removes
 repeated passages and documents of which nothing is left; near-dedup keeps one
 document of each group; mixing repeats and orders documents by the curriculum;
 the last stage encodes what is left, decodes it again and keeps both.
+
+Null texts, and empty ones and those without letters, go in the first stage.
+Rows without an id are documents of their own, alike only to rows with the same
+text. A row given twice stays once after near-dedup; a row that merely shares its
+id with a removed one stays. Of equally near documents the one with the smallest
+id stays, null ids last. Null languages are not learned from, and null sources
+are one source, the last. Texts are read whole, of any length. Columns beyond
+those of documents pass through all stages but the last, whatever their names.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,9 +39,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
-    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near-duplicates: that with the smallest id, or any if there is none."""
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    if rows.groupBy("__row").count().where("count > 1").limit(1).count():
+        rows = Workspace(spark, "rows").save(rows.dropDuplicates(["__row"]), "rows")  # some rows are given twice
+    found = neardup.near_duplicates(rows.select("__row", "text"), doc_id="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    found = Workspace(spark, "groups").save(found.join(rows.select("__row", F.col("doc_id").alias("id")), "__row"), "groups")
+    first = found.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("m")).where("n > 1")
+    gone = found.join(first, "component_id").where(F.col("__row") != F.col("m.__row")).select("__row")
+    return rows.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

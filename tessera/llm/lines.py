@@ -9,7 +9,7 @@ whose skewed keys Spark may split.
 
 Lines are what line feeds separate, compared exactly. A text of fewer than
 three lines has no window and stays. Null texts stay null; empty ones stay
-empty. Windows of blank lines only are not compared. Rows that share an id are
+empty. Windows of blank lines are windows like others. Rows that share an id are
 taken as one document given twice and treated alike; rows without an id stay as
 they are, and their windows are not compared. An empty table gives an empty one.
 Other columns are kept; columns named like the outputs are replaced.
@@ -34,7 +34,7 @@ def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     starts = F.sequence(F.lit(1), F.size("lines") - (SIZE - 1))
     cut = F.transform(starts, lambda i: F.struct((i - 1).alias("start"), *(F.element_at("lines", i + k).alias(f"l{k}") for k in range(SIZE))))
     parts = [f"w.l{k}" for k in range(SIZE)]
-    found = rows.select("id", F.explode(cut).alias("w")).where(F.length(F.trim(F.concat_ws("", *parts))) > 0)
+    found = rows.select("id", F.explode(cut).alias("w"))
     return found.select("id", F.col("w.start").alias("start"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *parts).alias("h2"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embeddings, html, langid, lines, media, mixing, neardup, sql, substrings, urls
-from .common import spread, table
+from .common import Workspace, spread, table
 
 
 def tokenizer_path(spark: SparkSession) -> str:
@@ -82,8 +82,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = """
     with lined as (select doc_id, text, string_split(text, chr(10)) as l from documents),
     wins as (select doc_id, s - 1 as start, l[s] || chr(10) || l[s + 1] || chr(10) || l[s + 2] as w
-        from (select doc_id, l, unnest(range(1, len(l) - 1)) as s from lined where len(l) >= 3)
-        where length(trim(l[s] || l[s + 1] || l[s + 2], ' ')) > 0),
+        from (select doc_id, l, unnest(range(1, len(l) - 1)) as s from lined where len(l) >= 3)),
     late as (select doc_id, start from (select *, row_number() over (partition by w order by doc_id, start) as r from wins) where r > 1),
     gone as (select distinct doc_id, unnest(range(start, start + 3)) as i from late),
     kept as (select d.doc_id, coalesce(string_agg(d.line, chr(10) order by d.i), '') as text, count(*) as n
@@ -96,7 +95,8 @@ OP7_SQL = """
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
+    # words are counted once: the plan reads sizes several times
+    docs = Workspace(spark, "mixing").save(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.size_of(F.col("text")).alias("size")), "sizes")
     planned = mixing.plan(docs, measured=True)
     first = F.round(F.element_at("positions", 1), 6)
     return planned.select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("copies") > 0, first).alias("first_position")).orderBy("first_position", "doc_id")

@@ -14,8 +14,6 @@ def plain_lines(rows):
         gone = set()
         for k in range(len(part) - 2):
             w = tuple(part[k : k + 3])
-            if not "".join(w).strip(" "):
-                continue
             if w in seen:
                 gone |= {k, k + 1, k + 2}
             seen.add(w)
@@ -62,3 +60,23 @@ def test_language_stage_without_labels_keeps_texts_with_letters(spark, sf):
         rows = [(1, "clean words", label, "s", 11), (2, None, label, "s", 0), (3, "12 34", label, "s", 5), (4, "longer words " * 500, label, "s", 6500)]
         docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
         assert {r.doc_id for r in pipeline.language(spark, docs, sf).collect()} == {1, 4}
+
+
+def test_stages_of_hard_rows(spark, sf):
+    """Nulls in any column, repeated rows and ids, ties, clashing columns and empty tables."""
+    words = " ".join(f"word{k}" for k in range(40))
+    other = " ".join(f"thing{k}" for k in range(40))
+    rows = [(1, words, "en", "a", 300), (1, words, "en", "a", 300), (2, words, None, None, None), (None, words, "en", "a", 1), (None, words, "en", "a", 1), (None, None, None, None, None)]
+    rows += [(3, other, "en", "a", 9), (4, other, "en", "b", 9), (3, words + " more", "de", "b", 9), (5, "", "en", "a", 0), (6, "12", None, "a", 2), (7, "x " * 60_000, "en", "c", 120_000)]
+    docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id int, key string")
+    one = pipeline.language(spark, docs, sf)
+    assert sorted((r.doc_id or 0) for r in one.collect()) == [0, 0, 1, 1, 2, 3, 3, 4, 7] and one.columns == docs.columns
+    near = pipeline.near_dedup(spark, docs, sf)
+    got = sorted(((r.doc_id or 0), (r.text or "")[:6]) for r in near.collect())
+    # of a repeated row one stays, of near-duplicates the first by id, and a row that shares an id with a removed one
+    assert got == [(0, ""), (1, "word0 "), (3, "thing0"), (5, ""), (6, "12"), (7, "x x x ")] and near.columns == docs.columns
+    for _, stage in pipeline.STAGES[1:4]:
+        assert stage(spark, docs, sf).columns == docs.columns
+    assert pipeline.tokens(spark, docs, sf).count() == len(rows)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs.where("false"), sf).count() == 0
