@@ -30,9 +30,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import Workspace
+
 UND = "und"
 #: Pieces of a text that is longer than its share, the first from its start, the last from its end.
 PIECES = 8
+#: Label values up to which their sizes are sent to where the texts are read; more are joined.
+BROADCAST_LABELS = 10_000
 #: Ends a piece of labelled text: no parsed text has it, so that no match crosses two pieces.
 END = "\n"
 
@@ -84,9 +88,7 @@ def phrases(root: dict, text: str, dead: dict = {}) -> int:  # noqa: B006  the d
 
 
 class Model:
-    """texts: the labelled text of each language. Automata are built where the model is first used, once a worker."""
-
-    built: dict[int, list[dict]] = {}
+    """texts: the labelled text of each language. A task builds its automata, and its worker is free of them afterwards."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
@@ -94,17 +96,13 @@ class Model:
         self.bits = [math.log2(max(2, len(t))) for t in self.texts]
 
     def roots(self) -> list[dict]:
-        key = hash(tuple(self.texts))
-        if key not in self.built:
-            self.built.clear()
-            self.built[key] = [automaton(t) for t in self.texts]
-        return self.built[key]
+        return [automaton(t) for t in self.texts]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, roots: list[dict], text: str | None) -> tuple[str, float]:
         """text is normalised."""
         if not text or not self.langs:
             return UND, 0.0
-        cost = [phrases(root, text) * bits / len(text) for root, bits in zip(self.roots(), self.bits, strict=True)]
+        cost = [phrases(root, text) * bits / len(text) for root, bits in zip(roots, self.bits, strict=True)]
         best = min(range(len(cost)), key=cost.__getitem__)
         second = min((c for k, c in enumerate(cost) if k != best), default=math.inf)
         return self.langs[best], 1.0 - cost[best] / second
@@ -141,7 +139,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows
     rows = rows.withColumn("h", F.xxhash64("text"))
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("__n"))
     near = (F.col("h") / F.lit(2.0**64) + 0.5) < F.least(F.lit(1.0), 3 * sample_rows / F.col("__n"))
-    rows = rows.join(sizes, "lang").where(near)
+    sizes = Workspace(labelled.sparkSession, "langid").save(sizes, "sizes")
+    few = sizes.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    rows = rows.join(F.broadcast(sizes) if few else sizes, "lang").where(near)
     # no row's share is less than train_chars / sample_rows, so what a text may give is cut to train_chars before the shuffle
     rows = rows.withColumn("pieces", excerpt(normalised("text"), F.lit(train_chars))).groupBy("lang", "h").agg(F.min("pieces").alias("pieces"))
     order = Window.partitionBy("lang").orderBy("h", "pieces")
@@ -161,8 +161,9 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
 
     @arrow_udf("struct<lang string, score double>")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        roots = model.roots()
         for a in batches:
-            found = [model.predict(x.as_py()) for x in a]
+            found = [model.predict(roots, x.as_py()) for x in a]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang", "score"])
 
     out = df.withColumn("__judged", judge(normalised(text)))
