@@ -85,6 +85,13 @@ def rgba(data: bytes, width: int, height: int) -> np.ndarray:
 
 bmp_encode = many(lambda data, width, height, fmt: bmp.encode(rgba(data, width, height), fmt), failfast=True)
 bmp_encode_indexed = many(lambda index, width, height, palette, bits: bmp.encode_indexed(np.frombuffer(index, np.uint8).reshape(height, width), np.frombuffer(palette, np.uint8).reshape(-1, 3), bits), failfast=True)
+
+
+def gif_encoder(options: gif.EncodeOptions):
+    """Function of (RGBA, width, height) that writes a file of one image with the given options."""
+    return many(lambda data, width, height: gif.encode(rgba(data, width, height), options), failfast=True)
+
+
 gif_encode = many(lambda data, width, height: gif.encode(rgba(data, width, height)), failfast=True)
 bmp_decode = one(lambda data: bmp.decode(data).rgba.tobytes())
 gif_first_frame = one(lambda data: next(iter(gif.Decoder(data))).rgba.tobytes())

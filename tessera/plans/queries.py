@@ -423,11 +423,6 @@ def summary(rows: DataFrame, data: str) -> DataFrame:
     return rows.select("doc_id", F.octet_length(data).cast("long").alias("n"), F.md5(data).alias("digest"))
 
 
-@query(BYTES_SQL)
-def bytes_identity(spark, sf_dir):
-    return summary(text_bytes(spark, sf_dir), "data")
-
-
 def codec(name: str, encode, decode) -> None:
     def run(spark, sf_dir):
         coded = text_bytes(spark, sf_dir).select("doc_id", "size", encode(F.col("data")).alias("coded"))
