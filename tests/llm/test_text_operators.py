@@ -90,9 +90,9 @@ def brute_prediction(texts, text):
                 n += 1
             i += n
             count += 1
-        cost[lang] = count * math.log2(len(known)) / len(text)
-    order = sorted(cost, key=lambda k: (cost[k], k))
-    return order[0], 1 - cost[order[0]] / cost[order[1]]
+        cost[lang] = count * math.log2(len(known)), lang, count
+    _, lang, count = min(cost.values())
+    return lang, 1 - count / len(text)
 
 
 def test_prediction_against_brute_force(spark, sf):
