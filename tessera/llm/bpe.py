@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import parts
+
 #: Runs of text remembered by a worker in each of two generations, which bounds its memory for any corpus.
 CACHE_WORDS = 100_000
 CACHE_WORD_CHARS = 64
@@ -167,7 +169,7 @@ def encode_column(text: Column, path: str) -> Column:
     @arrow_udf("binary")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path)
-        for a in batches:
+        for a in parts(batches):
             yield pa.array([bpe.encode(x.as_py()) for x in a], pa.binary())
 
     return encode(text)
@@ -177,7 +179,7 @@ def decode_column(ids: Column, path: str) -> Column:
     @arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path)
-        for a in batches:
+        for a in parts(batches):
             yield pa.array([bpe.decode(x.as_py() or b"") for x in a], pa.string())
 
     return decode(ids)
@@ -198,7 +200,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", out: str = "ids", d
     @arrow_udf("struct<ids binary, decoded string>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path)
-        for a in batches:
+        for a in parts(batches):
             ids = [bpe.encode(x.as_py()) for x in a]
             yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], ["ids", "decoded"])
 

@@ -60,18 +60,30 @@ class Workspace:
         self._remove(f"{self.path}/{name}")
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about SLICE_BYTES of one text or binary column; a longer row is a run of its own."""
-    col = batch.column(column)
-    sizes = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+def cut(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of about SLICE_BYTES of a text or binary column; a longer value is a run of its own."""
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > SLICE_BYTES:
-            yield batch.slice(start, i - start)
+            yield start, i - start
             start, held = i, 0
         held += int(n)
-    if start < batch.num_rows:
-        yield batch.slice(start)
+    if start < len(column):
+        yield start, len(column) - start
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows by one text or binary column."""
+    for start, n in cut(batch.column(column)):
+        yield batch.slice(start, n)
+
+
+def parts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Text or binary arrays in runs of values, so that what a function makes of them is given on before the next run is read."""
+    for column in columns:
+        for start, n in cut(column):
+            yield column.slice(start, n)
 
 
 def map_slices(df: DataFrame, columns: list, step: Callable, schema: str) -> DataFrame:

@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import parts
+
 STOP_WORDS = frozenset(
     """
     the of and to a in is it that for on was with are by as at be this from or an he you not but his her they we have had which
@@ -262,7 +264,7 @@ def extract(df: DataFrame, html: str = "html", out: str = "text", rules: Rules |
 
     @arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for a in batches:
+        for a in parts(batches):
             yield pa.array([main_text(x.as_py(), rules) for x in a], pa.string())
 
     return df.withColumn(out, texts(F.col(html)))

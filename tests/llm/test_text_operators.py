@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 from conftest import comparable
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from tessera.llm import bpe, html, langid, queries, urls
+from tessera.llm import bpe, common, html, langid, queries, urls
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -272,3 +273,10 @@ def test_cascade_is_exact_over_its_universe(spark):
 def test_all_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names and [k for k in range(1, 11) if not any(n.startswith(f"op{k}_") for n in names)] == []
+
+
+def test_parts_of_columns():
+    values = [None, "", "a" * 3_000_000, "é" * 3_000_000, None, "b", "c" * 9_000_000, "d"]
+    found = list(common.parts(iter([pa.array(values), pa.array([], pa.string()), pa.array(values[::-1])])))
+    assert [x for a in found for x in a.to_pylist()] == values + values[::-1] and len(found) > 6
+    assert all(len(a) == 1 or sum(len((x or "").encode()) for x in a.to_pylist()) <= common.SLICE_BYTES for a in found)
