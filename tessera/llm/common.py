@@ -103,6 +103,28 @@ def map_slices(df: DataFrame, columns: list, step: Callable, schema: str) -> Dat
     return df.select(*columns).mapInArrow(run, schema)
 
 
+#: A join sends fewer keys than this to every task, those that more than one in so many of its rows have.
+HOT_KEYS = 2000
+#: Rows of one key below which a join does not deal them out.
+HOT_ROWS = 10_000
+
+
+def join_dealt(rows: DataFrame, keyed: DataFrame, on: list[str], count: str) -> DataFrame:
+    """Inner join of rows to keyed, which has one row for each key and in count how many rows meet it.
+
+    The rows of a key with a large share of all are dealt by hash into parts of
+    one size, each of which meets a copy of keyed's row, so that no task holds a
+    key. keyed is read three times and should be a written table.
+    """
+    each = max(HOT_ROWS, (keyed.agg(F.sum(count)).first()[0] or 0) // HOT_KEYS)
+    parts_of = F.ceil(F.col(count) / each).cast("int")
+    hot = keyed.where(F.col(count) > each).select(*on, parts_of.alias("__parts"))
+    dealt = rows.withColumn("__hash", F.xxhash64(*rows.columns)).join(F.broadcast(hot), on, "left")
+    dealt = dealt.withColumn("__part", F.pmod("__hash", F.coalesce("__parts", F.lit(1))).cast("int")).drop("__hash", "__parts")
+    last = F.when(F.col(count) > each, parts_of - 1).otherwise(0)
+    return dealt.join(keyed.withColumn("__part", F.explode(F.sequence(F.lit(0), last))), [*on, "__part"]).drop("__part")
+
+
 def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """(id, component) of every id in edges (a, b): the smallest id reachable.
 

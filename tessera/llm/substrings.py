@@ -13,7 +13,8 @@ stretch: its bytes are hashed as a whole.
    hash is sent, in bytes, to the task of its hash, where the hashes of all
    windows are sorted. Where more than ``most`` stretches share an anchor hash,
    their window hashes are dealt into as many parts by hash as keep each of one
-   size, so that no task holds a group of unbounded size.
+   size, so that no task holds a group of unbounded size. Joins on anchor hashes
+   deal the rows of frequent ones into parts likewise.
 4. Covered positions of a document are merged and removed at once.
 
 Equality rests on 64-bit hashes under a 64-bit anchor hash. A note on a stretch
@@ -37,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, map_slices
+from .common import Workspace, join_dealt, map_slices
 from .neardup import _BYTE, _POWERS, mix
 
 LENGTH, GRAM = 200, 48
@@ -136,7 +137,7 @@ def applied(docs: DataFrame, notes: DataFrame, doc_id: str, text: str, length: i
     """
     rows = docs.select(row_id(doc_id, text).alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(notes, "rid", "left").select("rid", "doc_id", "notes", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"kind string, rid long, doc_id {kind}, spans array<int>, body binary, key long, c long, n long, place long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = f"kind string, rid long, doc_id {kind}, spans array<int>, body binary, key long, c long, n long, place long, stretches long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def step():
@@ -160,15 +161,15 @@ def applied(docs: DataFrame, notes: DataFrame, doc_id: str, text: str, length: i
                         if f["whole"]:
                             spans.append((a, b))
                         if f["send"]:
-                            out.append(("stretch", rid, None, None, data[a:b], f["key"], f["c"], f["n"], f["place"], None, None, None, None))
+                            out.append(("stretch", rid, None, None, data[a:b], f["key"], f["c"], f["n"], f["place"], f["stretches"], None, None, None, None))
                             waits |= not f["whole"]
                 spans = merge(spans)
                 if waits:
-                    out.append(("wait", rid, doc, [x for s in spans for x in s], squeeze.compress(data), None, None, None, None, len(data), None, None, None))
+                    out.append(("wait", rid, doc, [x for s in spans for x in s], squeeze.compress(data), None, None, None, None, None, len(data), None, None, None))
                 else:
                     gone, runs, kept = without(data, spans)
-                    out.append(("done", rid, doc, None, None, None, None, None, None, len(data), gone, runs, hashlib.sha256(kept).hexdigest()))
-            types = [pa.string(), pa.int64(), batch.schema.field(1).type, pa.list_(pa.int32()), pa.binary(), *[pa.int64()] * 7, pa.string()]
+                    out.append(("done", rid, doc, None, None, None, None, None, None, None, len(data), gone, runs, hashlib.sha256(kept).hexdigest()))
+            types = [pa.string(), pa.int64(), batch.schema.field(1).type, pa.list_(pa.int32()), pa.binary(), *[pa.int64()] * 8, pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
         return run
@@ -294,24 +295,24 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ws = Workspace(docs.sparkSession, "substrings")
     found = anchors(docs, doc_id, text, length, gram)
     keys = found.select("key", "c").groupBy("key").agg(F.count("*").alias("times"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("times > 1")
-    met = ws.save(found.join(keys.select("key", (F.col("c1") != F.col("c2")).alias("mixed")), "key"), "met")
+    keys = ws.save(keys.select("key", "times", (F.col("c1") != F.col("c2")).alias("mixed")), "keys")
+    met = ws.save(join_dealt(found, keys, ["key"], "times").drop("times"), "met")
     per = met.where("mixed").groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("one"))
     per = ws.save(per, "per")
     odd = per.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("stretches")).where("least = 1").select("key", "stretches")
-    send = ws.save(per.join(odd, "key").select("key", "c", "n", "one", "stretches"), "send")
+    send = ws.save(join_dealt(per, ws.save(odd, "odd"), ["key"], "stretches"), "send")
     # whole: places of stretches that occur twice; to send: one place of each stretch under a key with a lone one
-    again = per.where("n > 1").select("key", "c")
-    whole = met.where("not mixed").select("rid", "key", "c", "place").union(met.where("mixed").join(again, ["key", "c"]).select("rid", "key", "c", "place"))
-    whole = whole.select("rid", F.struct("place", "c", "key", F.lit(True).alias("whole"), F.lit(False).alias("send"), F.lit(0).cast("long").alias("n")).alias("note"))
-    asked = send.select(F.col("one.rid").alias("rid"), F.struct(F.col("one.place").alias("place"), "c", "key", F.lit(False).alias("whole"), F.lit(True).alias("send"), "n").alias("note"))
+    again = per.where("n > 1").select("key", "c", "n")
+    whole = met.where("not mixed").select("rid", "key", "c", "place").union(join_dealt(met.where("mixed").select("rid", "key", "c", "place"), again, ["key", "c"], "n").select("rid", "key", "c", "place"))
+    none = F.lit(0).cast("long")
+    whole = whole.select("rid", F.struct("place", "c", "key", F.lit(True).alias("whole"), F.lit(False).alias("send"), none.alias("n"), none.alias("stretches")).alias("note"))
+    asked = send.select(F.col("one.rid").alias("rid"), F.struct(F.col("one.place").alias("place"), "c", "key", F.lit(False).alias("whole"), F.lit(True).alias("send"), "n", "stretches").alias("note"))
     notes = whole.union(asked).groupBy("rid").agg(F.collect_list("note").alias("notes"))
     state = ws.save(applied(docs, notes, doc_id, text, length), "state")
     ws.drop("met")
-    sent = state.where("kind = 'stretch'").select("key", "rid", "n", "place", "body")
-    hot = send.where(F.col("stretches") > most).select("key", "stretches").distinct()
-    few = sent.join(hot, "key", "left_anti")
-    more = singles(few, length).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("more"))
-    hits = in_parts(sent.join(hot, "key"), length, most).groupBy("rid").agg(F.collect_list("starts").alias("hits"))
+    sent = state.where("kind = 'stretch'")
+    more = singles(sent.where(F.col("stretches") <= most), length).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("more"))
+    hits = in_parts(sent.where(F.col("stretches") > most), length, most).groupBy("rid").agg(F.collect_list("starts").alias("hits"))
     waiting = state.where("kind = 'wait'").join(more, "rid", "left").join(hits, "rid", "left").select("doc_id", "n_bytes", "spans", "more", "hits", "body")
     kind = waiting.schema["doc_id"].dataType.simpleString()
 

@@ -13,7 +13,7 @@ import pytest
 from conftest import comparable
 from pyspark.sql import functions as F
 
-from tessera.llm import embeddings, lines, media, mixing, neardup, queries, substrings
+from tessera.llm import common, embeddings, lines, media, mixing, neardup, queries, substrings
 from tessera.llm.common import Workspace, components
 
 rng = np.random.default_rng(3)
@@ -212,6 +212,17 @@ def test_components(spark):
     assert got == want
 
 
+def test_joins_deal_out_frequent_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    rows = spark.range(1000).select(F.when(F.col("id") < 400, 7).otherwise(F.col("id") % 90).cast("long").alias("k"), "id")
+    keyed = rows.where("k % 3 = 1").groupBy("k").agg(F.count("*").alias("n"))
+    got = common.join_dealt(rows, keyed, ["k"], "n")
+    assert got.columns == ["k", "id", "n"]
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, rows.join(keyed, "k").collect()))
+    assert common.join_dealt(rows, keyed.where("false"), ["k"], "n").count() == 0
+
+
 # --- lines and mixing -------------------------------------------------------------------------------
 
 
