@@ -7,16 +7,20 @@ through wrongly, and so on until nothing passes wrongly. A key's first failing
 level then tells exactly whether it is listed, without a join.
 
 The universe of a corpus are all keys that its URLs could match: every parent
-domain of a host with every prefix of the path that has the length of some
-rule's path. It is read once, to find what level 0 lets through; later levels
-work on those few keys. Filters are built by aggregating 64-bit words, and their
-size is checked against ``max_bits`` before they are sent to executors: the
-filters grow with the listed keys, not with the corpus.
+domain of a host, of as many labels as a listed one has, with every prefix of
+the path that has the length of some rule's path. It is read once to be counted
+and once to find what the first levels of all sets let through; later levels
+work on those few keys. Filters are built by aggregating 64-bit words, which
+reach the driver in packed batches, and their size is checked against
+``max_bits`` before they are sent to executors: the filters grow with the listed
+keys, not with the corpus.
 
 A null URL, or one without ``://``, has an empty host and path; no rule with a
-host fits it and it is allowed. A rule listed twice counts once; if it is listed
-as allow and block, allow wins. An empty table gives an empty one. Other columns
-are kept; columns named like the outputs are replaced.
+host fits it and it is allowed. A URL of any length, and a host of any number of
+labels, takes memory in proportion to its length. A rule listed twice counts
+once; if it is listed as allow and block, allow wins. Repeated rows are each
+judged alike. An empty table gives an empty one. Other columns are kept; columns
+named like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -48,10 +52,16 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
 
 
-def candidates(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """Array of (key, n_host): each parent domain of the host with the path's prefix of each length that the path has."""
-    labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+def labels_of(key: Column) -> Column:
+    """Number of labels of a listed key's host."""
+    return F.size(F.split(F.substring_index(key, "/", 1), r"\."))
+
+
+def candidates(host: Column, path: Column, lengths: Sequence[int], most: int) -> Column:
+    """Array of (key, n_host): each parent domain of the host of at most so many labels with the path's prefix of each length that the path has."""
+    domains = F.array(*(F.substring_index(host, ".", -n) for n in range(1, most + 1)))
+    # a host of fewer labels is its own longest domain
+    domains = F.array_distinct(domains)
     usable = F.filter(F.array(*map(F.lit, lengths)), lambda n: F.char_length(path) >= n)
     return F.flatten(F.transform(domains, lambda d: F.transform(usable, lambda n: F.struct(F.concat(d, F.substring(path, F.lit(1), n)).alias("key"), F.char_length(d).alias("n_host")))))
 
@@ -119,9 +129,14 @@ def make_level(keys: DataFrame, n: int, number: int, rate: float, max_bits: int)
             np.bitwise_or.at(value, inverse, np.uint64(1) << (at & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], ["word", "value"])
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in b.columns], ["words", "bits"])
+
     words = np.zeros((bits + 63) // 64, np.uint64)
-    for word, value in keys.select("h1", "h2").mapInArrow(places, "word long, value long").groupBy("word").agg(F.bit_or("value")).toLocalIterator():
-        words[word] = np.int64(value).view(np.uint64)
+    set_words = keys.select("h1", "h2").mapInArrow(places, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
+    for at, value in set_words.mapInArrow(packed, "words binary, bits binary").toLocalIterator():
+        words[np.frombuffer(at, np.int64)] = np.frombuffer(value, np.uint64)
     level.words = words
     return level
 
@@ -157,9 +172,19 @@ def build(ws: Workspace, urls: DataFrame, keys: Column, sets: dict[str, DataFram
         if sizes[name]:
             first[name] = make_level(listed[name], sizes[name], 0, min(0.5, sizes[name] * math.sqrt(0.5) / universe), max_bits)
     out = {name: Cascade([]) for name in sets}
+    if not first:
+        return out
+    tested = urls.withColumn("c", keys)
+    for k, level in enumerate(first.values()):  # the first levels of all sets meet the urls in one scan
+        tested = tested.withColumn(f"f{k}", flags(level, F.col("c")))
+
+    def passing_keys(name: str, flag: str) -> Column:
+        return F.transform(F.filter(F.arrays_zip("c", flag), lambda x: x[flag]), lambda x: F.struct(F.lit(name).alias("name"), x["c"]["key"].alias("key")))
+
+    passed = [passing_keys(name, f"f{k}") for k, name in enumerate(first)]
+    passed = ws.save(tested.select(F.explode(F.concat(*passed)).alias("x")).select("x.*").distinct(), "passed")
     for name, level in first.items():
-        tested = urls.withColumn("c", keys).withColumn("f", flags(level, F.col("c")))
-        wrong = tested.select(F.explode(F.filter(F.arrays_zip("c", "f"), lambda x: x["f"])).alias("x")).select("x.c.key").distinct()
+        wrong = passed.where(F.col("name") == name).select("key")
         wrong = wrong.join(listed[name], "key", "left_anti").select("key", *(h.alias(f"h{i}") for i, h in enumerate(hashes(F.col("key")), 1)))
         inner, outer = ws.save(wrong, f"wrong-{name}"), listed[name]
         levels = [level]
@@ -185,10 +210,12 @@ def judge(spark: SparkSession, df: DataFrame, rules: Sequence[tuple[str, str, st
     ws = Workspace(spark, "urls")
     lengths = sorted({0, *(len(p) for _, _, p in rules)})
     parts = df.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    keys = candidates(F.col("host"), F.col("path"), lengths)
     listed = {a: sorted({h + p for b, h, p in rules if a == b}) for a in ("allow", "block")}
     sets = {a: spark.createDataFrame([(k,) for k in v], "key string") for a, v in listed.items()}
     sets["domain"] = blocked if blocked is not None else spark.createDataFrame([], "key string")
+    longest = sets["domain"].agg(F.max(labels_of(F.col("key")))).first()[0] or 1
+    longest = max([1, longest, *(h.count(".") + 1 for _, h, _ in rules)])
+    keys = candidates(F.col("host"), F.col("path"), lengths, longest)
     cascades = build(ws, parts.select("host", "path"), keys, sets, max_bits)
     out = parts.withColumn("__keys", keys)
     for name, cascade in cascades.items():
