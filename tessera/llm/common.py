@@ -103,6 +103,15 @@ def map_slices(df: DataFrame, columns: list, step: Callable, schema: str) -> Dat
     return df.select(*columns).mapInArrow(run, schema)
 
 
+#: Rows up to which a table of groups is sent to every task; more are joined.
+FEW_ROWS = 10_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, to be sent to every task if it has at most FEW_ROWS rows, which are counted."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+
+
 #: A join sends fewer keys than this to every task, those that more than one in so many of its rows have.
 HOT_KEYS = 2000
 #: Rows of one key below which a join does not deal them out.

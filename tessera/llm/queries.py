@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, html, langid, lines, media, mixing, neardup, sql, substrings, urls
+from . import bpe, divergence, embeddings, exact, html, langid, lines, media, mixing, neardup, phrases, sql, substrings, urls
 from .common import Workspace, spread, table
 
 
@@ -131,6 +131,18 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spread(table(spark, sf_dir, "documents").select("lang", "source", "text")))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spread(table(spark, sf_dir, "documents").select("lang", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_url_filter": op2_url_filter,
@@ -142,6 +154,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_near_vectors": op10_near_vectors,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 
 ORACLES: dict[str, str] = {
@@ -152,4 +167,7 @@ ORACLES: dict[str, str] = {
     "op8_mixing": OP8_SQL,
     "op9_substring_dedup": sql.OP9_SQL,
     "op10_near_vectors": sql.OP10_SQL,
+    "op11_source_divergence": sql.OP11_SQL,
+    "op12_exact_dedup": sql.OP12_SQL,
+    "op13_phrase_mining": sql.OP13_SQL,
 }

@@ -1,4 +1,4 @@
-"""SQL for an independent engine that gives the rows of the media, near-duplicate, repeated-string and vector queries."""
+"""SQL for an independent engine that gives the rows of queries, of those that take more than a few lines."""
 
 from __future__ import annotations
 
@@ -61,3 +61,49 @@ OP10_SQL = f"""
     {COMPONENTS}
     select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(component, vec_id) as component_id, coalesce(component, vec_id) = vec_id as kept
     from embeddings left join degrees on a = vec_id left join components on id = vec_id"""
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = f"""
+    with docs as (select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({LOWERED}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+    uses as (select doc, lang, source, unnest(w) as term from docs),
+    kept as (select lang, term from uses group by lang, term having count(distinct doc) >= 30),
+    counts as (select u.lang, u.source, u.term, count(*) as n from uses u join kept k on k.lang = u.lang and k.term = u.term group by u.lang, u.source, u.term),
+    totals as (select lang, source, sum(n) as total from counts group by lang, source),
+    langs as (select l.lang, count(k.term) as v from (select distinct lang from docs) l left join kept k on k.lang = l.lang group by l.lang),
+    groups as (select g.lang, g.source, l.v, coalesce(t.total, 0) as total from (select distinct lang, source from docs) g join langs l on l.lang = g.lang left join totals t on t.lang = g.lang and t.source = g.source),
+    shares as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, (1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.v))::bigint as p
+        from groups g join kept k on k.lang = g.lang left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+    together as (select lang, term, sum(n) as n from counts group by lang, term),
+    alls as (select lang, sum(n) as total, count(*) as v from together group by lang),
+    means as (select t.lang, t.term, (1 + (1000000000::hugeint * (t.n + 5)) // (a.total + 5 * a.v))::bigint as q from together t join alls a on a.lang = t.lang),
+    sums as (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value from shares x join shares y on y.lang = x.lang and y.term = x.term and y.source <> x.source group by x.lang, x.source, y.source),
+    found as (select g.lang, g.source, 'pair' as part, h.source as item, coalesce(s.value, 0)::bigint as value
+            from groups g join groups h on h.lang = g.lang and h.source <> g.source left join sums s on s.lang = g.lang and s.source = g.source and s.item = h.source
+        union all select s.lang, s.source, 'term', s.term, s.p - q from shares s join means m on m.lang = s.lang and m.term = s.term where s.n > 0 and p > q),
+    ranked as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from found)
+    select lang, source, part, item, value, rank::int as rank from ranked where part = 'pair' or rank <= 50"""
+
+OP12_SQL = """
+    with named as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) as s from documents),
+    groups as (select s, min(doc_id) as keep_id, count(*) as n from named group by s)
+    select doc_id, keep_id, n::bigint as group_size, doc_id = keep_id as kept, named.s as text_sha256 from named join groups on groups.s = named.s"""
+
+OP13_SQL = f"""
+    with texts as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+    worded as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from texts),
+    starts as (select lang, w, unnest(range(1, len(w) + 1)) as i from worded),
+    grams as (select lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) as k from starts),
+    f as (select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*) as a from grams group by all),
+    totals as (select lang, sum(a) as n from f where k = 1 group by lang),
+    often as (select * from f where a >= 100),
+    candidates as (select *, string_split(phrase, ' ') as w from often where k > 1),
+    cuts as (select lang, phrase, a, cut, array_to_string(w[1 : cut], ' ') as one, array_to_string(w[cut + 1 : k], ' ') as two from (select *, unnest(range(1, k)) as cut from candidates)),
+    scores as (select c.lang, c.phrase, c.a, c.cut, x.a as l, y.a as r, n, ((1000::hugeint * c.a * n) // (x.a::hugeint * y.a))::bigint as score
+        from cuts c join often x on x.lang = c.lang and x.phrase = c.one join often y on y.lang = c.lang and y.phrase = c.two join totals t on t.lang = c.lang),
+    best as (select * from (select *, row_number() over (partition by lang, phrase order by score, cut) as turn from scores) where turn = 1),
+    inside as (select lang, a, array_to_string(w[i : j], ' ') as phrase from (select *, unnest(range(i + 1, k + 1)) as j from (select *, unnest(range(1, k)) as i from candidates)) where j - i + 1 < k),
+    longer as (select lang, phrase, max(a) as most from inside group by lang, phrase),
+    left_ as (select b.* from best b left join longer o on o.lang = b.lang and o.phrase = b.phrase where most is null or 100 * most < 100 * b.a),
+    ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from left_)
+    select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score from ranked where rank <= 2000"""
