@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import palette as palettes
+from tessera.operators.colours import median_cut
 from tessera.operators.pixels import idiv, long, pack_rgb, unpack_rgb
 
 MAX_PALETTE = 256
@@ -22,6 +22,8 @@ MAX_PALETTE = 256
 BROADCAST_COLOURS = 1 << 16
 #: Numbers that one row makes at a time where a page is cut into strips or tiles.
 CHUNKS_AT_A_TIME = 1 << 16
+#: Samples of a row that are summed in one piece.
+ROW_BLOCK = 1 << 16
 
 
 # --- predictors and runs ----------------------------------------------------------------------------
@@ -32,9 +34,17 @@ def apply_predictor(pixels: DataFrame, row: Sequence[str], x: str, value: str, b
     return pixels.withColumn(out, F.pmod(F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0)), F.lit(1 << bits)).cast("long"))
 
 
-def undo_predictor(pixels: DataFrame, row: Sequence[str], x: str, value: str, bits: int, out: str) -> DataFrame:
-    w = Window.partitionBy(*row).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    return pixels.withColumn(out, F.pmod(F.sum(value).over(w), F.lit(1 << bits)).cast("long"))
+def undo_predictor(pixels: DataFrame, row: Sequence[str], x: str, value: str, bits: int, out: str, block: int = ROW_BLOCK) -> DataFrame:
+    """Running sums along each row, in blocks of a row: sums of blocks are added up and given back to where the block is summed."""
+    at = idiv(F.col(x), block).alias("__block")
+    sums = pixels.groupBy(*row, at).agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*row).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*(F.col(c).alias(f"__row_{c}") for c in row), F.col("__block").alias("__of"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*row, "__block").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    rows = pixels.withColumn("__block", at).withColumn("__within", F.sum(value).over(inside))
+    same = [F.col(c).eqNullSafe(F.col(f"__row_{c}")) for c in row] + [F.col("__block") == F.col("__of")]
+    rows = rows.join(starts, same).withColumn(out, F.pmod(F.col("__start") + F.col("__within"), F.lit(1 << bits)).cast("long"))
+    return rows.drop("__block", "__within", "__of", "__start", *(f"__row_{c}" for c in row))
 
 
 def runs(pixels: DataFrame, row: Sequence[str], x: str, value: str) -> DataFrame:
@@ -122,25 +132,6 @@ def weighted_mean(counts: DataFrame, colours: Sequence[str], weight: str, group:
     return counts.groupBy(*group).agg(*(idiv(F.sum(F.col(c) * F.col(weight)) + idiv(n, 2), n).alias(c) for c in colours))
 
 
-def median_cut(counts: DataFrame, image: Sequence[str], most: int) -> DataFrame:
-    """(image, i, r, g, b) of a palette of at most so many colours; counts has image, r, g, b, n.
-
-    An image's histogram goes to one task: at most one row for each colour in it.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in counts.schema}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in image), "i long, r long, g long, b long"])
-
-    def build(table: pa.Table) -> pa.Table:
-        rgb = np.stack([table.column(c).to_numpy() for c in "rgb"], -1)
-        packed = palettes.pack_rgb(rgb)
-        order = np.argsort(packed)
-        found = palettes.build(packed[order], table.column("n").to_numpy()[order], most).astype(np.int64)
-        names = {c: pa.array([table.column(c)[0].as_py()] * len(found), table.schema.field(c).type) for c in image}
-        return pa.table(names | {"i": np.arange(len(found))} | {c: found[:, k] for k, c in enumerate("rgb")})
-
-    return counts.select(*image, "r", "g", "b", "n").groupBy(*image).applyInArrow(build, schema)
-
-
 # --- frames -----------------------------------------------------------------------------------------
 
 
@@ -162,34 +153,31 @@ def viewer_frames(frames: DataFrame, animation: Sequence[str], order: Sequence[s
 
 
 def composite(frames: DataFrame, animation: str, width: int, height: int) -> DataFrame:
-    """(animation, frame, pixels) of patches drawn one after the other onto a canvas.
+    """(animation, frame, y, x, value) of the visible pixels of patches drawn one after the other onto a canvas.
 
-    frames has animation, frame, left, top, w, h, disposal (0 to 3) and index
-    (binary of w * h values, 0 transparent). The canvas is the state of a fold in
-    frame order, so an animation is one task's work, as a file is.
+    frames has animation, frame, left, top, w, h, disposal (0 to 3) and index (binary of
+    w * h values, 0 transparent). Each pixel is a scan of its own over the patches that
+    cover it: what a patch leaves there is its value, nothing where it is cleared
+    afterwards, and what was there where it is transparent or taken back; so what a
+    frame is drawn on is the last thing left before it. Between patches a pixel stays.
     """
-    kind = frames.schema[animation].dataType.simpleString()
-
-    def fold(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["frame"])
-        canvas = np.zeros((height, width), np.uint8)
-        undo = None
-        shown = []
-        for r in rows:
-            if undo is not None:
-                disposal, at, saved = undo
-                if disposal == 2:
-                    canvas[at] = 0
-                elif disposal == 3:
-                    canvas[at] = saved
-            at = (slice(min(r["top"], height), min(r["top"] + r["h"], height)), slice(min(r["left"], width), min(r["left"] + r["w"], width)))
-            undo = (r["disposal"], at, canvas[at].copy())
-            patch = np.frombuffer(r["index"], np.uint8).reshape(r["h"], r["w"])[: canvas[at].shape[0], : canvas[at].shape[1]]
-            canvas[at] = np.where(patch > 0, patch, canvas[at])
-            shown.append(canvas.tobytes())
-        return pa.table({animation: pa.array([r[animation] for r in rows], table.schema.field(animation).type), "frame": pa.array([r["frame"] for r in rows], pa.int64()), "pixels": pa.array(shown, pa.binary())})
-
-    return frames.select(animation, "frame", "left", "top", "w", "h", "disposal", "index").groupBy(animation).applyInArrow(fold, f"{animation} {kind}, frame long, pixels binary")
+    order = Window.partitionBy(animation).orderBy("frame")
+    numbered = frames.select(animation, "frame").withColumn("__k", F.row_number().over(order))
+    numbered = numbered.join(numbered.groupBy(animation).agg(F.max("__k").alias("__last")), animation)
+    rows = frames.where("w > 0 and h > 0").join(numbered, [animation, "frame"]).withColumn("__y", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
+    line = F.hex(F.substring("index", (F.col("__y") * F.col("w") + 1).cast("int"), F.col("w").cast("int")))
+    rows = rows.select(animation, "__k", "__last", "disposal", "left", (F.col("top") + F.col("__y")).cast("long").alias("y"), line.alias("__line")).where(F.col("y").between(0, height - 1))
+    values = F.transform(F.sequence(F.lit(0), (F.length("__line") / 2).cast("int") - 1), lambda i: F.conv(F.substring(F.col("__line"), (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
+    px = rows.select(animation, "__k", "__last", "disposal", "left", "y", F.posexplode(values).alias("__x", "__v"))
+    px = px.withColumn("x", (F.col("left") + F.col("__x")).cast("long")).where(F.col("x").between(0, width - 1))
+    pixel = Window.partitionBy(animation, "y", "x").orderBy("__k")
+    leaves = F.when(F.col("disposal") == 2, F.lit(0).cast("long")).when((F.col("disposal") != 3) & (F.col("__v") > 0), F.col("__v"))
+    last = lambda end: F.coalesce(F.last(leaves, ignorenulls=True).over(pixel.rowsBetween(Window.unboundedPreceding, end)), F.lit(0).cast("long"))
+    px = px.select(animation, "y", "x", "__k", "__last", "__v", last(-1).alias("__under"), last(0).alias("__after"), F.lead("__k").over(pixel).alias("__next"))
+    shown = px.select(animation, "__k", "y", "x", F.when(F.col("__v") > 0, F.col("__v")).otherwise(F.col("__under")).alias("value"))
+    until = F.coalesce(F.col("__next") - 1, F.col("__last"))
+    stays = px.where((F.col("__after") > 0) & (until > F.col("__k"))).select(animation, F.explode(F.sequence(F.col("__k") + 1, until)).alias("__k"), "y", "x", F.col("__after").alias("value"))
+    return shown.where("value > 0").union(stays).join(numbered.select(animation, "__k", "frame"), [animation, "__k"]).select(animation, "frame", "y", "x", "value")
 
 
 def quality(pairs: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> DataFrame:
@@ -265,6 +253,51 @@ def first_error(chunks: DataFrame, group: Sequence[str]) -> DataFrame:
     return chunks.where("error is not null").groupBy(*group).agg(F.min_by("error", "idx").alias("error"))
 
 
+def retile(chunks: DataFrame, block_w: int, block_h: int, group: Sequence[str] = ("path", "page"), sample_bytes: int = 8) -> DataFrame:
+    """(group, bx, by, x0, y0, w, h, channels, samples) of pages in blocks of another size than their strips or tiles.
+
+    chunks are those of enumerate_chunks with data (samples of sample_bytes, row by row).
+    A piece is cut out of a chunk for each block that it reaches into and sent to that
+    block, so no task holds more than a block's pieces, whatever a page's size; what is
+    missing stays zero, and what lies beyond the page is cut off.
+    """
+    kinds = [f"{c} {chunks.schema[c].dataType.simpleString()}" for c in group]
+    names = ["bx", "by", "x0", "y0", "w", "h", "channels", "plane", "px", "py", "pw", "ph", "piece"]
+    schema = ", ".join([*kinds, *(f"{c} int" for c in names[:-1]), "piece binary"])
+    rows = chunks.where("data is not null").select(*group, "plane", "x0", "y0", "chunk_width", "chunk_rows", "width", "height", "samples_per_pixel", "data")
+
+    def cut(batches):
+        for batch in batches:
+            n = len(group)
+            for k in range(batch.num_rows):
+                plane, x0, y0, cw, ch, width, height, channels = (c[k].as_py() for c in batch.columns[n:-1])
+                data = np.frombuffer(batch.column(batch.num_columns - 1)[k].as_buffer(), f"V{sample_bytes}").reshape(ch, cw, -1)
+                right, bottom = min(x0 + cw, width), min(y0 + ch, height)
+                out = []
+                for by in range(y0 // block_h, (bottom - 1) // block_h + 1):
+                    for bx in range(x0 // block_w, (right - 1) // block_w + 1):
+                        left, top = bx * block_w, by * block_h
+                        a, b, c, d = max(left, x0), min(left + block_w, right), max(top, y0), min(top + block_h, bottom)
+                        size = (min(block_w, width - left), min(block_h, height - top))
+                        out.append((bx, by, left, top, *size, channels, plane, a - left, c - top, b - a, d - c, data[c - y0 : d - y0, a - x0 : b - x0].tobytes()))
+                own = [batch.column(i).slice(k, 1).take(pa.array([0] * len(out), pa.int32())) for i in range(n)]
+                cols = [pa.array([r[i] for r in out], pa.binary() if i == len(names) - 1 else pa.int32()) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*own, *cols], [*group, *names])
+
+    def join(table: pa.Table) -> pa.Table:
+        first = {c: table.column(c)[0].as_py() for c in names[:7]}
+        block = np.zeros((first["h"], first["w"], first["channels"]), f"V{sample_bytes}")
+        for plane, px, py, pw, ph, piece in zip(*(table.column(c).to_pylist() for c in names[7:]), strict=True):
+            data = np.frombuffer(piece, block.dtype).reshape(ph, pw, -1)
+            at = slice(plane, plane + 1) if data.shape[2] < first["channels"] else slice(None)
+            block[py : py + ph, px : px + pw, at] = data
+        own = [table.column(c).slice(0, 1) for c in (*group, *names[:7])]
+        return pa.table([*own, pa.array([block.tobytes()], pa.binary())], [*group, *names[:7], "samples"])
+
+    out = ", ".join([*kinds, *(f"{c} int" for c in names[:7]), "samples binary"])
+    return rows.mapInArrow(cut, schema).groupBy(*group, "bx", "by").applyInArrow(join, out)
+
+
 def assemble(chunks: DataFrame, pages: DataFrame, group: Sequence[str] = ("path", "page")) -> DataFrame:
     """(group, samples) of planes put together from their strips or tiles; what is missing stays zero.
 

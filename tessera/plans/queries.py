@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import udfs
+from tessera.operators import colours
 from tessera.operators import pixels as P
 from tessera.operators import rasters as R
 from tessera.sources import readers, tiff
@@ -162,11 +163,50 @@ def weighted_mean(spark, sf_dir):
     return R.weighted_mean(R.histogram(raster(spark, sf_dir), ["s"], ["label"]), ["s"], "n", ["label"])
 
 
-@query()
+def cut_sql(most: int, rounds: int) -> str:
+    """Median cut of the colours (s, 255 - s, s // 2) of each label, a table of boxes for each round."""
+    channel = "case ch when 0 then r when 1 then g else b end"
+    ctes = ["h as (select label, s as r, 255 - s as g, s // 2 as b, count(*) as n from raster group by label, s)", "b0 as (select *, 0::bigint as box from h)"]
+    for k in range(1, rounds + 1):
+        errors = ", ".join(f"(4 * (sum(n)::hugeint * sum({c} * {c} * n)::hugeint - sum({c} * n)::hugeint * sum({c} * n)::hugeint)) // sum(n)::hugeint as e{c}" for c in "rgb")
+        ctes += [
+            f"e{k} as (select label, box, {errors} from b{k - 1} group by label, box)",
+            f"r{k} as (select *, case when er >= eg and er >= eb then 0 when eg >= eb then 1 else 2 end as ch, row_number() over (partition by label order by er + eg + eb desc, box) as turn, count(*) over (partition by label) as boxes from e{k})",
+            f"c{k} as (select label, box, ch, boxes + turn - 1 as fresh from r{k} where er + eg + eb > 0 and turn <= {most} - boxes)",
+            f"x{k} as (select c.label, c.box, fresh, ch, {channel} as x, sum(n) as m from b{k - 1} p join c{k} c on c.label = p.label and c.box = p.box group by c.label, c.box, fresh, ch, {channel})",
+            f"w{k} as (select *, sum(m) over (partition by label, box order by x) as cum, sum(m) over (partition by label, box) as total, max(x) over (partition by label, box) as top from x{k})",
+            f"v{k} as (select label, box, fresh, ch, coalesce(min(x) filter (where 2 * cum >= total), max(x)) as edge from w{k} where x < top group by label, box, fresh, ch)",
+            f"b{k} as (select p.label, r, g, b, n, case when {channel} > edge then fresh else p.box end::bigint as box from b{k - 1} p left join v{k} v on v.label = p.label and v.box = p.box)",
+        ]
+    means = ", ".join(f"((sum({c} * n) + sum(n) // 2) // sum(n))::bigint as {c}" for c in "rgb")
+    ctes.append(f"p0 as (select label, box, {means} from b{rounds} group by label, box)")
+    for k in (1, 2):
+        d = " + ".join(f"(h.{c} - p.{c}) * (h.{c} - p.{c})" for c in "rgb")
+        ctes += [
+            f"n{k} as (select h.label, h.r, h.g, h.b, h.n, arg_min(p.box, ({d}) * 1000 + p.box) as box from h join p{k - 1} p on p.label = h.label group by h.label, h.r, h.g, h.b, h.n)",
+            f"m{k} as (select label, box, {means} from n{k} group by label, box)",
+            f"p{k} as (select p.label, p.box, {', '.join(f'coalesce(m.{c}, p.{c}) as {c}' for c in 'rgb')} from p{k - 1} p left join m{k} m on m.label = p.label and m.box = p.box)",
+        ]
+    return "with $RASTER, " + ", ".join(ctes) + " select label, (row_number() over (partition by label order by r, g, b) - 1)::bigint as i, r, g, b from (select distinct label, r, g, b from p2)"
+
+
+@query(cut_sql(16, 6))
 def median_cut(spark, sf_dir):
     s = F.col("s")
     rgb = raster(spark, sf_dir).select("label", s.alias("r"), (255 - s).alias("g"), P.idiv(s, 2).alias("b"))
-    return R.median_cut(R.histogram(rgb, ["r", "g", "b"], ["label"]), ["label"], 16)
+    return colours.median_cut(R.histogram(rgb, ["r", "g", "b"], ["label"]), ["label"], 16)
+
+
+@query("""with palette as (select o_orderkey as i, o_orderkey * 7 % 256 as r, o_custkey * 5 % 256 as g, o_orderkey // 3 % 256 as b from orders),
+    asked as (select distinct c_custkey % 256 as r, c_custkey * 3 % 251 as g, c_nationkey * 10 as b from customer)
+    select r, g, b, arg_min(i, d * 100000000 + i)::bigint as i from
+    (select a.r, a.g, a.b, i, (a.r - p.r) * (a.r - p.r) + (a.g - p.g) * (a.g - p.g) + (a.b - p.b) * (a.b - p.b) as d from asked a, palette p) group by r, g, b""")
+def nearest_of_many(spark, sf_dir):
+    """Nearest entries of a palette of more colours than files have, by a grid."""
+    o, c, n = F.col("o_orderkey"), F.col("c_custkey"), F.col("c_nationkey")
+    palette = table(spark, sf_dir, "orders").select(o.alias("i"), (o * 7 % 256).alias("r"), (F.col("o_custkey") * 5 % 256).alias("g"), (P.idiv(o, 3) % 256).alias("b"))
+    asked = table(spark, sf_dir, "customer").select((c % 256).cast("long").alias("r"), (c * 3 % 251).cast("long").alias("g"), (n * 10).cast("long").alias("b")).distinct()
+    return colours.nearest_by_grid(asked, colours.RGB, palette)
 
 
 @query("""with $RASTER, px as (select label, y, x % 8 as px, x // 8 as py, s // 32 as v from raster),
@@ -195,10 +235,8 @@ def disposal_fold(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("label"), F.col("vec_id").alias("frame"), F.col("embedding").alias("e"))
     s = F.transform("e", lambda v: P.idiv(P.float_to_u8(v.cast("double") + 0.5), 100))
     patches = rows.select("label", "frame", F.lit(0).alias("left"), F.lit(0).alias("top"), F.lit(64).alias("w"), F.lit(1).alias("h"), (F.col("frame") % 4).cast("int").alias("disposal"), P.bytes_of(s).alias("index"))
-    shown = R.composite(patches, "label", 64, 1)
-    digit = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.conv(F.hex(F.substring(F.col("pixels"), i, F.lit(1))), 16, 10).cast("long"))
-    total = F.aggregate(digit, F.lit(0).cast("long"), lambda a, b: a + b)
-    return shown.select("label", "frame", total.alias("total"), F.size(F.filter(digit, lambda v: v > 0)).cast("long").alias("visible"))
+    shown = R.composite(patches, "label", 64, 1).groupBy("label", "frame").agg(F.sum("value").alias("total"), F.count("*").alias("visible"))
+    return rows.select("label", "frame").join(shown, ["label", "frame"], "left").na.fill(0, ["total", "visible"])
 
 
 @query("""with $RASTER, px as (select y // 64 as tile, y % 64 as y, x, s from raster)
@@ -330,6 +368,28 @@ def chunks_enumerate(spark, sf_dir):
     return R.enumerate_chunks(pages).select("path", "idx", "plane", "x0", "y0", F.col("chunk_width").alias("width"), F.col("chunk_rows").alias("rows"))
 
 
+RETILED_SQL = """with pages_ as (select p_partkey as path, (p_partkey % 47 + 1)::bigint as width, (p_partkey % 31 + 1)::bigint as height, (p_partkey % 3 + 1)::bigint as spp from part),
+    ys as (select *, unnest(range(0, height)) as y from pages_), xs as (select *, unnest(range(0, width)) as x from ys), px as (select *, unnest(range(0, spp)) as c from xs)
+    select path, (x // 20)::int as bx, (y // 12)::int as "by", least(20, min(width) - x // 20 * 20)::int as w, least(12, min(height) - y // 12 * 12)::int as h,
+        sha256(unhex(string_agg(printf('%02x', (path + 31 * c + 7 * x + 13 * y) % 251), '' order by y, x, c))) as digest from px group by path, x // 20, y // 12"""
+
+
+@query(RETILED_SQL)
+def retiled(spark, sf_dir):
+    """Strips, tiles and planes of pages in blocks of another size."""
+    key = F.col("p_partkey").cast("long")
+    height, tile = key % 31 + 1, F.when(key % 3 == 0, F.lit(16).cast("long"))
+    pages = table(spark, sf_dir, "part").select(key.alias("path"), F.lit(0).alias("page"), (key % 47 + 1).alias("width"), height.alias("height"), (key % 3 + 1).alias("samples_per_pixel"),
+        F.when(key % 2 == 0, 2).otherwise(1).alias("planar"), tile.alias("tile_w"), tile.alias("tile_h"), F.least(key % 7 + 1, height).alias("rows_per_strip"))
+    chunks = R.enumerate_chunks(pages)
+    inner = F.when(F.col("planar") == 2, 1).otherwise(F.col("samples_per_pixel"))
+    plane, x0, y0, width = (F.col(c) for c in ("plane", "x0", "y0", "chunk_width"))
+    value = lambda i: (F.col("path") + 31 * (plane + i % inner) + 7 * (x0 + P.idiv(i, inner) % width) + 13 * (y0 + P.idiv(i, inner * width))) % 251
+    data = P.bytes_of(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunk_rows") * width * inner - 1), value))
+    blocks = R.retile(chunks.withColumn("data", data), 20, 12, sample_bytes=1)
+    return blocks.select("path", "bx", "by", "w", "h", F.sha2("samples", 256).alias("digest"))
+
+
 def tiff_files(spark: SparkSession, sf_dir: str, options: tiff.EncodeOptions = tiff.EncodeOptions("Lzw", True, strip_bytes=1000)) -> DataFrame:
     t = tiles(spark, sf_dir)
     return t.select(F.col("tile").cast("string").alias("path"), "ys", "width", "height", udfs.tiff_encode(F.col("samples"), F.col("width"), F.col("height"), "Gray8", options).alias("content"))

@@ -25,10 +25,6 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_median_cut_is_close(spark, sf):
-    rows = plans.median_cut(spark, sf).groupBy("label").count().collect()
-    assert rows and all(1 <= r["count"] <= 16 for r in rows)
-
 
 @pytest.fixture()
 def folder(tmp_path):
