@@ -1,20 +1,22 @@
 """Collocations: phrases of up to ``longest`` words that hold together better than any way to cut them.
 
 Suffix-sigma. Words are counted first, by language; a phrase is only as frequent
-as its words, so pieces are cut at words under ``least`` occurrences. What
-follows each word in its run, up to ``longest`` words, is a suffix; equal suffixes
-of a task are sent once with their number. Suffixes are shuffled by language and
-first word and sorted in reverse lexicographic order, so that all that share a
-prefix lie together, and one stack of open prefixes counts every phrase while it
-passes over them. First and rest of every cut of a phrase are then met in joins.
-
-Frequent words are looked up in a bitmap of their hashes of at most ``max_bits``
-bits that every task gets. It lets all frequent words through and some others,
-which costs suffixes, not phrases: counts are compared at the end. Where the
-suffixes of a first word are too many for a task they are dealt by their first
-two words, which phrases share, and those of too frequent a pair by the whole
-suffix; parts of a phrase's count then meet in a sum. Loads are counted for 65,536 hashed
-pairs at most, a table of bounded size.
+as its words and its pairs of neighbouring words, so pieces are cut at words and
+between pairs under ``least`` occurrences. What follows each word in its run, up
+to ``longest`` words, is a suffix; equal suffixes of a task are sent once with
+their number, packed by where they go. Suffixes are shuffled by language and first
+word and sorted in reverse lexicographic order, so that all that share a prefix lie
+together, and one stack of open prefixes counts every phrase while it passes over
+them. First and rest of every cut of a phrase are then met in joins.
+
+Where pieces may be cut is looked up in two bitmaps of at most ``max_bits`` bits
+that every task gets: hashes of frequent words, and cells that pairs fall in often
+enough, counted in blocks of cells. They let all frequent words and pairs through
+and some others, which costs suffixes, not phrases: counts are compared at the
+end. First words are dealt by hash into as many groups as hold LOAD words of text
+each. Words with more than that, or than one in HEAVY of all, are dealt by their
+first two words, which phrases share, and heavy pairs by the whole suffix; parts of
+a phrase's count then meet in a sum. So a task has one group of bounded size in hand.
 
 Only A-Z are lower-cased. ``[.,;:!?`` and line ends separate pieces, spaces and
 tabs words; other characters belong to words. Null texts are empty; a null
@@ -32,20 +34,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, few, slices
+from .common import SLICE_BYTES, Workspace, few, slices
+from .neardup import mix
 
 LONGEST, LEAST, RANKS = 5, 100, 2000
-#: Bits of the filter of frequent words, for each of them and at most.
-BITS, MAX_BITS = 32, 1 << 28
+#: Bits for each frequent word, words of text for each cell that counts pairs, and the most bits of either filter.
+BITS, WORDS_A_CELL, MAX_BITS = 32, 16, 1 << 29
+#: Cells that are added up at a time; at most 65,536, so that two bytes name one.
+BLOCK = 1 << 16
+#: Pairs that a task holds before it counts them, and words that it takes in hand at a time.
+PAIRS, TOGETHER = 4_000_000, 100_000
 #: Distinct words or suffixes that a task holds before it gives them on.
 HELD = 300_000
-#: Hashes of first words and, for each, of second words by which loads are counted.
-FIRSTS, SECONDS = 1024, 64
-#: One task should get one in so many of all suffixes at most, and this number is never too many.
-SHARE, LOAD = 512, 50_000
+#: Occurrences of the suffixes that meet in a task's hands, about, and the most words and pairs that are dealt out for having more.
+LOAD, HEAVY = 100_000, 1 << 16
 UND = "und"
 
 #: Between words: lower than anything in a word, so that sorted suffixes with a common prefix lie together.
@@ -57,16 +63,40 @@ _TABLE = bytearray(range(256))
 for _c in range(65, 91):
     _TABLE[_c] = _c + 32
 for _c in b".,;:!?\n\x0b\x0c\r":
-    _TABLE[_c] = 10
+    _TABLE[_c] = 46
 _TABLE[9] = 32
+#: Stands between pieces, and is in no word.
+STOP, _APART = b".", b" . "
 
 
-def pieces(text: bytes) -> list[list[bytes]]:
-    """Words of each piece of a text."""
+def words_of(text: bytes) -> Iterator[list[bytes]]:
+    """Words of a text, and a STOP after each piece, a few MB of the text at a time."""
     text = text.translate(_TABLE)
     if _LOW_BYTES.search(text):
         text = _LOW_BYTES.sub(lambda m: b"!" + bytes([65 + m[0][0]]), text)
-    return [p.split() for p in text.split(b"\n")]
+    start = 0
+    while start < len(text):
+        end = text.find(STOP, start + SLICE_BYTES)
+        end = len(text) if end < 0 else end
+        yield text[start:end].replace(STOP, _APART).split() + [STOP]
+        start = end
+
+
+def runs_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """(language, words) of texts of one language put together, with a STOP after each piece."""
+    held: dict[str, list[bytes]] = {}
+    for batch in batches:
+        for part in slices(batch, 1):
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                for words in words_of(text):
+                    own = held.setdefault(lang, [])
+                    own += words
+                    if len(own) > TOGETHER:
+                        yield lang, held.pop(lang)
+            if len(held) > 100:
+                yield from held.items()
+                held = {}
+    yield from held.items()
 
 
 def plain(phrase: Column) -> Column:
@@ -98,23 +128,15 @@ class Held:
         self.counts = {}
 
 
-def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, bytes]]]:
-    for batch in batches:
-        for part in slices(batch, 1):
-            yield list(zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True))
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n) by task; the number of all words has a null word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = Held("word"), Counter()
-        for rows in texts_of(batches):
-            for lang, text in rows:
-                counts = held.of(lang)
-                for words in pieces(text):
-                    counts.update(words)
-                    total[lang] += len(words)
+        for lang, words in runs_of_texts(batches):
+            counts = held.of(lang)
+            counts.update(words)
+            total[lang] += len(words) - counts.pop(STOP)
             if held.full():
                 yield from held.give()
         yield from held.give()
@@ -140,111 +162,204 @@ def frequent_bits(words: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def suffixes(docs: DataFrame, words: DataFrame, longest: int, max_bits: int) -> DataFrame:
-    """(lang, suffix, n) by task, of two words or more, within runs of frequent words."""
-    bits = min(max_bits, 1 << max(15, (BITS * words.count() - 1).bit_length()))
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_bits(words, bits))
-
-    class Known(dict):
-        """A word, or None for one that is not frequent."""
-
-        def __init__(self, lang: str, filled: np.ndarray):
-            self.lang, self.filled = lang, filled
-
-        def __missing__(self, word: bytes) -> bytes | None:
-            if len(self) > HELD:
-                self.clear()
-            at = cell(self.lang, word) & (bits - 1)
-            self[word] = out = word if self.filled[at >> 3] >> (at & 7) & 1 else None
-            return out
+class Hashes(dict):
+    """The hash of a frequent word of a language, or 0. filled is the words' bitmap."""
+
+    def __init__(self, lang: str, filled: np.ndarray):
+        self.lang, self.filled, self.mask = lang, filled, len(filled) * 8 - 1
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > HELD:
+            self.clear()
+        h = cell(self.lang, word)
+        self[word] = out = (h | 1) if word != STOP and self.filled[(h & self.mask) >> 3] >> (h & 7) & 1 else 0
+        return out
+
+
+def hashes_of(batches: Iterator[pa.RecordBatch], filled: np.ndarray) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    """(language, words, their hashes): 0 for a STOP or a word that is not frequent."""
+    known: dict[str, Hashes] = {}
+    for lang, words in runs_of_texts(batches):
+        if len(known) > 100:
+            known.clear()
+        look = known.setdefault(lang, Hashes(lang, filled))
+        yield lang, words, np.fromiter(map(look.__getitem__, words), np.uint64, len(words))
+
+
+def pair_cells(h: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each two neighbours are both frequent, and the cell of their hash."""
+    return (h[:-1] != 0) & (h[1:] != 0), mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) & np.uint64(cells - 1)
+
+
+def frequent_pairs(ws: Workspace, docs: DataFrame, sent: Broadcast, cells: int, least: int, each: int) -> tuple[np.ndarray, dict[int, int]]:
+    """A bitmap of the cells that pairs of neighbouring words fall in at least so often, and how often where it is over ``each``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            block = at // BLOCK
+            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            ends = [*first[1:].tolist(), len(at)]
+            low, n = (at % BLOCK).astype(np.uint16), n.astype(np.uint32)
+            out = [(int(block[i]), low[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(first.tolist(), ends, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "at", "n"])
+
+        held, size = [], 0
+        for _, _, h in hashes_of(batches, sent.value):
+            near, at = pair_cells(h, cells)
+            held.append(at[near])
+            size += len(held[-1])
+            if size > PAIRS:
+                yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = None, None
+
+        def bits() -> pa.RecordBatch:
+            hot = np.flatnonzero(total > each)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary()), pa.array([hot + block * BLOCK]), pa.array([total[hot]])], ["block", "bits", "hot", "times"])
+
+        for batch in batches:
+            for to, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if to != block:
+                    if block is not None:
+                        yield bits()
+                    block, total = to, np.zeros(BLOCK, np.int64)
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
+        if block is not None:
+            yield bits()
+
+    rows = docs.select("lang", "text").mapInArrow(count, "block int, at binary, n binary")
+    found = ws.save(rows.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, bits binary, hot array<long>, times array<long>"), "pairs")
+    out, often = np.zeros((cells // BLOCK, BLOCK // 8), np.uint8), {}
+    for r in found.collect():  # cells / 8 bytes and HEAVY cells at most
+        out[r.block] = np.frombuffer(r.bits, np.uint8)
+        often |= dict(zip(r.hot, r.times, strict=True))
+    return out.ravel(), often
+
+
+def power(n: int, least: int, most: int) -> int:
+    """A power of two from n on, within bounds that are powers of two."""
+    return min(most, max(least, 1 << max(0, n - 1).bit_length()))
+
+
+class Dealer:
+    """Says where the suffixes of a language go: by first word, those of heavy words by pair, those of heavy pairs by themselves."""
+
+    def __init__(self, lang: str, keys: int, each: int, heavy: dict[tuple[str, str], int], often: dict[int, int], cells: int):
+        self.lang, self.keys, self.each, self.heavy, self.often, self.mask = lang, keys, each, heavy, often, cells - 1
+        self.known: dict[bytes, int | None] = {}
+
+    def place(self, suffix: bytes) -> tuple[int, bool]:
+        """Key, and whether the count of a phrase may be in parts."""
+        first, _, rest = suffix.partition(b"\t")
+        if first not in self.known:
+            if len(self.known) > HELD:
+                self.known.clear()
+            self.known[first] = None if (self.lang, first.decode()) in self.heavy else cell(self.lang, first) & (self.keys - 1)
+        key = self.known[first]
+        if key is not None:
+            return key, False
+        parts = -(-self.heavy[self.lang, first.decode()] // self.each)
+        one, two = cell(self.lang, first), cell(self.lang, rest.partition(b"\t")[0])
+        times = self.often.get(int(pair_cells(np.array([one | 1, two | 1], np.uint64), self.mask + 1)[1][0]), 0)
+        key = xxhash.xxh3_64_intdigest(one.to_bytes(8), two % parts)
+        if times:
+            key = xxhash.xxh3_64_intdigest(one.to_bytes(8) + two.to_bytes(8), xxhash.xxh3_64_intdigest(suffix) % -(-times // self.each))
+        return key >> 2 | 1 << 62, times > 0  # apart from the keys of other words
+
+
+def suffixes(ws: Workspace, docs: DataFrame, words: DataFrame, total: int, longest: int, least: int, max_bits: int) -> DataFrame:
+    """(lang, key, split, body, n): the suffixes of two words or more of a task and how often each is, within runs of frequent pairs of words, those of a key in one row."""
+    context = docs.sparkSession.sparkContext
+    each = max(LOAD, total // HEAVY)
+    sent = context.broadcast(frequent_bits(words, power(BITS * words.count(), 1 << 15, max_bits)))
+    cells = power(total // WORDS_A_CELL, BLOCK, max(BLOCK, max_bits))
+    filled, often = frequent_pairs(ws, docs, sent, cells, least, each)
+    heavy = {(r.lang, r.word): r.a for r in words.where(F.col("a") > each).collect()}  # HEAVY at most
+    pairs = context.broadcast((filled, often, heavy))
+    keys = power(total // LOAD, 256, 1 << 60)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known, tab = Held("suffix"), {}, TAB.encode()
-        for rows in texts_of(batches):
-            for lang, text in rows:
-                if lang not in known:
-                    if len(known) > 100:
-                        known.clear()
-                    known[lang] = Known(lang, sent.value)
-                look, found = known[lang], []
-                for words in pieces(text):
-                    at = []
-                    for w in words:
-                        w = look[w]
-                        if w is not None:
-                            at.append(w)
-                            continue
-                        if len(at) > 1:
-                            found += [tab.join(at[i : i + longest]) for i in range(len(at) - 1)]
-                        if at:
-                            at = []
-                    if len(at) > 1:
-                        found += [tab.join(at[i : i + longest]) for i in range(len(at) - 1)]
-                held.of(lang).update(found)
-                if held.full():
-                    yield from held.give()
-        yield from held.give()
-
-    return docs.select("lang", "text").mapInArrow(run, "lang string, suffix string, n long")
-
-
-def dealt(ws: Workspace, found: DataFrame) -> DataFrame:
-    """found by language and first word, sorted downwards in each partition, with whether a phrase's count may be in parts."""
-    first, pair = F.substring_index("suffix", TAB, 1), F.substring_index("suffix", TAB, 2)
-    hashed = lambda c, n: F.pmod(F.xxhash64("lang", c), F.lit(n)).cast("int")
-    found = found.withColumn("one", hashed(first, FIRSTS)).withColumn("two", hashed(pair, SECONDS))
-    loads = ws.save(found.groupBy("one", "two").agg(F.count("*").alias("rows")), "loads")
-    each = max(LOAD, (loads.agg(F.sum("rows")).first()[0] or 0) // SHARE)
-    ones = loads.groupBy("one").agg(F.sum("rows").alias("all")).where(F.col("all") > each)
-    heavy = loads.join(F.broadcast(ones), "one").select("one", "two", F.ceil(F.col("rows") / each).cast("int").alias("parts"))
-    rows = found.join(F.broadcast(heavy), ["one", "two"], "left")
-    split = F.coalesce(F.col("parts") > 1, F.lit(False))
-    by = [F.when(F.col("parts").isNotNull(), F.col("two")).alias("by_pair"), F.when(split, F.pmod(F.xxhash64("suffix"), F.col("parts"))).alias("by_suffix")]
-    rows = rows.select("lang", "suffix", "n", split.alias("split"), first.alias("first"), *by)
-    rows = rows.repartition("lang", F.when(F.col("by_pair").isNull(), F.col("first")), "by_pair", "by_suffix")
-    return rows.select("lang", "suffix", "n", "split").sortWithinPartitions(F.col("lang").desc(), F.col("suffix").desc())
-
-
-def prefix_counts(rows: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, a) of sorted suffixes: every prefix of two words or more, at least so often if its suffixes are all here."""
+        held, tab = Held("suffix"), TAB.encode()
+        filled, often, heavy = pairs.value
+        for lang, words, h in hashes_of(batches, sent.value):
+            near, at = pair_cells(h, cells)
+            near &= filled[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+            stop = np.arange(len(h))
+            stop[:-1][near] = len(h)
+            stop = np.minimum.accumulate(stop[::-1])[::-1]  # the last word of each word's run
+            size = np.minimum(longest, stop - np.arange(len(h)) + 1)
+            start = np.flatnonzero(size > 1)
+            held.of(lang).update([tab.join(words[i : i + n]) for i, n in zip(start.tolist(), size[start].tolist(), strict=True)])
+            if held.full():
+                yield from packed(held, heavy, often)
+        yield from packed(held, heavy, often)
+
+    def packed(held: Held, heavy: dict, often: dict) -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.counts.items():
+            dealer, groups = Dealer(lang, keys, each, heavy, often, cells), {}
+            for suffix in counts:
+                groups.setdefault(dealer.place(suffix), []).append(suffix)
+            out = [(lang, key, split, b"\n".join(own), np.array([counts[x] for x in own]).tobytes()) for (key, split), own in groups.items()]
+            for i in range(0, len(out), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 1000], strict=True), (pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["lang", "key", "split", "body", "n"])
+        held.counts = {}
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, key long, split boolean, body binary, n binary")
+
+
+def prefixes(counts: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """Every prefix of two words or more of some suffixes and how often it is: one stack over the suffixes in reverse order."""
+    words: list[str] = []
+    times: list[int] = []
+
+    def close(depth: int) -> Iterator[tuple[str, int]]:
+        while len(words) > depth:
+            n = times.pop()
+            if len(words) > 1:
+                yield TAB.join(words), n
+                times[-1] += n
+            words.pop()
+
+    for suffix in sorted(counts, reverse=True):
+        new = suffix.split(TAB)
+        depth = 0
+        for a, b in zip(words, new, strict=False):
+            if a != b:
+                break
+            depth += 1
+        yield from close(depth)
+        words += new[depth:]
+        times += [0] * (len(new) - depth)
+        times[-1] += counts[suffix]
+    yield from close(0)
+
+
+def prefix_counts(found: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, a): every phrase at least so often, those of heavy pairs in parts."""
+    at = ["lang", "key", "split"]
+    rows = found.repartition(*at).sortWithinPartitions(*at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[str] = []
-        counts: list[int] = []
-        lang, whole, out = None, True, []
-
-        def close(depth: int) -> None:
-            while len(words) > depth:
-                n = counts.pop()
-                if len(words) > 1:
-                    if n >= least or not whole:
-                        out.append((lang, TAB.join(words), n))
-                    counts[-1] += n
-                words.pop()
-
-        def batch() -> pa.RecordBatch:
+        def counted() -> pa.RecordBatch:
+            out = [(at[0], phrase, n) for phrase, n in prefixes(counts) if n >= least or at[2]]
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "phrase", "a"])
 
-        for rows_ in batches:
-            for to, suffix, n, split in zip(*(rows_.column(k).to_pylist() for k in range(4)), strict=True):
-                new = suffix.split(TAB)
-                depth = 0
-                if to == lang:
-                    for a, b in zip(words, new, strict=False):
-                        if a != b:
-                            break
-                        depth += 1
-                close(depth)
-                if depth < 2:  # another pair of words
-                    lang, whole = to, not split
-                words += new[depth:]
-                counts += [0] * (len(new) - depth)
-                counts[-1] += n
-            if len(out) > 10_000:
-                yield batch()
-                out.clear()
-        close(0)
-        yield batch()
+        at, counts = None, Counter()
+        for batch in batches:
+            for lang, key, split, body, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, key, split) != at:
+                    if counts:
+                        yield counted()
+                    at, counts = (lang, key, split), Counter()
+                for suffix, times in zip(body.decode().split("\n"), np.frombuffer(n, np.int64).tolist(), strict=True):
+                    counts[suffix] += times
+        if counts:
+            yield counted()
 
     return rows.mapInArrow(run, "lang string, phrase string, a long")
 
@@ -259,8 +374,9 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
     words = word_counts(docs).groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("word").isNull() | (F.col("a") >= least))
     words = ws.save(words, "words")
     totals, words = words.where("word is null").select("lang", F.col("a").alias("n")), words.where("word is not null")
-    found = ws.save(suffixes(docs, words, longest, max_bits), "suffixes")
-    counted = prefix_counts(dealt(ws, found), least)
+    total = totals.agg(F.sum("n")).first()[0] or 0
+    found = ws.save(suffixes(ws, docs, words, total, longest, least, max_bits), "suffixes")
+    counted = prefix_counts(found, least)
     candidates = ws.save(counted.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "candidates")
     ws.drop("suffixes")
     return ranked(ws, scored(ws, candidates, words, totals, percent), ranks)

@@ -168,7 +168,7 @@ def phrase_rows():
 @pytest.mark.parametrize(("load", "bits"), [(phrases.LOAD, phrases.MAX_BITS), (5, 1 << 15)])
 def test_phrases(spark, monkeypatch, load, bits):
     monkeypatch.setattr(phrases, "LOAD", load)
-    monkeypatch.setattr(phrases, "SHARE", 10**9)
+    monkeypatch.setattr(phrases, "HEAVY", 10**9)
     rows = phrase_rows()
     df = spark.createDataFrame([(*r, 1, "k") for r in rows], "lang string, text string, a int, phrase string").repartition(6)
     for least, percent, ranks in ((12, 100, 2000), (5, 60, 40)):
