@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.scratch import Workspace
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: UTF-8 bytes of text that a Python step takes in hand at a time, whatever Arrow's batches hold.
 SLICE_BYTES = 4 << 20
@@ -27,39 +26,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-class Workspace:
-    """Tables written to the folder that driver and executors share (``spark.checkpoint.dir``).
-
-    A written table cuts lineage and survives lost executors. Where the setting
-    is unset (tests on one machine) a temporary folder of this process is used.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            base = tempfile.mkdtemp(prefix="tessera-")
-        self.path = f"{base}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.path)
-
-    def _remove(self, path: str) -> None:
-        try:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM may be gone when the interpreter ends
-            return
-
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        path = f"{self.path}/{name}"
-        df.write.option("compression", codec).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        self._remove(f"{self.path}/{name}")
-
-
 def cut(column: pa.Array) -> Iterator[tuple[int, int]]:
     """(start, length) of runs of about SLICE_BYTES of a text or binary column; a longer value is a run of its own."""
     sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
@@ -158,3 +124,6 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
         if not changed:
             return labels
     raise RuntimeError("components did not settle")
+
+
+__all__ = ["SLICE_BYTES", "WORD", "Workspace", "components", "few", "join_dealt", "map_slices", "parts", "slices", "spread", "table"]

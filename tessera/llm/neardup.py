@@ -1,6 +1,8 @@
 """Near-duplicate documents by fast similarity sketches, banding and exact verification.
 
-A document's set are the hashes (64 bits) of its distinct runs of five words.
+A document's set are the hashes (64 bits, of the xxhash of each word) of its
+distinct runs of five words; a link that joins two groups is confirmed on the
+words themselves.
 Its sketch has ``t`` coordinates. In each of the first t rounds every element is
 thrown into a hashed bin with a hashed value; in round t + b every element goes
 to bin b. A bin keeps the least (round, value), and rounds end when no bin is
@@ -9,8 +11,8 @@ share of equal coordinates is concentrated around the Jaccard similarity as for
 independent permutations. Bands of coordinates give buckets of candidates; of
 buckets with the same members one is kept.
 
-Documents with equal sets are one class from the start, named by their smallest
-id; only classes are compared further. The texts of a bucket's members meet in
+Documents with equal sets are one class from the start, with a number of its
+own and one text; only classes are compared further. The texts of a bucket's members meet in
 one task, or for a large bucket in many, each with blocks of bounded size; full
 sets are intersected there as 0/1 matrices, and only links that span what was
 found leave the task. First a share of the buckets is compared inside blocks,
@@ -25,7 +27,8 @@ Of pairs at similarity 0.75, bands of 7 in 512 coordinates miss (1 - 0.75 ** 7)
 keep that chance at the threshold (``band_width``).
 
 Null and blank texts have no set and are linked with nothing; rows without an id
-keep a null component and are kept. Rows that share an id are one document.
+keep a null component and are kept. Rows that share an id but not their text
+are documents of their own with one name; text_hash tells them apart.
 Texts of any length are read whole. An empty table gives an empty one. Only id
 and text are read: other columns, whatever their names, have no part in it.
 """
@@ -37,10 +40,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, map_slices
+from .common import Workspace, components, join_dealt, map_slices
 
 WORDS, COORDINATES, BAND = 5, 512, 7
 PERCENT = 75
@@ -51,8 +55,12 @@ BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 19
 #: Columns of the 0/1 matrices that are multiplied at a time.
 COLUMNS = 4096
 
+#: Words whose hashes a task remembers.
+HELD_WORDS = 300_000
+#: Sets of so many runs at most are named by the runs.
+FEW_RUNS = 64
+
 _ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 2**64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,44 +70,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
+class WordHashes(dict):
+    """Hashes of words, as far as a task has met them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > HELD_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
 
 
-class Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse, as far as a text has needed."""
+_WORDS = WordHashes()
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def grow(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            for name, base in (("up", _ODD), ("down", _INVERSE)):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a text in ASCII lower case."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: ASCII case and ASCII white space
 
 
-_POWERS = Powers()
+def runs_of(found: list[bytes], words: int) -> set[bytes]:
+    """The distinct runs of so many words; of fewer words the whole."""
+    return {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the runs of so many words of a text in ASCII lower case."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    found = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and ASCII white space
+    """Sorted distinct hashes of the runs of so many words: of the hashes of their words, in order."""
+    return hashed_runs(words_of(text), words)
+
+
+def hashed_runs(found: list[bytes], words: int) -> np.ndarray:
     if not found:
         return np.zeros(0, np.uint64)
-    data = np.frombuffer(b" ".join(found), np.uint8)
-    n = len(data)
-    _POWERS.grow(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _POWERS.up[:n], out=sums[1:])
-    spaces = np.flatnonzero(data == 32)
-    start, end = np.concatenate([[0], spaces + 1]), np.concatenate([spaces, [n]])
-    k = min(words, len(found)) - 1
-    start, end = start[: len(start) - k], end[k:]
-    return np.unique(mix((sums[end] - sums[start]) * _POWERS.down[start] + (end - start).astype(np.uint64)))
+    h = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+    k = min(words, len(h))
+    runs = np.full(len(h) - k + 1, k, np.uint64)
+    for j in range(k):
+        runs = mix(runs + np.uint64(_ODD)) ^ h[j : len(h) - k + 1 + j]
+    return np.unique(mix(runs))
+
+
+def set_key(found: list[bytes], hashes: np.ndarray, words: int) -> bytes | None:
+    """Names a set: by its hashes, and where they are few by its runs of words themselves."""
+    if not len(hashes):
+        return None
+    data = b"\n".join(sorted(runs_of(found, words))) if len(hashes) <= FEW_RUNS else hashes.tobytes()
+    return hashlib.blake2b(data, digest_size=16, person=b"runs" if len(hashes) <= FEW_RUNS else b"hashes").digest()
 
 
 def sketch(hashes: np.ndarray, t: int = COORDINATES) -> np.ndarray:
@@ -150,17 +165,18 @@ def bands(coordinates: np.ndarray, width: int = BAND) -> np.ndarray:
 
 
 def measured(docs: DataFrame, doc_id: str, text: str, words: int, width: int = BAND) -> DataFrame:
-    """(doc_id, key, n, bands): key names the set; a document without words has none. Copies near each other have their bands once."""
+    """(doc_id, text_hash, key, n, bands): key names the set; a document without words has none. Copies near each other have their bands once."""
 
     def step():
         known: set[bytes] = set()
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, sizes, found = [], [], []
-            for x in batch.column(1):
-                s = shingles(x.as_py(), words)
+            for x in batch.column(2):
+                w = words_of(x.as_py())
+                s = hashed_runs(w, words)
                 sizes.append(len(s))
-                key = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+                key = set_key(w, s, words)
                 keys.append(key)
                 if key is None or key in known:
                     found.append(None)
@@ -169,11 +185,12 @@ def measured(docs: DataFrame, doc_id: str, text: str, words: int, width: int = B
                     known.clear()
                 known.add(key)
                 found.append(bands(sketch(s), width))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "n", "bands"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "key", "n", "bands"])
 
         return run
 
-    return map_slices(docs, [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")], step, "doc_id long, key binary, n long, bands array<long>")
+    columns = [F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")]
+    return map_slices(docs, columns, step, "doc_id long, text_hash long, key binary, n long, bands array<long>")
 
 
 def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -195,17 +212,34 @@ def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def roots(size: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The least index reachable from each index by the links (x, y)."""
-    label = np.arange(size)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, x, label[y])
-        np.minimum.at(new, y, label[x])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+def joined(texts: list[list[bytes]], place: np.ndarray, x: np.ndarray, y: np.ndarray, words: int, percent: int) -> list[int]:
+    """The least place reachable from each place by the links (x, y) of texts. Each link that joins two is confirmed on the runs of words themselves."""
+    root = list(range(int(place.max()) + 1))
+    sets: dict[int, set[bytes]] = {}
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def runs(i: int) -> set[bytes]:
+        if i not in sets:
+            sets[i] = runs_of(texts[i], words)
+        return sets[i]
+
+    apart = len(root)
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        a, b = top(int(place[i])), top(int(place[j]))
+        if a == b:
+            continue
+        both = len(runs(i) & runs(j))
+        if 100 * both >= percent * (len(runs(i)) + len(runs(j)) - both):
+            root[max(a, b)] = min(a, b)
+            apart -= 1
+            if apart == 1:
+                break
+    return [top(i) for i in range(len(root))]
 
 
 def linked(tiles: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -215,13 +249,16 @@ def linked(tiles: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 
     def spanning(members: list[tuple[int, bool, bool, str]]) -> list[tuple[int, int]]:
         component, place = np.unique([m[0] for m in members], return_inverse=True)
-        sets = [shingles(m[3], words) for m in members]
+        texts = [words_of(m[3]) for m in members]
+        sets = [hashed_runs(t, words) for t in texts]
         size = np.array([len(s) for s in sets])
         one, two = (np.flatnonzero([m[k] for m in members]) for k in (1, 2))
+        if not len(one) or not len(two):
+            return []
         both = intersections([sets[i] for i in one], [sets[i] for i in two])
         close = 100 * both >= percent * (size[one, None] + size[None, two] - both)
         x, y = np.nonzero(close & (place[one, None] != place[None, two]))
-        root = roots(len(component), place[one[x]], place[two[y]])
+        root = joined(texts, place, one[x], two[y], words, percent)
         return [(int(component[k]), int(component[r])) for k, r in enumerate(root) if k != r]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,24 +308,32 @@ def across_blocks(state: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs."""
+    """(doc_id, n_shingles, component_id, kept, text_hash) of every row of docs."""
     ws = Workspace(docs.sparkSession, "neardup")
     rows = ws.save(measured(docs, doc_id, text, words, band_width(percent)), "measured")
-    classes = rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
+    fit = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
+    one = F.min(F.struct("doc_id", "text_hash")).alias("one")
+    classes = rows.where(fit).groupBy("key").agg(one, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
+    classes = ws.save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     # both the sizes of buckets and their members come from one exchange
     found = classes.select("rep", "n", F.explode("bands").alias("bucket")).repartition("bucket")
     sizes = found.groupBy("bucket").agg(F.count("*").alias("size"), *(F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"s{k}") for k in range(2))).where("size > 1")
     distinct = sizes.groupBy("size", "s0", "s1").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = ws.save(found.join(distinct, "bucket"), "members")
     labels = ws.save(members.select("rep", F.col("rep").alias("component")).distinct(), "labels")
-    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(labels.select("rep"), "rep", "left_semi")
-    texts = ws.save(texts, "texts")
+    wanted = classes.join(labels.select("rep"), "rep").select("rep", "one.doc_id", "one.text_hash")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    texts = ws.save(texts.join(wanted, ["doc_id", "text_hash"]).select("rep", "text"), "texts")
+    if texts.count() > labels.count():  # rows given twice
+        texts = ws.save(texts.dropDuplicates(["rep"]), "texts-once")
     for name, share, tiles in (("first", FIRST_SHARE, within_blocks), ("second", 1, across_blocks)):
         state = members.where(F.pmod("bucket", F.lit(share)) == 0).join(labels, "rep")
         edges = ws.save(linked(tiles(state), texts, words, percent), f"edges-{name}")
-        joined = components(ws, edges, f"joined-{name}").select(F.col("id").alias("component"), F.col("component").alias("low"))
-        labels = ws.save(labels.join(joined, "component", "left").select("rep", F.coalesce("low", "component").alias("component")), f"labels-{name}")
-    named = rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")).join(labels, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(named, "key", "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        found = components(ws, edges, f"joined-{name}").select(F.col("id").alias("component"), F.col("component").alias("low"))
+        labels = ws.save(labels.join(found, "component", "left").select("rep", F.coalesce("low", "component").alias("component")), f"labels-{name}")
+    named = classes.select("key", "copies", "rep", F.col("one.doc_id").alias("first")).join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = ws.save(named.join(least, "component").select("key", "copies", "component_id"), "named")
+    out = join_dealt(rows.where(fit).select("doc_id", "text_hash", "key", "n"), named, ["key"], "copies").select("doc_id", "text_hash", "n", "component_id")
+    out = out.union(rows.where(~fit).select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")

@@ -71,7 +71,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return neardup.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text_hash")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,13 +17,15 @@ stretch: its bytes are hashed as a whole.
    deal the rows of frequent ones into parts likewise.
 4. Covered positions of a document are merged and removed at once.
 
-Equality rests on 64-bit hashes under a 64-bit anchor hash. A note on a stretch
+Equality of stretches and of windows rests on their 64-bit xxhash under a 64-bit
+anchor hash (of a polynomial, which only says what is compared). A note on a stretch
 counts only where the document's bytes there have the stretch's hash, so rows
 whose ids collide do no harm.
 
 A null or empty text, or one shorter than ``length``, has nothing to remove.
 Texts of any length are read whole. Rows with the same id and text are separate
-documents, which repeat each other. Rows without an id are treated like others.
+documents, which repeat each other; notes on them are kept once, so that work
+grows with their number and not with its square. Rows without an id are treated like others.
 An empty table gives an empty one.
 """
 
@@ -34,15 +36,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, join_dealt, map_slices
-from .neardup import _BYTE, _POWERS, mix
+from .neardup import mix
 
 LENGTH, GRAM = 200, 48
 MOST = 300
+#: Row ids whose stretches a task remembers to have sent.
+SENT = 100_000
+
+_ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 2**64)
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
+
+
+class Powers:
+    """Powers of an odd number modulo 2**64 and of its inverse, as far as a text has needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def grow(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, 2 * len(self.up))
+            for name, base in (("up", _ODD), ("down", _INVERSE)):
+                steps = np.full(n, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+
+
+_POWERS = Powers()
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
@@ -57,6 +84,12 @@ def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * _POWERS.down[start] + (end - start).astype(np.uint64))
 
 
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """xxhash of the bytes between."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
+
+
 def least_in(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of so many values."""
     span = 1
@@ -81,7 +114,7 @@ def stretches(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...
     change[1:] = (least[1:] != least[:-1]) | (least[:-1] == grams[: windows - 1])
     start = np.flatnonzero(change)
     count = np.diff(np.append(start, windows))
-    return least[start], between(sums, start, start + count - 1 + length), start, count
+    return least[start], digests(data.tobytes(), start, start + count - 1 + length), start, count
 
 
 def row_id(doc_id: str, text: str) -> F.Column:
@@ -142,6 +175,7 @@ def applied(docs: DataFrame, notes: DataFrame, doc_id: str, text: str, length: i
 
     def step():
         squeeze = zstandard.ZstdCompressor(level=3)
+        sent: set[int] = set()
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[tuple] = []
@@ -154,15 +188,19 @@ def applied(docs: DataFrame, notes: DataFrame, doc_id: str, text: str, length: i
                     end = start + (place & 0xFFFF) - 1 + length
                     fits = end <= len(data)
                     ok = np.zeros(len(place), bool)
-                    ok[fits] = between(prefix(np.frombuffer(data, np.uint8)), start[fits], end[fits]).view(np.int64) == np.array([f["c"] for f in found], np.int64)[fits]
+                    ok[fits] = digests(data, start[fits], end[fits]).view(np.int64) == np.array([f["c"] for f in found], np.int64)[fits]
                     for f, a, b, good in zip(found, start.tolist(), end.tolist(), ok.tolist(), strict=True):
                         if not good:
                             continue
                         if f["whole"]:
                             spans.append((a, b))
-                        if f["send"]:
+                        if f["send"] and rid not in sent:
                             out.append(("stretch", rid, None, None, data[a:b], f["key"], f["c"], f["n"], f["place"], f["stretches"], None, None, None, None))
-                            waits |= not f["whole"]
+                        waits |= f["send"]
+                if waits and rid not in sent:  # rows with this id and text wait likewise, but their stretches are known
+                    if len(sent) >= SENT:
+                        sent.clear()
+                    sent.add(rid)
                 spans = merge(spans)
                 if waits:
                     out.append(("wait", rid, doc, [x for s in spans for x in s], squeeze.compress(data), None, None, None, None, None, len(data), None, None, None))
@@ -179,13 +217,11 @@ def applied(docs: DataFrame, notes: DataFrame, doc_id: str, text: str, length: i
 
 def window_hashes(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, index of the body, window) of all windows of all bodies."""
-    data = np.frombuffer(b"".join(bodies), np.uint8)
-    sizes = np.array([len(b) for b in bodies], np.int64)
-    counts = sizes - length + 1
+    counts = np.array([len(b) for b in bodies], np.int64) - length + 1
     owner = np.repeat(np.arange(len(bodies)), counts)
     window = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    start = (np.cumsum(sizes) - sizes)[owner] + window
-    return between(prefix(data), start, start + length), owner, window
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(b[i : i + length]) for b, n in zip(bodies, counts.tolist(), strict=True) for i in range(n)), np.uint64, int(counts.sum())), owner, window
 
 
 def spans_of(rid: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
@@ -292,6 +328,8 @@ def in_parts(sent: DataFrame, length: int, per_part: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs."""
+    if length - gram + 1 > 0xFFFF:
+        raise ValueError(f"strings of {length} bytes with anchors of {gram}")
     ws = Workspace(docs.sparkSession, "substrings")
     found = anchors(docs, doc_id, text, length, gram)
     keys = found.select("key", "c").groupBy("key").agg(F.count("*").alias("times"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("times > 1")
@@ -307,7 +345,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     none = F.lit(0).cast("long")
     whole = whole.select("rid", F.struct("place", "c", "key", F.lit(True).alias("whole"), F.lit(False).alias("send"), none.alias("n"), none.alias("stretches")).alias("note"))
     asked = send.select(F.col("one.rid").alias("rid"), F.struct(F.col("one.place").alias("place"), "c", "key", F.lit(False).alias("whole"), F.lit(True).alias("send"), "n", "stretches").alias("note"))
-    notes = whole.union(asked).groupBy("rid").agg(F.collect_list("note").alias("notes"))
+    notes = whole.union(asked).groupBy("rid").agg(F.collect_set("note").alias("notes"))
     state = ws.save(applied(docs, notes, doc_id, text, length), "state")
     ws.drop("met")
     sent = state.where("kind = 'stretch'")

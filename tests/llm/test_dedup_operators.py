@@ -171,6 +171,47 @@ def test_buckets_of_many_blocks(spark, monkeypatch):
     assert sorted(neardup.near_duplicates(other).collect()) == sorted(neardup.near_duplicates(frame(spark, rows)).collect())
 
 
+def thue_morse(a, b):
+    return "".join((a, b)[bin(k).count("1") % 2] for k in range(1024))
+
+
+def test_texts_with_no_word_in_common_are_not_linked(spark):
+    rows = [(k, " ".join(thue_morse(*x) for x in ("ab", "cd", "ef", "gh", "ij")[:n])) for k, n in enumerate((1, 2, 5))]
+    rows += [(10 + k, " ".join(thue_morse(*x) for x in ("ba", "dc", "fe", "hg", "ji")[:n])) for k, n in enumerate((1, 2, 5))]
+    check_near(spark, rows)
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {i: plain_removed(rows)[i] for i, _ in rows}
+
+
+def plain_removed(rows):
+    seen = Counter(t[i : i + 200] for _, t in rows for i in range(len(t) - 199))
+    return {i: len({k for a in range(len(t) - 199) if seen[t[a : a + 200]] > 1 for k in range(a, a + 200)}) for i, t in rows}
+
+
+def test_links_are_confirmed_on_words(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_WORDS", defaultdict(lambda: 7))  # every word has one hash
+    found = [neardup.words_of(t) for t in ("a b c d e f", "a b c d e f g", "h i j k l m")]
+    place = np.arange(3)
+    assert neardup.joined(found, place, np.array([0, 0, 1]), np.array([2, 1, 2]), 5, 60) == [0, 0, 2]
+    keys = {neardup.set_key(f, neardup.hashed_runs(f, 5), 5) for f in found}
+    assert len(keys) == 3
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    base, other = words(60), words(60)
+    rows = [(1, base), (1, other), (1, other), (2, base + " more"), (3, other)] + [(9, base)] * 40
+    got = neardup.near_duplicates(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter([(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False)] + [(9, 1, False)] * 40)
+
+
+def test_many_equal_rows_without_an_id(spark):
+    text = "".join(map(chr, rng.integers(97, 122, 900)))
+    part = text[100:500]
+    rows = [(None, text)] * 10_000 + [(1, "head " + part + " tail"), (2, "x" + text[300:600])]
+    got = Counter((r.doc_id, r.n_removed, r.n_spans) for r in substrings.remove_repeats(frame(spark, rows).repartition(4)).collect())
+    assert got == {(None, 900, 1): 10_000, (1, 400, 1): 1, (2, 300, 1): 1}
+
+
 def test_intersections():
     for sizes in ((1, 1), (3, 5), (20, 30)):
         one, two = ([np.unique(rng.integers(0, 3000, int(rng.integers(1, 900))).astype(np.uint64)) for _ in range(n)] for n in sizes)
@@ -240,6 +281,15 @@ def test_lines_edges(spark):
     assert lines.dedup(frame(spark, [])).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    one, two = "a\nb\nc\nd", "p\nq\nr"
+    rows = [(1, one), (1, two), (1, two), (2, "x\n" + one), (3, one)]
+    df = spark.createDataFrame([(i, t, 5, "k", 6, 7) for i, t in rows], "doc_id long, text string, starts int, lines string, id int, key int")
+    got = lines.dedup(df)
+    assert got.columns == [*df.columns, "n_lines", "n_removed"]
+    assert Counter((r.doc_id, r.text, r.n_removed, r.starts) for r in got.collect()) == Counter([(1, one, 0, 5), (1, two, 0, 5), (1, two, 0, 5), (2, "x", 4, 5), (3, "", 4, 5)])
+
+
 def test_mixing_edges(spark):
     rows = [(k, words(int(rng.integers(1, 40))), ["a", "b", "c", None][k % 4]) for k in range(200)] + [(300, None, "a"), (301, "", "empty"), (None, "some words", "a"), (302, words(20_000), "b")]
     docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, source string, target long")
@@ -317,7 +367,8 @@ def test_repeats_of_the_documents(spark, sf):
 # --- vectors ----------------------------------------------------------------------------------------
 
 
-def test_vectors_against_brute_force(spark):
+@pytest.mark.parametrize(("block", "cells"), [(50, 2), (8192, 256), (300, 20)])
+def test_vectors_against_brute_force(spark, block, cells):
     rows = []
     for label in (1, 2):
         centres = rng.standard_normal((40, 64))
@@ -327,7 +378,7 @@ def test_vectors_against_brute_force(spark):
             rows.append((len(rows), (c + noise / np.linalg.norm(noise) * rng.uniform(0, 0.25)).tolist(), label))
     rows += [(len(rows) + k, rows[0][1], 1) for k in range(30)] + [(5000, rows[0][1], None), (5001, None, 1), (5002, [0.0] * 64, 1), (5003, [float("nan")] * 64, 1), (5004, [float("inf")] + [0.0] * 63, 1), (5005, [1.0, 2.0], 1), (5006, [2.0, 4.0], 1), (5007, [None] + [1.0] * 63, 1)]
     df = spark.createDataFrame([(*r, "x") for r in rows] + [(None, rows[0][1], 1, "x")], "vec_id long, embedding array<double>, label long, kept string")
-    got = {r.vec_id: r for r in embeddings.near_vectors(df, block=50).collect()}
+    got = {r.vec_id: r for r in embeddings.near_vectors(df, block=block, cell_rows=cells).collect()}
     links, found = 0, 0
     pairs = []
     usable = [(i, np.array(v), lab) for i, v, lab in rows if v and lab and None not in v and np.isfinite(v).all() and np.linalg.norm(v)]
@@ -362,6 +413,24 @@ def test_recall_on_the_embeddings(spark, sf):
     assert got.n_links.sum() >= 0.9 * want
 
 
+def test_components_of_any_size_and_vectors_of_many_lengths(spark):
+    base = rng.standard_normal(8)
+    sizes = [1e-200, 1.0, 1e200, 1e-310, 1e307]
+    rows = [(k, (base * size).tolist(), 1) for k, size in enumerate(sizes)] + [(9, (-base).tolist(), 1)]
+    rows += [(100 + 2 * d + k, [1.0 + 0.01 * k] + [0.5] * d, 2) for d in range(1, 40) for k in range(2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df).collect()}
+    assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 4: (4, 0), 9: (0, 9)} | {100 + 2 * d + k: (1, 100 + 2 * d) for d in range(1, 40) for k in range(2)}
+
+
+def test_no_task_sorts_all_vectors(spark):
+    df = spark.createDataFrame([(k, rng.standard_normal(4).tolist(), 1) for k in range(300)], "vec_id long, embedding array<double>, label long")
+    ws = Workspace(spark, "fit")
+    classes = ws.save(df.select(F.col("vec_id").alias("class"), F.col("vec_id").alias("number"), F.lit(4).alias("dim"), F.col("embedding").alias("v")), "classes")
+    model = embeddings.fit(classes, lambda sample: sample, 20)
+    assert len(model.by[4]) == 20 and model[7].shape == (0, 7)
+
+
 @pytest.mark.parametrize("shift", [0, 2])
 def test_no_pair_just_above_the_threshold_is_lost(spark, shift):
     g = np.random.default_rng(5)

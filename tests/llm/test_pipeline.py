@@ -3,6 +3,8 @@
 import corpus_pipeline as pipeline
 from test_dedup_operators import brute_groups, shingle_sets
 
+from pyspark.sql import functions as F
+
 from tessera.llm import bpe, langid, mixing
 from tessera.llm.queries import tokenizer_path
 
@@ -62,6 +64,22 @@ def test_language_stage_without_labels_keeps_texts_with_letters(spark, sf):
         assert {r.doc_id for r in pipeline.language(spark, docs, sf).collect()} == {1, 4}
 
 
+def test_language_stage_depends_on_its_model(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    foreign = spark.createDataFrame([(800_001, "Это предложение на русском языке, которого никто не учил", None, "s", 56), (800_002, "这是一个没有人学过的语言的句子" * 4, "en", "s", 60)], docs.schema)
+    docs = docs.union(foreign)
+    got = {r.doc_id: r.lang for r in pipeline.language(spark, docs, sf).collect()}
+    labels = {r.doc_id: r.lang for r in docs.collect()}
+    # documents in no learned language go; the others carry the identified one
+    assert set(labels) - set(got) == {800_001, 800_002}
+    assert sum(got[i] == labels[i] for i in got) > 0.95 * len(got)
+    french = docs.withColumn("lang", F.when(F.col("lang") == "fr", F.col("lang")))
+    assert {r.lang for r in pipeline.language(spark, french, sf).collect()} == {"fr"}
+    learned = docs.union(spark.createDataFrame([(800_003, "Это другое предложение на русском языке, и его текст учит модель узнавать язык " * 3, "ru", "s", 99)], docs.schema))
+    found = {r.doc_id: r.lang for r in pipeline.language(spark, learned, sf).collect()}
+    assert found[800_001] == "ru" and 800_002 not in found
+
+
 def test_stages_of_hard_rows(spark, sf):
     """Nulls in any column, repeated rows and ids, ties, clashing columns and empty tables."""
     words = " ".join(f"word{k}" for k in range(40))
