@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
-Language identification rejects documents without letters; line dedup removes
+Language identification rejects documents without letters and those that no
+learned language fits, and names the language of the others; line dedup removes
 repeated passages and documents of which nothing is left; near-dedup keeps one
 document of each group; mixing repeats and orders documents by the curriculum;
 the last stage encodes what is left, decodes it again and keeps both.
@@ -25,10 +26,21 @@ from tessera.llm.common import Workspace, table
 from tessera.llm.queries import tokenizer_path
 
 
+#: Characters that a text's phrases must have on average in the language that fits best, or it is in none of the learned languages.
+LEAST_PHRASE = 1.5
+#: Shorter texts are too short to tell.
+LEAST_CHARS = 20
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an identified language, learned from the labels of those not held out; all with a letter where there are no labels."""
+    """Documents in a learned language, with lang the identified one. Learned from the labels of those not held out; where there are none, all with a letter stay as they are."""
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    return langid.predict(docs, model, lang="__lang", score="__score").where((F.col("__lang") != langid.UND) | langid.has_letter("text")).select(docs.columns)
+    if not model.langs:
+        return docs.where(langid.has_letter("text"))
+    found = langid.predict(docs, model, lang="__lang", score="__score")
+    short = F.char_length(langid.normalised("text")) < LEAST_CHARS
+    found = found.where((F.col("__lang") != langid.UND) & ((F.col("__score") >= 1 - 1 / LEAST_PHRASE) | short))
+    return found.withColumn("lang", F.col("__lang")).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +52,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest id, or any if there is none."""
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    if rows.groupBy("__row").count().where("count > 1").limit(1).count():
-        rows = Workspace(spark, "rows").save(rows.dropDuplicates(["__row"]), "rows")  # some rows are given twice
-    found = neardup.near_duplicates(rows.select("__row", "text"), doc_id="__row").select(F.col("doc_id").alias("__row"), "component_id")
-    found = Workspace(spark, "groups").save(found.join(rows.select("__row", F.col("doc_id").alias("id")), "__row"), "groups")
-    first = found.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("m")).where("n > 1")
-    gone = found.join(first, "component_id").where(F.col("__row") != F.col("m.__row")).select("__row")
-    return rows.join(gone, "__row", "left_anti").select(docs.columns)
+    key = ["__row", "__text"]  # two hashes: one alone may be that of another row
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text")).withColumn("__text", F.xxhash64("text"))
+    if rows.groupBy(*key).count().where("count > 1").limit(1).count():
+        rows = Workspace(spark, "rows").save(rows.dropDuplicates(key), "rows")  # some rows are given twice
+    found = neardup.near_duplicates(rows.select("__row", "text"), doc_id="__row").select(F.col("doc_id").alias("__row"), F.col("text_hash").alias("__text"), "component_id")
+    found = Workspace(spark, "groups").save(found.join(rows.select(*key, F.col("doc_id").alias("id")), key), "groups")
+    first = found.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", *key)).alias("m")).where("n > 1")
+    gone = found.join(first, "component_id").where((F.col("__row") != F.col("m.__row")) | (F.col("__text") != F.col("m.__text"))).select(*key)
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
