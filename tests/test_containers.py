@@ -342,3 +342,20 @@ def test_fixed_palette():
     got = gif.decode(gif.encode(image, gif.EncodeOptions(palette=palette)))[0].frames[0].rgba
     d = ((image[:, :, None, :3].astype(int) - palette[None, None].astype(int)) ** 2).sum(-1)
     assert (got[..., :3] == palette[d.argmin(-1)]).all()
+
+
+def test_headers_of_bitmaps_with_other_files_inside():
+    for code, bits, kind in ((4, 0, "Unsupported"), (5, 0, "Unsupported"), (0, 0, "Invalid"), (0, 64, "Unsupported"), (3, 24, "Invalid")):
+        data = b"BM" + struct.pack("<IHHI", 60, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 5, 7, 1, bits, code, 0, 0, 0, 0, 0) + bytes(300)
+        info = bmp.read_info(data)
+        assert (info.width, info.height, info.bits_per_pixel) == (5, 7, bits)
+        assert guarded(bmp.decode, data)[1].kind == kind
+
+
+def test_palettes_that_are_longer_than_their_files():
+    head = struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, 24, 0, 0, 0, 0, 2**31, 0)
+    info = bmp.read_info(b"BM" + struct.pack("<IHHI", 0, 0, 0, 0) + head + bytes(10))
+    assert 54 <= info.pixels_at <= 64
+    head = struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, 8, 0, 0, 0, 0, 0, 0)
+    info = bmp.read_info(b"BM" + struct.pack("<IHHI", 0, 0, 0, 62) + head + bytes(range(20)))
+    assert info.palette_len == 2 and info.palette.tolist() == [[2, 1, 0], [6, 5, 4]] and info.pixels_at == 62
