@@ -44,22 +44,26 @@ def error_row(path: str, e: RasterError, mode: str) -> dict:
     return {"path": path, "error": {"kind": e.kind, "message": e.message}}
 
 
+def batches(rows: Iterator[dict], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about BATCH_BYTES."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 200 + sum(len(v) for v in row.values() if isinstance(v, bytes))
+        if size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(held, arrow)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, arrow)
+
+
 def table(source: DataFrame, schema: str, rows: Callable[[str, bytes], Iterator[dict]]) -> DataFrame:
     """Rows that a function gives for each (path, content)."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                for row in rows(path.as_py(), content.as_py() or b""):
-                    held.append(row)
-                    size += 200 + sum(len(v) for v in row.values() if isinstance(v, bytes))
-                    if size >= BATCH_BYTES:
-                        yield pa.RecordBatch.from_pylist(held, arrow)
-                        held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_pylist(held, arrow)
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = ((path.as_py(), content.as_py() or b"") for batch in found for path, content in zip(batch.column(0), batch.column(1), strict=True))
+        return batches((row for path, content in files for row in rows(path, content)), arrow)
 
     return source.select("path", "content").mapInArrow(run, schema)
 
@@ -142,12 +146,13 @@ def bmp(source: DataFrame, limits: Limits = Limits(), mode: str = "permissive")
     return table(source, S.BMP, rows)
 
 
-def page_rows(path: str, data: bytes, limits: Limits, mode: str, pixels: bool, wanted: int | None) -> Iterator[dict]:
+def page_rows(path: str, data: bytes, limits: Limits, mode: str, pixels: bool, wanted: int | range | None) -> Iterator[dict]:
     t, e = guarded(tiff_.Tiff, data, limits)
     if e:
         yield error_row(path, e, mode)
         return
-    for page in range(len(t.directories)) if wanted is None else [wanted] if 0 <= wanted < len(t.directories) else []:
+    wanted = range(wanted, wanted + 1) if isinstance(wanted, int) else wanted or range(len(t.directories))
+    for page in range(max(0, wanted.start), min(wanted.stop, len(t.directories))):
         info, e = guarded(t.info, page)
         row = {"path": path, "page": page}
         if e is None:
