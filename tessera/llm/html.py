@@ -5,13 +5,17 @@ by itself: link density, membership in a menu, header, footer, sidebar, notice,
 advert, form or comment container, length, and density of stop words make it
 good, bad, or leave a short one undecided. Stop words are those of four
 languages: long blocks without them are bad only where blocks with them hold at
-least as much of the page, and are written in Latin letters; otherwise length and
-link density decide. In the second pass undecided blocks
+least as much of the page, they are written in Latin letters, and the nearest
+decided blocks are not good on both sides; otherwise length and link density
+decide. In the second pass undecided blocks
 inherit the label of the nearest decided neighbours in their own region (an
 article, or the rest of the page); where two neighbours disagree the nearer one
 counts, the earlier on a tie. A region without decided blocks is good if it is
-an article or main element. If an article has good blocks, blocks outside all
-articles are bad.
+an article or main element. If articles hold a block that is good by itself, or at
+least as much good text as the rest of the page, blocks outside all articles are
+bad; otherwise those inside are. An article named as a reader's comment or an
+advert is none. A page on which nothing is good is judged again without the names
+of side columns, which wrappers of whole pages bear as well.
 
 Entities are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by a line feed. Null, empty or malformed html never fails: a
@@ -68,6 +72,12 @@ NOT_TEXT_NAMES = frozenset(
     subscribe signup social share sharing related recommended comment comments disqus replies pagination pager copyright disclaimer""".split()
 )
 HEADER_NAMES = frozenset({"header", "topbar"})
+#: Names of articles that are not the page's: what readers or advertisers have written.
+READER_NAMES = frozenset("ad advert advertisement sponsored promo promotion comment comments disqus reply replies".split())
+#: Names of side columns, which wrappers of whole pages bear as well.
+COLUMN_NAMES = frozenset("sidebar widget".split())
+#: Blocks of these are text even if all of it is a link.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote figcaption".split())
 #: Parts of a name beside one of those above that leave its meaning; with any other part, as in related-work, it is another name.
 NEUTRAL_NAMES = frozenset(
     """site page global main top bottom left right center upper lower inner outer section area box list block bar link links item items row
@@ -96,12 +106,14 @@ class Block:
     region: int
     excluded: bool
     linked: int
+    prose: bool = False  # of a paragraph or heading
     stopped: bool = False  # long, with stop words
     label: str = field(default="")
 
 
-def names_exclude(tag: str, attributes: str, in_region: bool) -> bool:
-    if not attributes or tag in ("html", "body", "main", "article"):
+def names_exclude(tag: str, attributes: str, in_region: bool, columns: bool) -> bool:
+    """columns: whether names of side columns count."""
+    if not attributes or tag in ("html", "body", "main"):
         return False
     for key, a, b, c in ATTRIBUTES.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
@@ -111,27 +123,27 @@ def names_exclude(tag: str, attributes: str, in_region: bool) -> bool:
             if value in NOT_TEXT_ROLES:
                 return True
         elif key != "aria-hidden":
-            listed = NOT_TEXT_NAMES if in_region else NOT_TEXT_NAMES | HEADER_NAMES
+            listed = READER_NAMES if tag == "article" else NOT_TEXT_NAMES if in_region else NOT_TEXT_NAMES | HEADER_NAMES
             for full in value.split():
                 names = {x for x in re.split(r"[^a-z]+", full) if x}
-                if names & listed and not names & LAYOUT_NAMES and names <= listed | NEUTRAL_NAMES:
+                if names & listed and not names & LAYOUT_NAMES and names <= listed | NEUTRAL_NAMES and (columns or not names & COLUMN_NAMES):
                     return True
     return False
 
 
-def blocks(page: str) -> Iterator[Block]:
+def blocks(page: str, columns: bool = True) -> Iterator[Block]:
     """Blocks with text, in page order; region 0 is what no article or main element holds."""
     stack: list[tuple[str, int, bool]] = []  # name, region, excluded
     depth: Counter = Counter()  # open elements of each name
     region, excluded, regions, link = 0, False, 0, 0
     parts: list[tuple[str, bool]] = []
-    at, breaks = 0, 0
+    at, breaks, prose = 0, 0, False
 
     def close() -> Iterator[Block]:
         if parts:
             text = " ".join("".join([t for t, _ in parts]).split())
             if text:
-                yield Block(text, region, excluded, sum(len("".join(t.split())) for t, inside in parts if inside))
+                yield Block(text, region, excluded, sum(len("".join(t.split())) for t, inside in parts if inside), prose)
             parts.clear()
 
     def take(raw: str) -> None:
@@ -159,6 +171,7 @@ def blocks(page: str) -> Iterator[Block]:
             continue
         if name in BLOCKS:
             yield from close()
+            prose = not end and name in PROSE
         if name == "a":
             link = 0 if end else 1
         elif name in NESTED:
@@ -172,7 +185,7 @@ def blocks(page: str) -> Iterator[Block]:
                         yield from close()
             elif not m[5].endswith("/"):
                 inside = region
-                out = excluded or name in NOT_TEXT or name == "header" and not region or names_exclude(name, m[5], region > 0)
+                out = excluded or name in NOT_TEXT or name == "header" and not region or names_exclude(name, m[5], region > 0, columns)
                 if name in REGIONS and not excluded and not region:
                     regions += 1
                     inside = regions
@@ -191,8 +204,8 @@ def first_pass(b: Block, rules: Rules) -> str:
     visible = sum(map(len, words))
     if b.excluded or "©" in b.text and n < rules.short and not b.region:
         return "bad"
-    # in an article a block of links alone is a menu, and a paragraph with links a paragraph
-    if b.linked >= visible if b.region else b.linked > rules.links * visible:
+    # in an article a block of links alone is a menu unless it is a paragraph
+    if b.linked >= visible and not b.prose if b.region else b.linked > rules.links * visible:
         return "bad"
     density = sum(w.strip(".,;:!?\"'()[]%#*&$") in STOP_WORDS for w in words) / len(words)
     if n < rules.short:
@@ -210,11 +223,19 @@ def latin(text: str) -> bool:
 
 
 def judge_unknown(found: list[Block]) -> None:
-    """Blocks without stop words are lists of names or junk on a page of a known language, text on another."""
-    unknown = [b for b in found if b.label == UNKNOWN]
-    known = sum(len(b.text) for b in found if b.stopped) >= sum(len(b.text) for b in unknown)
-    for b in unknown:
-        b.label = "bad" if known and latin(b.text) else "good"
+    """Blocks without stop words are text on a page of no known language; on others lists of names or junk, unless text stands before and after."""
+    unknown = [i for i, b in enumerate(found) if b.label == UNKNOWN]
+    known = sum(len(b.text) for b in found if b.stopped) >= sum(len(found[i].text) for i in unknown)
+    before, after = ["bad"] * len(found), ["bad"] * len(found)  # labels of the nearest decided blocks
+    for near, order in ((before, range(len(found))), (after, range(len(found) - 1, -1, -1))):
+        last = "bad"
+        for i in order:
+            near[i] = last
+            if found[i].label in ("good", "bad"):
+                last = found[i].label
+    for i in unknown:
+        within = before[i] == after[i] == "good"
+        found[i].label = "bad" if known and latin(found[i].text) and not within else "good"
 
 
 def second_pass(found: list[Block], regions: dict[int, list[int]]) -> None:
@@ -246,17 +267,25 @@ def main_text(page: str | None, rules: Rules | None = None) -> str:
     if not page:
         return ""
     rules = rules or Rules()
-    found = list(blocks(page))
+    good = judged(list(blocks(page)), rules)
+    if not good:  # perhaps a wrapper of the whole page is named after its side column
+        good = judged(list(blocks(page, columns=False)), rules)
+    return "\n".join(b.text for b in good)
+
+
+def judged(found: list[Block], rules: Rules) -> list[Block]:
+    """The good blocks: those of articles, unless these hold but short ones and less text than the rest of the page."""
     regions: dict[int, list[int]] = {}
     for i, b in enumerate(found):
         b.label = first_pass(b, rules)
         regions.setdefault(b.region, []).append(i)
+    sure = any(b.region and b.label == "good" for b in found)
     judge_unknown(found)
     second_pass(found, regions)
     good = [b for b in found if b.label == "good"]
-    if any(b.region for b in good):
-        good = [b for b in good if b.region]
-    return "\n".join(b.text for b in good)
+    size = lambda inside: sum(len(b.text) for b in good if bool(b.region) == inside)
+    inside = size(True) > 0 and (sure or size(True) >= size(False))
+    return [b for b in good if bool(b.region) == inside]
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "text", rules: Rules | None = None) -> DataFrame:

@@ -200,6 +200,30 @@ def test_blocks_inside_articles(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><article class=teaser>Short teaser.</article>", f"{LONG.strip()}\n{LONG.strip()}"),
+        (f"<div><p>{LONG}</p></div><article class=comment><p>{LONG}</p></article><article id='comment-7'>{LONG}</article>", LONG.strip()),
+        (f"<article class='post has-comments'><p>{LONG}</p><article class='comment'><p>{LONG}</p></article></article>", LONG.strip()),
+        (f"<div class='right-sidebar'><nav><a href=/>Home</a></nav><article><p>{LONG}</p></article><footer>{LONG}</footer></div>", LONG.strip()),
+        (f"<div class='content-sidebar'><p>{LONG}</p><p>End.</p></div>", f"{LONG.strip()}\nEnd."),
+        (f"<article><p>{LONG}</p><p><a href=x>All of this is a link</a></p><ul><li><a href=y>Menu entry</a></li></ul></article>", f"{LONG.strip()}\nAll of this is a link"),
+        (f"<main><p>Short.</p></main><p>Tiny.</p>", "Short."),
+    ],
+)
+def test_regions_are_chosen_by_their_text(page, text):
+    assert html.main_text(page) == text
+
+
+def test_pages_without_article(spark, sf):
+    """Most of the given pages give the same text with their article's markup taken away, and none loses much of it."""
+    pages = [r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    texts = [(html.main_text(r.html.replace("<article>", "<div>").replace("</article>", "</div>")), html.main_text(r.html)) for r in pages]
+    long = [(a, b) for a, b in texts if len(b) >= 400]
+    assert sum(a == b for a, b in texts) >= 0.85 * len(texts) and all(len(a) >= 0.8 * len(b) for a, b in long)
+
+
 @pytest.mark.parametrize("unit", ["<a ", "<script ", "<script>", "<a b=\"", "<a b='\"", "<!", "<!--", "</div>", "<div>", "<p title=\"x", "<", "&", "&#", "<b a=", "<p>©<a>", "<span></b>"])
 def test_time_of_broken_pages(unit):
     took = []
