@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.colours import median_cut
+from tessera.operators.colours import median_cut, nearest_by_grid
 from tessera.operators.pixels import idiv, long, pack_rgb, unpack_rgb
 
 MAX_PALETTE = 256
@@ -22,6 +22,8 @@ MAX_PALETTE = 256
 BROADCAST_COLOURS = 1 << 16
 #: Numbers that one row makes at a time where a page is cut into strips or tiles.
 CHUNKS_AT_A_TIME = 1 << 16
+#: Logarithm of the registers of a sketch of distinct colours.
+SKETCH_BITS = 12
 #: Samples of a row that are summed in one piece.
 ROW_BLOCK = 1 << 16
 
@@ -71,6 +73,19 @@ def distinct_colours(pixels: DataFrame, colours: Sequence[str], image: Sequence[
     return pixels.groupBy(*image).agg(F.countDistinct(*colours).alias("colours"))
 
 
+def colour_sketches(pixels: DataFrame, colours: Sequence[str], image: Sequence[str]) -> DataFrame:
+    """(image, sketch): what distinct colours of any number of images are told from, in a few kilobytes an image."""
+    return pixels.groupBy(*image).agg(F.hll_sketch_agg(F.xxhash64(*colours), F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def merged_colours(sketches: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, colours): distinct colours of the images of each group together, without reading pixels again.
+
+    The standard error is 0.83 / 2 ** (SKETCH_BITS / 2) of the count, 1.3 %.
+    """
+    return sketches.groupBy(*group).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("colours"))
+
+
 def exact_palette(counts: DataFrame, colour: str, image: Sequence[str], most: int = MAX_PALETTE, weight: str = "n") -> DataFrame:
     """(image, i, colour) ascending: the colours of an image of at most so many, else the median cut of its packed colours."""
     keyed = counts.withColumn("__all", F.lit(0))  # a key also where there are no image columns
@@ -91,9 +106,12 @@ def first_seen(pixels: DataFrame, image: Sequence[str], order: Sequence[str], co
 
 
 def nearest(colours: DataFrame, channels: Sequence[str], palette: Sequence[Sequence[int]], out: str = "i") -> DataFrame:
-    """Index of the closest entry of a palette of at most 256, the first of equals; no join."""
-    if not 1 <= len(palette) <= MAX_PALETTE:
+    """Index of the closest entry of a palette, the first of equals; no join up to 256 entries, a grid beyond."""
+    if not palette:
         raise ValueError("palette size")
+    if len(palette) > MAX_PALETTE:
+        entries = colours.sparkSession.createDataFrame([(i, *map(int, p)) for i, p in enumerate(palette)], ", ".join(["i long", *(f"{c} long" for c in channels)]))
+        return nearest_by_grid(colours, channels, entries, out)
     entries = F.array(*(F.struct(*(F.lit(int(v)).alias(f"c{k}") for k, v in enumerate(p)), F.lit(i).cast("long").alias("i")) for i, p in enumerate(palette)))
 
     def distance(p: Column) -> Column:

@@ -139,6 +139,16 @@ def distinct_colours(spark, sf_dir):
     return R.distinct_colours(raster(spark, sf_dir), ["s"], ["label"])
 
 
+@query("with $RASTER select label % 3 as part, count(distinct s * 1000 + x) as colours, true as close from raster group by label % 3")
+def distinct_merged(spark, sf_dir):
+    """Distinct (value, column) pairs of groups of images, counted, and estimated from sketches of the images."""
+    px = raster(spark, sf_dir).withColumn("part", F.col("label") % 3)
+    exact = R.distinct_colours(px, ["s", "x"], ["part"])
+    sketches = R.colour_sketches(px, ["s", "x"], ["part", "label"])
+    near = R.merged_colours(sketches, ["part"]).withColumnRenamed("colours", "estimate")
+    return exact.join(near, "part").select("part", "colours", (F.abs(F.col("estimate") - F.col("colours")) <= 0.05 * F.col("colours") + 1).alias("close"))
+
+
 @query("with $RASTER select label, (row_number() over (partition by label order by s) - 1)::bigint as i, s from (select distinct label, s from raster)")
 def palette_exact(spark, sf_dir):
     return R.exact_palette(R.histogram(raster(spark, sf_dir), ["s"], ["label"]), "s", ["label"])
@@ -334,6 +344,13 @@ def limit_guard(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", P.limit_error(w, h, 100_000_000).alias("error"))
 
 
+@query("select o_orderkey, case o_orderkey % 7 when 0 then 1 when 1 then 2 when 2 then 3 when 5 then 5 when 6 then 0 else 4 end::bigint as channels from orders")
+def channel_counts(spark, sf_dir):
+    names = F.array(*map(F.lit, ("Gray", "GrayAlpha", "Rgb", "Rgba", "Cmyk", "CmykAlpha", "Lab")))
+    colour = F.element_at(names, (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(P.channels_of(colour), F.lit(0)).alias("channels"))
+
+
 @query("""select doc_id, case when doc_id % 4 = 0 then 'gif' when doc_id % 4 = 1 then 'bmp' when doc_id % 4 = 2 then 'tiff' end as format from documents""")
 def magic_bytes(spark, sf_dir):
     head = F.element_at(F.array(*(F.unhex(F.lit(h)) for h in ("474946383961", "424D0000", "4D4D002A", "89504E47"))), (F.col("doc_id") % 4 + 1).cast("int"))

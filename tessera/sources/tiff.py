@@ -137,7 +137,7 @@ class Tiff:
         seen = set()
         while at and at not in seen and at < len(data):
             if limits.max_pages is not None and len(self.directories) >= limits.max_pages:
-                raise RasterError("LimitExceeded", "pages")
+                break  # the first pages stay readable
             seen.add(at)
             try:
                 tags, at = self.directory(at)
