@@ -8,7 +8,8 @@ and by the length of the parsed text (bits a character), wins. Texts are
 lower-cased, and what is neither a letter nor a mark becomes one space.
 
 Labelled text is a bounded sample: ``sample_rows`` texts a language, of any
-length, which together hold ``train_chars`` characters. A text longer than its
+length, which together hold ``train_chars`` characters, fewer where more than
+ALL_CHARS / ``train_chars`` languages share a task's memory. A text longer than its
 share of those gives ``PIECES`` pieces of running text spread over it. Every
 label that has a text with a letter is learned. Prediction reads whole texts and
 the text alone.
@@ -38,6 +39,8 @@ UND = "und"
 PIECES = 8
 #: Label values up to which their sizes are sent to where the texts are read; more are joined.
 BROADCAST_LABELS = 10_000
+#: Characters of the labelled texts of all languages together; automata take some 300 bytes for each.
+ALL_CHARS = 2_000_000
 #: Characters at a text's start that say which language is parsed first; the result does not depend on it.
 GLIMPSE = 100
 #: Ends a piece of labelled text: no parsed text has it, so that no match crosses two pieces.
@@ -149,7 +152,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("__n"))
     near = (F.col("h") / F.lit(2.0**64) + 0.5) < F.least(F.lit(1.0), 3 * sample_rows / F.col("__n"))
     sizes = Workspace(labelled.sparkSession, "langid").save(sizes, "sizes")
-    few = sizes.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    labels = sizes.count()
+    few = labels <= BROADCAST_LABELS
+    train_chars = min(train_chars, max(PIECES, ALL_CHARS // max(1, labels)))
     rows = rows.join(F.broadcast(sizes) if few else sizes, "lang").where(near)
     # no row's share is less than train_chars / sample_rows, so what a text may give is cut to train_chars before the shuffle
     rows = rows.withColumn("pieces", excerpt(normalised("text"), F.lit(train_chars))).groupBy("lang", "h").agg(F.min("pieces").alias("pieces"))
