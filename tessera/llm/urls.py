@@ -40,8 +40,10 @@ from .common import Workspace
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Filters of all levels of a set together; 256 MB.
+#: Filters of all levels of a set together, or of a part of a longer list; 256 MB.
 MAX_BITS = 1 << 31
+#: The most bits that a listed key takes in all levels, however many keys there are to tell it from.
+KEY_BITS = 64
 
 
 def host_of(url: Column) -> Column:
@@ -216,10 +218,18 @@ def judge(spark: SparkSession, df: DataFrame, rules: Sequence[tuple[str, str, st
     longest = sets["domain"].agg(F.max(labels_of(F.col("key")))).first()[0] or 1
     longest = max([1, longest, *(h.count(".") + 1 for _, h, _ in rules)])
     keys = candidates(F.col("host"), F.col("path"), lengths, longest)
-    cascades = build(ws, parts.select("host", "path"), keys, sets, max_bits)
-    out = parts.withColumn("__keys", keys)
-    for name, cascade in cascades.items():
-        out = out.withColumn(f"__{name}", flags(cascade, F.col("__keys")))
+    # a list too long for filters of max_bits is dealt by hash into several, each with a pass of its own
+    many = max(1, -(-sets["domain"].count() * KEY_BITS // max_bits))
+    dealt = F.pmod(F.xxhash64(F.lit("part"), "key"), F.lit(many))
+    out, domains = parts.withColumn("__keys", keys), sets["domain"]
+    for k in range(many):
+        cascades = build(ws if not k else Workspace(spark, "urls"), parts.select("host", "path"), keys, (sets if not k else {}) | {"domain": domains.where(dealt == k)}, max_bits)
+        before = out
+        for name, cascade in cascades.items():
+            out = out.withColumn("__now", flags(cascade, F.col("__keys")))
+            both = F.zip_with(f"__{name}", "__now", lambda a, b: a | b) if f"__{name}" in before.columns else F.col("__now")
+            out = out.withColumn(f"__{name}", both).drop("__now")
+        out = ws.save(out, f"judged-{k}") if many > 1 else out
 
     def hits(action: str) -> Column:
         flag = f"__{action}"
@@ -233,4 +243,4 @@ def judge(spark: SparkSession, df: DataFrame, rules: Sequence[tuple[str, str, st
     domain = F.exists(F.arrays_zip("__keys", "__domain"), lambda x: x["__domain"] & (F.char_length(x["__keys"]["key"]) == x["__keys"]["n_host"]))
     out = out.withColumn("__best", best).withColumn("rule", F.col("__best.key"))
     out = out.withColumn("verdict", F.when(F.when(F.col("__best").isNotNull(), ~F.col("__best.allow")).otherwise(domain), "block").otherwise("allow"))
-    return out.drop("__keys", "__best", *(f"__{n}" for n in cascades))
+    return out.drop("__keys", "__best", *(f"__{n}" for n in sets))

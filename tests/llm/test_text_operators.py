@@ -278,6 +278,19 @@ def test_url_edges(spark):
     assert urls.judge(spark, rows.where("false"), rules).count() == 0
 
 
+def test_lists_longer_than_a_filter_are_judged_in_parts(spark):
+    listed = [f"d{k}.example.com" for k in range(0, 300, 3)]
+    rows = [(k, f"http://{'x.' * (k % 3)}d{k}.example.com/p") for k in range(300)] + [(900, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    blocked = spark.createDataFrame([(d,) for d in listed], "key string")
+    rules = [("allow", "d3.example.com", ""), ("block", "d4.example.com", "/p")]
+    want = {k: "allow" if k == 3 else "block" if k in (4,) or k % 3 == 0 and k < 300 else "allow" for k, _ in rows}
+    for bits in (urls.MAX_BITS, 2000):
+        got = urls.judge(spark, df, rules, blocked, max_bits=bits)
+        assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+        assert {r.page_id: r.verdict for r in got.collect()} == want
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     from tessera.llm.common import Workspace
 
