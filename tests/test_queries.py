@@ -85,7 +85,7 @@ def test_data_sources(spark, folder):
     out = path / "out"
     rows = spark.createDataFrame([("x.bmp", bytearray(bmp.encode(image))), ("y.bmp", bytearray(b"BM"))], "name string, content binary")
     rows.write.format("rasterfile").mode("append").save(str(out))
-    assert sorted(p.name for p in out.iterdir()) == ["x.bmp", "y.bmp"] and bmp.decode((out / "x.bmp").read_bytes()).rgba.tobytes() == image.tobytes()
+    assert sorted(p.name for p in out.iterdir()) == ["_manifest.json", "x.bmp", "y.bmp"] and bmp.decode((out / "x.bmp").read_bytes()).rgba.tobytes() == image.tobytes()
 
 
 def test_sql_functions(spark, folder):
