@@ -55,8 +55,8 @@ BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 19
 #: Columns of the 0/1 matrices that are multiplied at a time.
 COLUMNS = 4096
 
-#: Words whose hashes a task remembers.
-HELD_WORDS = 300_000
+#: Words whose hashes a worker remembers, and runs of words that a tile holds to confirm links.
+HELD_WORDS, HELD_RUNS = 60_000, 60_000
 #: Sets of so many runs at most are named by the runs.
 FEW_RUNS = 64
 
@@ -212,10 +212,11 @@ def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def joined(texts: list[list[bytes]], place: np.ndarray, x: np.ndarray, y: np.ndarray, words: int, percent: int) -> list[int]:
+def joined(texts: list[str], place: np.ndarray, x: np.ndarray, y: np.ndarray, words: int, percent: int) -> list[int]:
     """The least place reachable from each place by the links (x, y) of texts. Each link that joins two is confirmed on the runs of words themselves."""
     root = list(range(int(place.max()) + 1))
     sets: dict[int, set[bytes]] = {}
+    held = 0
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -224,8 +225,13 @@ def joined(texts: list[list[bytes]], place: np.ndarray, x: np.ndarray, y: np.nda
         return i
 
     def runs(i: int) -> set[bytes]:
+        nonlocal held
         if i not in sets:
-            sets[i] = runs_of(texts[i], words)
+            if held > HELD_RUNS:
+                sets.clear()
+                held = 0
+            sets[i] = runs_of(words_of(texts[i]), words)
+            held += len(sets[i])
         return sets[i]
 
     apart = len(root)
@@ -233,8 +239,9 @@ def joined(texts: list[list[bytes]], place: np.ndarray, x: np.ndarray, y: np.nda
         a, b = top(int(place[i])), top(int(place[j]))
         if a == b:
             continue
-        both = len(runs(i) & runs(j))
-        if 100 * both >= percent * (len(runs(i)) + len(runs(j)) - both):
+        one, two = runs(i), runs(j)
+        both = len(one & two)
+        if 100 * both >= percent * (len(one) + len(two) - both):
             root[max(a, b)] = min(a, b)
             apart -= 1
             if apart == 1:
@@ -249,8 +256,8 @@ def linked(tiles: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 
     def spanning(members: list[tuple[int, bool, bool, str]]) -> list[tuple[int, int]]:
         component, place = np.unique([m[0] for m in members], return_inverse=True)
-        texts = [words_of(m[3]) for m in members]
-        sets = [hashed_runs(t, words) for t in texts]
+        texts = [m[3] for m in members]
+        sets = [shingles(t, words) for t in texts]
         size = np.array([len(s) for s in sets])
         one, two = (np.flatnonzero([m[k] for m in members]) for k in (1, 2))
         if not len(one) or not len(two):

@@ -190,9 +190,10 @@ def plain_removed(rows):
 
 def test_links_are_confirmed_on_words(spark, monkeypatch):
     monkeypatch.setattr(neardup, "_WORDS", defaultdict(lambda: 7))  # every word has one hash
-    found = [neardup.words_of(t) for t in ("a b c d e f", "a b c d e f g", "h i j k l m")]
+    texts = ["a b c d e f", "a b c d e f g", "h i j k l m"]
+    found = [neardup.words_of(t) for t in texts]
     place = np.arange(3)
-    assert neardup.joined(found, place, np.array([0, 0, 1]), np.array([2, 1, 2]), 5, 60) == [0, 0, 2]
+    assert neardup.joined(texts, place, np.array([0, 0, 1]), np.array([2, 1, 2]), 5, 60) == [0, 0, 2]
     keys = {neardup.set_key(f, neardup.hashed_runs(f, 5), 5) for f in found}
     assert len(keys) == 3
 

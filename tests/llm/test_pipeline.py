@@ -66,7 +66,7 @@ def test_language_stage_without_labels_keeps_texts_with_letters(spark, sf):
 
 def test_language_stage_depends_on_its_model(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    foreign = spark.createDataFrame([(800_001, "Это предложение на русском языке, которого никто не учил", None, "s", 56), (800_002, "这是一个没有人学过的语言的句子" * 4, "en", "s", 60)], docs.schema)
+    foreign = spark.createDataFrame([(800_001, "Это предложение на русском языке, которого никто не учил", None, "s", 56), (800_002, "这是一个没有人学过的语言的句子" * 4, None, "s", 60)], docs.schema)
     docs = docs.union(foreign)
     got = {r.doc_id: r.lang for r in pipeline.language(spark, docs, sf).collect()}
     labels = {r.doc_id: r.lang for r in docs.collect()}
