@@ -18,6 +18,7 @@ An empty table gives an empty one.
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,20 +27,24 @@ from tessera.llm.common import Workspace, table
 from tessera.llm.queries import tokenizer_path
 
 
-#: Characters that a text's phrases must have on average in the language that fits best, or it is in none of the learned languages.
+#: Characters that a text's phrases must have on average in the language that fits best, if it is written in letters that no learned text has.
 LEAST_PHRASE = 1.5
-#: Shorter texts are too short to tell.
-LEAST_CHARS = 20
+SCRIPTS = ("Latin", "Greek", "Cyrillic", "Armenian", "Georgian", "Hebrew", "Arabic", "Devanagari", "Bengali", "Tamil", "Thai", "Hangul", "Hiragana", "Katakana", "Han")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language, with lang the identified one. Learned from the labels of those not held out; where there are none, all with a letter stay as they are."""
+    """Documents in a learned language, with lang the identified one. Learned from the labels of those not held out; where there are none, all with a letter stay as they are.
+
+    A document is in none if most of its letters are of scripts that no learned text has, and its phrases are short.
+    """
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     if not model.langs:
         return docs.where(langid.has_letter("text"))
-    found = langid.predict(docs, model, lang="__lang", score="__score")
-    short = F.char_length(langid.normalised("text")) < LEAST_CHARS
-    found = found.where((F.col("__lang") != langid.UND) & ((F.col("__score") >= 1 - 1 / LEAST_PHRASE) | short))
+    found = langid.predict(docs, model, lang="__lang", score="__score").where(F.col("__lang") != langid.UND)
+    strange = [s for s in SCRIPTS if not any(regex.search(rf"\p{{{s}}}", t) for t in model.texts)]
+    letters = F.regexp_count("text", F.lit(r"\p{L}"))
+    foreign = F.regexp_count("text", F.lit("[" + "".join(rf"\p{{Is{s}}}" for s in strange) + "]")) if strange else F.lit(0)
+    found = found.where((F.col("__score") >= 1 - 1 / LEAST_PHRASE) | (2 * foreign <= letters))
     return found.withColumn("lang", F.col("__lang")).select(docs.columns)
 
 
