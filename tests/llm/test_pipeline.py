@@ -75,7 +75,8 @@ def test_language_stage_depends_on_its_model(spark, sf):
     assert sum(got[i] == labels[i] for i in got) > 0.95 * len(got)
     french = docs.withColumn("lang", F.when(F.col("lang") == "fr", F.col("lang")))
     assert {r.lang for r in pipeline.language(spark, french, sf).collect()} == {"fr"}
-    learned = docs.union(spark.createDataFrame([(800_003, "Это другое предложение на русском языке, и его текст учит модель узнавать язык " * 3, "ru", "s", 99)], docs.schema))
+    russian = "Это другое предложение на русском языке, и его текст учит модель узнавать язык; никто его не учил. "
+    learned = docs.union(spark.createDataFrame([(800_010 + k, russian * (k + 1), "ru", "s", 99) for k in range(9)], docs.schema))
     found = {r.doc_id: r.lang for r in pipeline.language(spark, learned, sf).collect()}
     assert found[800_001] == "ru" and 800_002 not in found
 
