@@ -24,6 +24,8 @@ BROADCAST_COLOURS = 1 << 16
 CHUNKS_AT_A_TIME = 1 << 16
 #: Logarithm of the registers of a sketch of distinct colours.
 SKETCH_BITS = 12
+#: Bytes of samples that a task holds before it gives them on.
+BATCH_BYTES = 32 << 20
 #: Samples of a row that are summed in one piece.
 ROW_BLOCK = 1 << 16
 
@@ -284,36 +286,56 @@ def retile(chunks: DataFrame, block_w: int, block_h: int, group: Sequence[str] =
     schema = ", ".join([*kinds, *(f"{c} int" for c in names[:-1]), "piece binary"])
     rows = chunks.where("data is not null").select(*group, "plane", "x0", "y0", "chunk_width", "chunk_rows", "width", "height", "samples_per_pixel", "data")
 
+    def pieces(plane, x0, y0, cw, ch, width, height, channels, data):
+        data = np.frombuffer(data, f"V{sample_bytes}").reshape(ch, cw, -1)
+        right, bottom = min(x0 + cw, width), min(y0 + ch, height)
+        for by in range(y0 // block_h, (bottom - 1) // block_h + 1):
+            for bx in range(x0 // block_w, (right - 1) // block_w + 1):
+                left, top = bx * block_w, by * block_h
+                a, b, c, d = max(left, x0), min(left + block_w, right), max(top, y0), min(top + block_h, bottom)
+                yield bx, by, left, top, min(block_w, width - left), min(block_h, height - top), channels, plane, a - left, c - top, b - a, d - c, data[c - y0 : d - y0, a - x0 : b - x0].tobytes()
+
+    def given(out, types, columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], columns)
+
     def cut(batches):
         for batch in batches:
-            n = len(group)
-            for k in range(batch.num_rows):
-                plane, x0, y0, cw, ch, width, height, channels = (c[k].as_py() for c in batch.columns[n:-1])
-                data = np.frombuffer(batch.column(batch.num_columns - 1)[k].as_buffer(), f"V{sample_bytes}").reshape(ch, cw, -1)
-                right, bottom = min(x0 + cw, width), min(y0 + ch, height)
-                out = []
-                for by in range(y0 // block_h, (bottom - 1) // block_h + 1):
-                    for bx in range(x0 // block_w, (right - 1) // block_w + 1):
-                        left, top = bx * block_w, by * block_h
-                        a, b, c, d = max(left, x0), min(left + block_w, right), max(top, y0), min(top + block_h, bottom)
-                        size = (min(block_w, width - left), min(block_h, height - top))
-                        out.append((bx, by, left, top, *size, channels, plane, a - left, c - top, b - a, d - c, data[c - y0 : d - y0, a - x0 : b - x0].tobytes()))
-                own = [batch.column(i).slice(k, 1).take(pa.array([0] * len(out), pa.int32())) for i in range(n)]
-                cols = [pa.array([r[i] for r in out], pa.binary() if i == len(names) - 1 else pa.int32()) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*own, *cols], [*group, *names])
-
-    def join(table: pa.Table) -> pa.Table:
-        first = {c: table.column(c)[0].as_py() for c in names[:7]}
-        block = np.zeros((first["h"], first["w"], first["channels"]), f"V{sample_bytes}")
-        for plane, px, py, pw, ph, piece in zip(*(table.column(c).to_pylist() for c in names[7:]), strict=True):
-            data = np.frombuffer(piece, block.dtype).reshape(ph, pw, -1)
-            at = slice(plane, plane + 1) if data.shape[2] < first["channels"] else slice(None)
-            block[py : py + ph, px : px + pw, at] = data
-        own = [table.column(c).slice(0, 1) for c in (*group, *names[:7])]
-        return pa.table([*own, pa.array([block.tobytes()], pa.binary())], [*group, *names[:7], "samples"])
+            types = [*batch.schema.types[: len(group)], *[pa.int32()] * (len(names) - 1), pa.binary()]
+            out, size = [], 0
+            for row in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.column(batch.num_columns - 1), strict=True):
+                out += [(*row[: len(group)], *piece) for piece in pieces(*row[len(group) : -1], row[-1].as_buffer())]
+                size += row[-1].as_buffer().size
+                if size > BATCH_BYTES:
+                    yield given(out, types, [*group, *names])
+                    out, size = [], 0
+            if out:
+                yield given(out, types, [*group, *names])
+
+    def join(batches):
+        at, block, out, size = None, None, [], 0
+        k = len(group) + 7
+        for batch in batches:
+            types = [*batch.schema.types[:k], pa.binary()]
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:k] != at:
+                    if at is not None:
+                        out.append((*at, block.tobytes()))
+                        size += block.nbytes
+                    at = row[:k]
+                    _, _, _, _, w, h, channels = row[len(group) : k]
+                    block = np.zeros((h, w, channels), f"V{sample_bytes}")
+                plane, px, py, pw, ph, piece = row[k:]
+                data = np.frombuffer(piece, block.dtype).reshape(ph, pw, -1)
+                block[py : py + ph, px : px + pw, slice(plane, plane + 1) if data.shape[2] < channels else slice(None)] = data
+                if size > BATCH_BYTES:
+                    yield given(out, types, [*group, *names[:7], "samples"])
+                    out, size = [], 0
+        if at is not None:
+            yield given([*out, (*at, block.tobytes())], types, [*group, *names[:7], "samples"])
 
     out = ", ".join([*kinds, *(f"{c} int" for c in names[:7]), "samples binary"])
-    return rows.mapInArrow(cut, schema).groupBy(*group, "bx", "by").applyInArrow(join, out)
+    block = [*group, "bx", "by"]
+    return rows.mapInArrow(cut, schema).repartition(*block).sortWithinPartitions(*block).mapInArrow(join, out)
 
 
 def assemble(chunks: DataFrame, pages: DataFrame, group: Sequence[str] = ("path", "page")) -> DataFrame:
