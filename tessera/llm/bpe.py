@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import parts
+from .common import parts, release
 
 #: Runs of text remembered by a worker in each of two generations, which bounds its memory for any corpus.
 CACHE_WORDS = 100_000
@@ -82,6 +82,11 @@ class WordBpe:
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """The end of a task: the next one remembers its own words."""
+        self.cache, self.old = {}, {}
+        release()
+
     def merge(self, word: str) -> list[int]:
         data = word.encode()
         n = len(data)
@@ -171,6 +176,7 @@ def encode_column(text: Column, path: str) -> Column:
         bpe = load(path)
         for a in parts(batches):
             yield pa.array([bpe.encode(x.as_py()) for x in a], pa.binary())
+        bpe.forget()
 
     return encode(text)
 
@@ -203,6 +209,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", out: str = "ids", d
         for a in parts(batches):
             ids = [bpe.encode(x.as_py()) for x in a]
             yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], ["ids", "decoded"])
+        bpe.forget()
 
     pair = df.withColumn("__both", both(F.col(text)))
     return pair.withColumn(out, F.col("__both.ids")).withColumn(decoded, F.col("__both.decoded")).drop("__both")

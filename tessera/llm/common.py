@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -52,6 +54,15 @@ def parts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield column.slice(start, n)
 
 
+def release() -> None:
+    """Gives back what a task has freed: a worker that waits for its next task, or another kind of task, should hold no memory of the last."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_slices(df: DataFrame, columns: list, step: Callable, schema: str) -> DataFrame:
     """mapInArrow over the selected columns, of which the last is the long one; step makes a RecordBatch of each slice.
 
@@ -65,6 +76,8 @@ def map_slices(df: DataFrame, columns: list, step: Callable, schema: str) -> Dat
                 out = f(part)
                 if out.num_rows:
                     yield out
+        del f
+        release()
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -126,4 +139,4 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-__all__ = ["SLICE_BYTES", "WORD", "Workspace", "components", "few", "join_dealt", "map_slices", "parts", "slices", "spread", "table"]
+__all__ = ["SLICE_BYTES", "WORD", "Workspace", "components", "few", "join_dealt", "map_slices", "parts", "release", "slices", "spread", "table"]

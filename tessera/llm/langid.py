@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Workspace
+from .common import Workspace, release
 
 UND = "und"
 #: Pieces of a text that is longer than its share, the first from its start, the last from its end.
@@ -179,6 +179,8 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
         for a in batches:
             found = [model.predict(roots, x.as_py()) for x in a]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang", "score"])
+        del roots
+        release()
 
     out = df.withColumn("__judged", judge(normalised(text)))
     return out.withColumn(lang, F.col("__judged.lang")).withColumn(score, F.col("__judged.score")).drop("__judged")

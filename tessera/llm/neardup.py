@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, join_dealt, map_slices
+from .common import Workspace, components, join_dealt, map_slices, release
 
 WORDS, COORDINATES, BAND = 5, 512, 7
 PERCENT = 75
@@ -280,6 +280,9 @@ def linked(tiles: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
         if len(members) > 1:
             out += spanning(members)
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        members.clear()
+        _WORDS.clear()
+        release()
 
     return rows.mapInArrow(run, "a long, b long")
 
