@@ -82,11 +82,6 @@ class WordBpe:
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def forget(self) -> None:
-        """The end of a task: the next one remembers its own words."""
-        self.cache, self.old = {}, {}
-        release()
-
     def merge(self, word: str) -> list[int]:
         data = word.encode()
         n = len(data)
@@ -162,12 +157,18 @@ _LOADED: dict[str, WordBpe] = {}
 
 
 def load(path: str) -> WordBpe:
-    """The tokenizer of a file, one for each Python worker."""
+    """The tokenizer of a file, one for each Python worker as long as a task needs it."""
     if path not in _LOADED:
         _LOADED[path] = WordBpe(path)
     return _LOADED[path]
 
 
+def unload() -> None:
+    """The end of a task: a worker that waits holds neither vocabulary nor words."""
+    _LOADED.clear()
+    release()
+
+
 def encode_column(text: Column, path: str) -> Column:
     """Binary column of token ids; path must exist on every executor."""
 
@@ -176,7 +177,8 @@ def encode_column(text: Column, path: str) -> Column:
         bpe = load(path)
         for a in parts(batches):
             yield pa.array([bpe.encode(x.as_py()) for x in a], pa.binary())
-        bpe.forget()
+        del bpe
+        unload()
 
     return encode(text)
 
@@ -187,6 +189,8 @@ def decode_column(ids: Column, path: str) -> Column:
         bpe = load(path)
         for a in parts(batches):
             yield pa.array([bpe.decode(x.as_py() or b"") for x in a], pa.string())
+        del bpe
+        unload()
 
     return decode(ids)
 
@@ -209,7 +213,9 @@ def round_trip(df: DataFrame, path: str, text: str = "text", out: str = "ids", d
         for a in parts(batches):
             ids = [bpe.encode(x.as_py()) for x in a]
             yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], ["ids", "decoded"])
-        bpe.forget()
+            del ids
+        del bpe
+        unload()
 
     pair = df.withColumn("__both", both(F.col(text)))
     return pair.withColumn(out, F.col("__both.ids")).withColumn(decoded, F.col("__both.decoded")).drop("__both")

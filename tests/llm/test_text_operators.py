@@ -253,6 +253,18 @@ def test_lists_beside_prose_are_left_out():
     assert html.main_text(f"<p>{LONG}</p><div>{names}</div>") == LONG.strip()
 
 
+def test_waiting_workers_hold_no_tokenizer(spark):
+    path = queries.tokenizer_path(spark)
+    rows = spark.range(64).repartition(8).select(F.concat(F.lit("some words "), "id").alias("text"))
+    assert bpe.round_trip(rows, path).select("ids").distinct().count() == 64
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(bpe._LOADED)], pa.int64())})
+
+    assert [r.n for r in spark.range(64).repartition(8).mapInArrow(held, "n long").distinct().collect()] == [0]
+
+
 def test_extract_keeps_other_columns(spark):
     rows = spark.createDataFrame([(1, "<p>" + LONG, "old"), (1, "<p>" + LONG, "old"), (2, None, None)], "page_id long, html string, text string")
     got = html.extract(rows).orderBy("page_id").collect()
