@@ -2,17 +2,18 @@
 
 A payload is kept as the 8-bit samples of a one-channel PCM file. The file's
 samples are cut where a rolling gear hash of the last 64 bytes has zeros under a
-mask (between ``least`` and ``most`` bytes), and chunks are named by digest. Equal
-payloads are one entry. Of equal chunks one place (the least entry and index)
-owns the bytes; Spark joins on digests find the owners. An entry's ordered list
-of digests, with its own chunks and those that it gets from owners, gives the
-file back; digests of chunks and of the file are checked.
-
-What moves: digests and places; each distinct payload once, compressed, to meet
-the places of its shared chunks; and only the chunks of entries that lack some.
-An entry that owns all its chunks is not written as chunks: its text, stored
-whole, is cut again and its file made from those chunks in memory, so for it the
-check of chunk digests cannot fail and only the digest of the file is a check.
+mask (between ``least`` and ``most`` bytes), and chunks are named by digest.
+Digests that occur in more than one place are counted first. Then texts are read
+again and their chunks written: a chunk that occurs once in its entry's row, one
+that others have too in a table of its own, once. Every entry's file is made of
+chunks read from there by its ordered list of digests, its own and the shared
+ones that a join on digests brings; digests of chunks and of the file are checked.
+
+What moves: digests; the bodies of shared chunks, and all chunks of entries that
+have some. Texts, and entries without shared chunks, are never shuffled. Which
+digests are shared is told by a Bloom filter of at most ``MAX_BITS`` bits; a
+chunk that it takes for shared by mistake is stored and found as those are, so
+a full filter costs shuffling and no result.
 
 A null text is the empty payload. Payloads are padded with zero bytes to a
 positive multiple of 64, and texts of any length are stored whole. Rows without
@@ -23,21 +24,24 @@ empty one.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, map_slices
+from .common import Workspace, join_dealt, map_slices
+from .urls import FEW_KEYS, Level, make_level
 
 BLOCK = 64
 LEAST, MASK_BITS, MOST = 512, 11, 16_384
 RATE = 8000
+#: Bits of the filter of shared digests, 64 MB, and the share of other chunks that it takes for shared while it has room.
+MAX_BITS, FALSE_RATE = 1 << 29, 0.01
 RESULT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 FIELDS = [x.split()[0] for x in RESULT.split(", ")]
 
@@ -132,93 +136,98 @@ def recipes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def payloads(docs: DataFrame, text: str) -> DataFrame:
-    """(key, z) of every distinct payload, compressed."""
+    """The texts that are stored, one a row of docs."""
+    return docs.select(F.col(text).alias("text"))
 
-    def step():
-        squeeze = zstandard.ZstdCompressor(level=3)
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, packed = [], []
-            for x in batch.column(0):
-                n, data = payload(x.as_py())
-                keys.append(hashlib.sha256(n.to_bytes(8, "little") + data).digest())
-                packed.append(squeeze.compress(data[:n]))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], ["key", "z"])
+def places(found: DataFrame) -> DataFrame:
+    """(digest, n) of the chunks that are in more than one place, and of all chunks of payloads given more than once."""
+    return found.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
 
-        return run
 
-    return map_slices(docs, [F.col(text).alias("text")], step, "key binary, z binary").groupBy("key").agg(F.first("z").alias("z"))
+def shared_filter(shared: DataFrame) -> Level | None:
+    """Filter of the digests of a written table; their halves are its two hashes."""
+    n = shared.count()
+    if not n:
+        return None
+    rate = max(FALSE_RATE, 2.0 ** (-MAX_BITS * math.log(2) / n))
+    if n <= FEW_KEYS:
+        keys = halves([r.digest for r in shared.select("digest").collect()])
+    else:
+        keys = shared.select(*(F.conv(F.hex(F.substring("digest", at, 8)), 16, -10).cast("long").alias(f"h{k}") for k, at in ((1, 1), (2, 9))))
+    return make_level(keys, n, 0, rate, MAX_BITS + 64)
 
 
-def places(found: DataFrame) -> DataFrame:
-    """(key, exported, lacking): indices of an entry's chunks that others get from it, and that it gets from others."""
-    entries = found.groupBy("key").agg(F.first("digests").alias("digests"))
-    chunks = entries.select("key", F.posexplode("digests").alias("idx", "digest"))
-    owners = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "idx")).alias("owner")).where("n > 1").select("digest", "owner")
-    shared = chunks.join(owners, "digest").withColumn("owns", (F.col("key") == F.col("owner.key")) & (F.col("idx") == F.col("owner.idx")))
-    return shared.groupBy("key").agg(F.collect_list(F.when(F.col("owns"), F.col("idx"))).alias("exported"), F.collect_list(F.when(~F.col("owns"), F.col("idx"))).alias("lacking"))
+def halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    h = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2)
+    return h[:, 0].copy(), h[:, 1].copy()
 
 
 def store(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """Rows of kind done (result of an entry with all its chunks), own and want (chunks of other entries), and export."""
-    schema = f"kind string, key binary, idx int, digest binary, body binary, {RESULT}"
-    rows = texts.join(shared, "key", "left").select("key", "exported", "lacking", "z")
-    types = [pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    names = ["kind", "key", "idx", "digest", "body", *FIELDS]
+    """Stored chunks, in rows of kind whole (an entry with all its chunks in order), own and want (chunks of other entries, stored there and elsewhere), and export (those stored elsewhere)."""
+    schema = "kind string, key binary, n_bytes long, idx int, digest binary, body binary, digests array<binary>, bodies array<binary>"
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = [pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+    level = shared_filter(shared)
 
     def step():
-        squeeze, expand = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            entries = []
+            for x in batch.column(0):
+                n, data = payload(x.as_py())
+                chunks = split(data)
+                entries.append((hashlib.sha256(n.to_bytes(8, "little") + data).digest(), n, [digest(c) for c in chunks], chunks))
+            names_of = [d for e in entries for d in e[2]]
+            common = level.passes(*halves(names_of)) if level else np.zeros(len(names_of), bool)
             out: list[tuple] = []
-            none = (None,) * len(FIELDS)
-            for key, exported, lacking, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = expand.decompress(z)
-                n = len(text)
-                chunks = split(text + bytes(max(BLOCK, -(-n // BLOCK) * BLOCK) - n))
-                digests = [digest(c) for c in chunks]
-                for i in exported or []:
-                    out.append(("export", None, None, digests[i], squeeze.compress(chunks[i]), *none))
-                gone = set(lacking or [])
-                if not gone:
-                    out.append(("done", key, None, None, None, *read_back(n, digests, chunks)))
-                else:
-                    for i, (d, c) in enumerate(zip(digests, chunks, strict=True)):
-                        out.append(("want", key, i, d, None, n, *none[1:]) if i in gone else ("own", key, i, d, squeeze.compress(c), n, *none[1:]))
+            exported: set[bytes] = set()
+            at = 0
+            for key, n, digests, chunks in entries:
+                elsewhere = common[at : at + len(digests)].tolist()
+                at += len(digests)
+                if not any(elsewhere):
+                    out.append(("whole", key, n, None, None, None, digests, chunks))
+                    continue
+                for i, (d, c, away) in enumerate(zip(digests, chunks, elsewhere, strict=True)):
+                    out.append(("want" if away else "own", key, n, i, d, None if away else c, None, None))
+                    if away and d not in exported:
+                        exported.add(d)
+                        out.append(("export", None, None, None, d, c, None, None))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
         return run
 
-    return map_slices(rows, list(rows.columns), step, schema)
+    return map_slices(texts, ["text"], step, schema)
 
 
-def reconstruct(stored: DataFrame) -> DataFrame:
-    """(key, result) of all entries."""
+def reconstruct(ws: Workspace, stored: DataFrame) -> DataFrame:
+    """(key, result) of all entries, from their stored chunks."""
+    chunks = stored.where("kind = 'export'").groupBy("digest").agg(F.first("body").alias("body"), F.count("*").alias("n"))
+    wants = stored.where("kind = 'want'").select("key", "n_bytes", "idx", "digest").distinct()  # of equal payloads once
+    wants = ws.save(wants, "wants")
+    chunks = ws.save(chunks.drop("n").join(wants.groupBy("digest").agg(F.count("*").alias("n")), "digest"), "shared-chunks")
+    got = join_dealt(wants, chunks, ["digest"], "n").select("key", "n_bytes", "idx", "digest", "body")
     own = stored.where("kind = 'own'").select("key", "n_bytes", "idx", "digest", "body")
-    want = stored.where("kind = 'want'").select("digest", "key", "n_bytes", "idx")
-    got = want.join(stored.where("kind = 'export'").select("digest", "body"), "digest").select("key", "n_bytes", "idx", "digest", "body")
     lists = own.union(got).groupBy("key").agg(F.first("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("idx", "digest", "body"))).alias("chunks"))
+    lists = lists.select("key", "n_bytes", F.col("chunks.digest").alias("digests"), F.col("chunks.body").alias("bodies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            keys, out = [], []
-            for key, n, chunks in zip(*batch.columns, strict=True):
-                chunks = chunks.as_py()
-                keys.append(key.as_py())
-                out.append(read_back(n.as_py(), [c["digest"] for c in chunks], [expand.decompress(c["body"]) for c in chunks]))
+            out = [(key.as_py(), *read_back(n.as_py(), digests.as_py(), bodies.as_py())) for key, n, digests, bodies in zip(*batch.columns, strict=True)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(c) for c in zip(*out, strict=True))], ["key", *FIELDS])
+                yield pa.RecordBatch.from_arrays([pa.array(out_column, t) for out_column, t in zip(zip(*out, strict=True), types, strict=True)], ["key", *FIELDS])
 
-    return stored.where("kind = 'done'").select("key", *FIELDS).union(lists.select("key", "n_bytes", "chunks").mapInArrow(run, f"key binary, {RESULT}"))
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    whole = stored.where("kind = 'whole'").select("key", "n_bytes", "digests", "bodies")
+    return whole.union(lists).mapInArrow(run, f"key binary, {RESULT}")
 
 
 def chunked_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, the read-back result and n_chunks of every row; fails if a file read back differs from the one stored."""
     ws = Workspace(docs.sparkSession, "media")
     found = ws.save(recipes(docs, doc_id, text), "recipes")
-    stored = ws.save(store(payloads(docs, text), places(found)), "store")
-    out = found.select("doc_id", "key", F.size("digests").alias("n_chunks"), "stored_sha256").join(reconstruct(stored), "key", "left")
+    stored = ws.save(store(payloads(docs, text), ws.save(places(found), "shared")), "store")
+    out = found.select("doc_id", "key", F.size("digests").alias("n_chunks"), "stored_sha256").join(reconstruct(ws, stored), "key", "left")
     same = F.coalesce(F.col("stored_sha256") == F.col("media_sha256"), F.lit(False))
     checked = F.when(same, F.col("media_sha256")).otherwise(F.raise_error(F.lit("a stored file was not read back whole")).cast("string"))
     return out.withColumn("media_sha256", checked).select("doc_id", *FIELDS, "n_chunks")

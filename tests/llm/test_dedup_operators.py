@@ -101,6 +101,26 @@ def test_shared_chunks_are_stored_once(spark):
     assert kept < found.select(F.sum(F.size("digests"))).first()[0] / 3
 
 
+def test_every_file_is_made_of_stored_chunks(spark, tmp_path, monkeypatch):
+    shared = "".join(map(chr, rng.integers(33, 126, 30_000)))
+    alone = [(k, f"{k} " + "".join(map(chr, rng.integers(33, 126, 9000)))) for k in range(4)]
+    rows = frame(spark, [*alone, (10, shared), (11, shared), (12, "head" + shared), (13, None)])
+    for few in (media.FEW_KEYS, 0):  # the filter made on the driver and by tasks
+        monkeypatch.setattr(media, "FEW_KEYS", few)
+        found = media.recipes(rows, "doc_id", "text")
+        ws = common.Workspace(spark, "t")
+        stored = ws.save(media.store(media.payloads(rows, "text"), media.places(found)), "store")
+        whole = {bytes(r.key): r for r in stored.where("kind = 'whole'").collect()}
+        for r in found.where("doc_id < 4 or doc_id = 13").collect():
+            kept = whole[bytes(r.key)]
+            assert list(kept.digests) == list(r.digests) == [media.digest(bytes(c)) for c in kept.bodies]
+        assert len(whole) == 5 and stored.where("kind = 'want'").select("key").distinct().count() == 2
+        # a stored chunk that changes is found out, also one of an entry without shared chunks
+        spoiled = stored.withColumn("bodies", F.transform("bodies", lambda c: F.lit(b"x")))
+        with pytest.raises(Exception, match="a chunk differs from its digest"):
+            media.reconstruct(common.Workspace(spark, "t"), spoiled).collect()
+
+
 # --- near-duplicates --------------------------------------------------------------------------------
 
 
