@@ -7,7 +7,8 @@ frames or a palette is the operator itself; those work on one image at a time.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ BROADCAST_COLOURS = 1 << 16
 CHUNKS_AT_A_TIME = 1 << 16
 #: Logarithm of the registers of a sketch of distinct colours.
 SKETCH_BITS = 12
-#: Bytes of samples that a task holds before it gives them on.
-BATCH_BYTES = 32 << 20
+#: Samples that are moved between strips or tiles and blocks at a time; a larger block is a batch of its own.
+BATCH_SAMPLES = 1 << 20
 #: Samples of a row that are summed in one piece.
 ROW_BLOCK = 1 << 16
 
@@ -273,69 +274,159 @@ def first_error(chunks: DataFrame, group: Sequence[str]) -> DataFrame:
     return chunks.where("error is not null").groupBy(*group).agg(F.min_by("error", "idx").alias("error"))
 
 
+def progressions(start: np.ndarray, step: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + step and so on, count numbers of each, one after the other."""
+    first = np.cumsum(count) - count
+    if np.ndim(step) == 0 and step == 1:
+        return np.repeat(start - first, count) + np.arange(count.sum())
+    return np.repeat(start, count) + (np.arange(count.sum()) - np.repeat(first, count)) * np.repeat(step, count)
+
+
+def stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of neighbours that hold at most so much together; a larger one is alone."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + most, "right")))
+        yield start, end
+        start = end
+
+
+def begins(columns: Sequence[pa.Array]) -> np.ndarray:
+    """Whether each row differs from the row before it; the first does."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        if pa.types.is_nested(c.type):
+            values = c.to_pylist()
+            new[1:] |= np.fromiter((a != b for a, b in pairwise(values)), bool, max(len(values) - 1, 0))
+        else:
+            codes = c.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+    return new
+
+
+def flat(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of each value, samples of all values one after the other) of a binary column without nulls, not copied."""
+    offsets = np.frombuffer(column.buffers()[1], "<i8" if pa.types.is_large_binary(column.type) else "<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if (offsets[1:] - offsets[:-1]).max(initial=0) == 0:
+        return np.zeros(len(column), np.int64), np.empty(0, kind)
+    return np.diff(offsets), np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+
+
+def binaries(samples: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of samples that are cut at ends."""
+    offsets = pa.array(np.concatenate([[0], ends]) * samples.itemsize, pa.int32())  # fails beyond what a column holds
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets.buffers()[1], pa.py_buffer(samples.view(np.uint8))])
+
+
 def retile(chunks: DataFrame, block_w: int, block_h: int, group: Sequence[str] = ("path", "page"), sample_bytes: int = 8) -> DataFrame:
     """(group, bx, by, x0, y0, w, h, channels, samples) of pages in blocks of another size than their strips or tiles.
 
     chunks are those of enumerate_chunks with data (samples of sample_bytes, row by row).
     A piece is cut out of a chunk for each block that it reaches into and sent to that
     block, so no task holds more than a block's pieces, whatever a page's size; what is
-    missing stays zero, and what lies beyond the page is cut off.
+    missing stays zero, and what lies beyond the page is cut off. Pieces of one block that
+    a task has at hand together travel as one row, and samples are moved by their places,
+    those of many pieces at once.
     """
+    k = len(group)
     kinds = [f"{c} {chunks.schema[c].dataType.simpleString()}" for c in group]
-    names = ["bx", "by", "x0", "y0", "w", "h", "channels", "plane", "px", "py", "pw", "ph", "piece"]
-    schema = ", ".join([*kinds, *(f"{c} int" for c in names[:-1]), "piece binary"])
-    rows = chunks.where("data is not null").select(*group, "plane", "x0", "y0", "chunk_width", "chunk_rows", "width", "height", "samples_per_pixel", "data")
-
-    def pieces(plane, x0, y0, cw, ch, width, height, channels, data):
-        data = np.frombuffer(data, f"V{sample_bytes}").reshape(ch, cw, -1)
-        right, bottom = min(x0 + cw, width), min(y0 + ch, height)
-        for by in range(y0 // block_h, (bottom - 1) // block_h + 1):
-            for bx in range(x0 // block_w, (right - 1) // block_w + 1):
-                left, top = bx * block_w, by * block_h
-                a, b, c, d = max(left, x0), min(left + block_w, right), max(top, y0), min(top + block_h, bottom)
-                yield bx, by, left, top, min(block_w, width - left), min(block_h, height - top), channels, plane, a - left, c - top, b - a, d - c, data[c - y0 : d - y0, a - x0 : b - x0].tobytes()
-
-    def given(out, types, columns):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], columns)
+    names = [*group, "bx", "by", "x0", "y0", "w", "h", "channels"]
+    key = ", ".join([*kinds, *(f"{c} int" for c in names[k:])])
+    rows = chunks.select(*group, *(long(F.col(c)).alias(c) for c in ("plane", "x0", "y0", "chunk_width", "chunk_rows", "width", "height", "samples_per_pixel")), "data")
+    kind = np.dtype(f"V{sample_bytes}")
 
     def cut(batches):
         for batch in batches:
-            types = [*batch.schema.types[: len(group)], *[pa.int32()] * (len(names) - 1), pa.binary()]
-            out, size = [], 0
-            for row in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.column(batch.num_columns - 1), strict=True):
-                out += [(*row[: len(group)], *piece) for piece in pieces(*row[len(group) : -1], row[-1].as_buffer())]
-                size += row[-1].as_buffer().size
-                if size > BATCH_BYTES:
-                    yield given(out, types, [*group, *names])
-                    out, size = [], 0
-            if out:
-                yield given(out, types, [*group, *names])
+            if batch.columns[-1].null_count:  # a filter in the plan would make data twice where it is an expression
+                batch = batch.filter(batch.columns[-1].is_valid())
+            if not batch.num_rows:
+                continue
+            plane, x0, y0, cw, ch, width, height, channels = (c.to_numpy() for c in batch.columns[k:-1])
+            page = np.cumsum(begins(batch.columns[:k])) if k else np.zeros(batch.num_rows, np.int64)
+            sizes, data = flat(batch.columns[-1], kind)
+            per = cw * ch * sample_bytes
+            inner = sizes // np.maximum(per, 1)
+            if ((per < 1) | (inner * per != sizes) | (inner != 1) & (inner != channels)).any():
+                raise ValueError("samples of a strip or tile")
+            data, sizes = data.view(kind), sizes // sample_bytes
+            at = np.cumsum(sizes) - sizes
+            right, bottom = np.minimum(x0 + cw, width), np.minimum(y0 + ch, height)
+            inside = (right > x0) & (bottom > y0) & ((inner == channels) | (plane >= 0) & (plane < channels))
+            across, down = (right - 1) // block_w - x0 // block_w + 1, (bottom - 1) // block_h - y0 // block_h + 1
+            reached = np.where(inside, across * down, 0)
+            for i, j in stretches(sizes, BATCH_SAMPLES):
+                of = np.repeat(np.arange(i, j), reached[i:j])
+                nth = progressions(np.zeros(j - i, np.int64), 1, reached[i:j])
+                bx, by = x0[of] // block_w + nth % across[of], y0[of] // block_h + nth // across[of]
+                order = np.lexsort((bx, by, page[of]))
+                of, bx, by = of[order], bx[order], by[order]
+                left, top = np.maximum(bx * block_w, x0[of]), np.maximum(by * block_h, y0[of])
+                pw, ph = np.minimum((bx + 1) * block_w, right[of]) - left, np.minimum((by + 1) * block_h, bottom[of]) - top
+                start = at[of] + ((top - y0[of]) * cw[of] + left - x0[of]) * inner[of]
+                place = np.stack([plane[of], inner[of], left - bx * block_w, top - by * block_h, pw, ph], 1).astype(np.int32)
+                for a, b in stretches(pw * ph * inner[of], BATCH_SAMPLES):
+                    o, x, y = of[a:b], bx[a:b], by[a:b]
+                    lines, n = progressions(start[a:b], cw[o] * inner[o], ph[a:b]), np.repeat(pw[a:b] * inner[o], ph[a:b])
+                    out, done = np.empty(n.sum(), kind), 0
+                    for c, d in stretches(n, BATCH_SAMPLES):
+                        found = data[progressions(lines[c:d], 1, n[c:d])]
+                        out[done : done + len(found)] = found
+                        done += len(found)
+                    new = np.ones(b - a, bool)
+                    new[1:] = (np.diff(page[o]) != 0) | (np.diff(y) != 0) | (np.diff(x) != 0)
+                    new = np.flatnonzero(new)
+                    ends, f = np.append(new[1:], b - a), o[new]
+                    block = [x[new], y[new], x[new] * block_w, y[new] * block_h, np.minimum(block_w, width[f] - x[new] * block_w), np.minimum(block_h, height[f] - y[new] * block_h), channels[f]]
+                    places = pa.ListArray.from_arrays(pa.array(np.append(0, ends) * place.shape[1], pa.int32()), pa.array(place[a:b].ravel()))
+                    values = binaries(out, np.cumsum(pw[a:b] * ph[a:b] * inner[o])[ends - 1])
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(f)) for c in batch.columns[:k]), *(pa.array(v, pa.int32()) for v in block), places, values], [*names, "places", "pieces"])
+
+    def given(keys, samples, ends):
+        return pa.RecordBatch.from_arrays([*keys, binaries(samples, ends)], [*names, "samples"])
 
     def join(batches):
-        at, block, out, size = None, None, [], 0
-        k = len(group) + 7
+        held, rest = None, None  # key and samples of the block that the next batch may go on with
         for batch in batches:
-            types = [*batch.schema.types[:k], pa.binary()]
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:k] != at:
-                    if at is not None:
-                        out.append((*at, block.tobytes()))
-                        size += block.nbytes
-                    at = row[:k]
-                    _, _, _, _, w, h, channels = row[len(group) : k]
-                    block = np.zeros((h, w, channels), f"V{sample_bytes}")
-                plane, px, py, pw, ph, piece = row[k:]
-                data = np.frombuffer(piece, block.dtype).reshape(ph, pw, -1)
-                block[py : py + ph, px : px + pw, slice(plane, plane + 1) if data.shape[2] < channels else slice(None)] = data
-                if size > BATCH_BYTES:
-                    yield given(out, types, [*group, *names[:7], "samples"])
-                    out, size = [], 0
-        if at is not None:
-            yield given([*out, (*at, block.tobytes())], types, [*group, *names[:7], "samples"])
-
-    out = ", ".join([*kinds, *(f"{c} int" for c in names[:7]), "samples binary"])
-    block = [*group, "bx", "by"]
-    return rows.mapInArrow(cut, schema).repartition(*block).sortWithinPartitions(*block).mapInArrow(join, out)
+            if not batch.num_rows:
+                continue
+            keys = batch.columns[: len(names)]
+            count = batch.column(len(names)).value_lengths().to_numpy() // 6
+            if held is not None:
+                keys, count = [pa.concat_arrays(c) for c in zip(held, keys, strict=True)], np.append(0, count)
+            block = np.flatnonzero(begins(keys))
+            w, h, channels = (c.take(pa.array(block)).to_numpy().astype(np.int64) for c in keys[-3:])
+            plane, inner, px, py, pw, ph = batch.column(len(names)).flatten().to_numpy().reshape(-1, 6).T.astype(np.int64)
+            data = flat(batch.columns[-1], kind)[1].view(kind)
+            until = np.append(0, np.cumsum(count))[np.append(block[1:], len(count))]  # pieces up to the end of each block
+            sizes, done, p = w * h * channels, 0, 0
+            for i, j in stretches(sizes, BATCH_SAMPLES):
+                ends, q = np.cumsum(sizes[i:j]), until[j - 1]
+                out = np.zeros(ends[-1], kind)
+                if rest is not None:
+                    out[: len(rest)], rest = rest, None
+                of = np.repeat(np.arange(i, j), np.diff(until[i:j], prepend=p))
+                apart = inner[p:q] < channels[of]
+                start = (ends - sizes[i:j])[of - i] + (py[p:q] * w[of] + px[p:q]) * channels[of] + np.where(apart, plane[p:q], 0)
+                lines, n = progressions(start, w[of] * channels[of], ph[p:q]), np.repeat(pw[p:q] * inner[p:q], ph[p:q])
+                step = np.repeat(np.where(apart, channels[of], 1), ph[p:q])
+                for c, d in stretches(n, BATCH_SAMPLES):
+                    total = int(n[c:d].sum())
+                    out[progressions(lines[c:d], step[c:d], n[c:d])] = data[done : done + total]
+                    done += total
+                p = q
+                if j == len(block):  # its last block may go on
+                    held, j = [c.take(pa.array(block[-1:])) for c in keys], j - 1
+                    rest = out[len(out) - sizes[-1] :].copy()
+                    out, ends = out[: len(out) - sizes[-1]], ends[:-1]
+                if j > i:
+                    yield given([c.take(pa.array(block[i:j])) for c in keys], out, ends)
+        if held is not None:
+            yield given(held, rest, np.array([len(rest)]))
+
+    block = names[: k + 2]
+    return rows.mapInArrow(cut, f"{key}, places array<int>, pieces binary").repartition(*block).sortWithinPartitions(*block).mapInArrow(join, f"{key}, samples binary")
 
 
 def assemble(chunks: DataFrame, pages: DataFrame, group: Sequence[str] = ("path", "page")) -> DataFrame:

@@ -22,6 +22,8 @@ from tessera.sources import readers, tiff
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TILE = 64
+#: Pages that a task makes up and cuts.
+PAGES_A_TASK = 8192
 
 
 def query(sql: str | None = None):
@@ -394,15 +396,19 @@ RETILED_SQL = """with pages_ as (select p_partkey as path, (p_partkey % 47 + 1):
 @query(RETILED_SQL)
 def retiled(spark, sf_dir):
     """Strips, tiles and planes of pages in blocks of another size."""
+    parts = table(spark, sf_dir, "part").select("p_partkey")
+    parts = parts.repartition(max(spark.sparkContext.defaultParallelism, -(-parts.count() // PAGES_A_TASK)))  # few bytes of keys are many of samples
     key = F.col("p_partkey").cast("long")
     height, tile = key % 31 + 1, F.when(key % 3 == 0, F.lit(16).cast("long"))
-    pages = table(spark, sf_dir, "part").select(key.alias("path"), F.lit(0).alias("page"), (key % 47 + 1).alias("width"), height.alias("height"), (key % 3 + 1).alias("samples_per_pixel"),
+    pages = parts.select(key.alias("path"), F.lit(0).alias("page"), (key % 47 + 1).alias("width"), height.alias("height"), (key % 3 + 1).alias("samples_per_pixel"),
         F.when(key % 2 == 0, 2).otherwise(1).alias("planar"), tile.alias("tile_w"), tile.alias("tile_h"), F.least(key % 7 + 1, height).alias("rows_per_strip"))
     chunks = R.enumerate_chunks(pages)
-    inner = F.when(F.col("planar") == 2, 1).otherwise(F.col("samples_per_pixel"))
-    plane, x0, y0, width = (F.col(c) for c in ("plane", "x0", "y0", "chunk_width"))
-    value = lambda i: (F.col("path") + 31 * (plane + i % inner) + 7 * (x0 + P.idiv(i, inner) % width) + 13 * (y0 + P.idiv(i, inner * width))) % 251
-    data = P.bytes_of(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunk_rows") * width * inner - 1), value))
+    inner = F.when(F.col("planar") == 2, 1).otherwise(F.col("samples_per_pixel")).cast("int")
+    # 7 x goes through all remainders by 251 before it repeats, so a row is a part of one line for each number of samples, from the x where 7 x is the row's first value: 36 is the inverse of 7
+    line = F.element_at(F.array(*(F.lit(bytes((7 * x + 31 * c) % 251 for x in range(251 + 47) for c in range(n))) for n in (1, 2, 3))), inner)
+    x = lambda y: (F.col("path") + 31 * F.col("plane") + 7 * F.col("x0") + 13 * (F.col("y0") + y)) % 251 * 36 % 251
+    row = lambda y: F.substring(line, (x(y) * inner + 1).cast("int"), (F.col("chunk_width") * inner).cast("int"))
+    data = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("chunk_rows") - 1), F.lit(b""), lambda rows, y: F.concat(rows, row(y)))
     blocks = R.retile(chunks.withColumn("data", data), 20, 12, sample_bytes=1)
     return blocks.select("path", "bx", "by", "w", "h", F.sha2("samples", 256).alias("digest"))
 

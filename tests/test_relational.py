@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tessera.functions import palette as palettes
 from tessera.operators import colours as C
 from tessera.operators import rasters as R
+from tessera.plans import queries
 
 rng = np.random.default_rng(8)
+PAGES = "path string, page int, width long, height long, samples_per_pixel long, planar int, tile_w long, tile_h long, rows_per_strip long"
 
 
 def plan(df):
@@ -164,6 +166,78 @@ def test_retiled_pages(spark, planar, tile):
     assert np.frombuffer(some.samples, "<i8").reshape(some.h, some.w, -1)[0, 0, 0] == 0
 
 
+def test_retiled_pages_are_dealt_to_all_cores_and_made_once(spark, sf):
+    got = plan(queries.retiled(spark, sf)).split("== Physical Plan ==")[1]
+    scan, cut = got.index("parquet"), got.rindex("MapInArrow")
+    assert "RoundRobinPartitioning(4)" in got[cut:scan]
+    df = R.enumerate_chunks(spark.createDataFrame([("p", 0, 5, 5, 1, 1, None, None, 7)], PAGES)).withColumn("data", F.unhex(F.repeat(F.substring("path", 2, 0), F.col("idx").cast("int"))))
+    assert plan(R.retile(df, 3, 3, sample_bytes=1)).split("== Physical Plan ==")[1].count("unhex") == 1
+
+
+def test_a_block_of_a_task_travels_as_one_row(spark):
+    pages = spark.range(50).select("id", F.lit(0).alias("page"), *(F.lit(v).cast("long").alias(c) for c, v in (("width", 40), ("height", 24), ("samples_per_pixel", 3))), F.lit(2).alias("planar"),
+        *(F.lit(None).cast("long").alias(c) for c in ("tile_w", "tile_h")), F.lit(1).cast("long").alias("rows_per_strip"))
+    df = R.enumerate_chunks(pages.coalesce(1)).withColumn("data", F.unhex(F.repeat(F.lit("07"), 40)))
+    got = R.retile(df, 20, 12, ["id", "page"], 1)
+    assert {bytes(r.samples) for r in got.collect()} == {b"\7" * 720}
+    nodes, shuffled = [got._jdf.queryExecution().executedPlan().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().startswith("ShuffleQueryStage"):
+            shuffled.append(node.plan().metrics().apply("shuffleRecordsWritten").value())
+        elif node.nodeName().startswith("ResultQueryStage"):
+            nodes.append(node.plan())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert shuffled == [200]  # of 7,200 pieces
+
+
+def test_retiled_pages_of_all_kinds_in_small_batches(spark):
+    pages, chunks, want = [], [], {}
+    for n, (w, h, channels, planar, tile) in enumerate([(31, 17, 3, 2, None), (47, 29, 2, 1, 16), (1, 1, 1, 1, None), (20, 12, 3, 2, 16), (41, 25, 1, 2, None)]):
+        pages.append((None if n == 1 else f"p{n}", n % 2, w, h, channels, planar, tile, tile, 4))
+        want[pages[-1][:2]] = rng.integers(0, 256, (h, w, channels, 3)).astype(np.uint8)
+    found = R.enumerate_chunks(spark.createDataFrame(pages, PAGES))
+    for r in found.collect():
+        image = want[r.path, r.page]
+        part = image[r.y0 : r.y0 + r.chunk_rows, r.x0 : r.x0 + r.chunk_width, slice(r.plane, r.plane + 1) if r.planar == 2 else slice(None)]
+        data = np.zeros((r.chunk_rows, r.chunk_width, *part.shape[2:]), np.uint8)
+        data[: part.shape[0], : part.shape[1]] = part
+        lost = r.path == "p0" and r.idx == 2
+        if lost:
+            part[:] = 0
+        chunks.append((*r, None if lost else bytearray(data.tobytes())))
+    df = spark.createDataFrame(chunks, found.schema.add("data", "binary"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        rows = R.retile(df.repartition(3, "idx"), 20, 12, sample_bytes=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == sum(-(-p[2] // 20) * -(-p[3] // 12) for p in pages)
+    for r in rows:
+        image = want[r.path, r.page][r.y0 : r.y0 + 12, r.x0 : r.x0 + 20]
+        assert (r.x0, r.y0, r.h, r.w, r.channels) == (r.bx * 20, r.by * 12, *image.shape[:3]) and bytes(r.samples) == image.tobytes()
+
+
+def test_blocks_and_strips_larger_than_a_batch(spark):
+    w, h = 1300, 1000
+    image = rng.integers(0, 256, (h, w)).astype(np.uint8)
+    assert image.size > R.BATCH_SAMPLES
+    for rows, block in ((h, (w, h)), (h, (7, 400)), (3, (1200, 1100))):
+        found = R.enumerate_chunks(spark.createDataFrame([("p", 0, w, h, 1, 1, None, None, rows)], PAGES))
+        df = spark.createDataFrame([(*r, bytearray(image[r.y0 : r.y0 + r.chunk_rows].tobytes())) for r in found.collect()], found.schema.add("data", "binary"))
+        back = np.zeros_like(image)
+        for r in R.retile(df, *block, sample_bytes=1).collect():
+            back[r.y0 : r.y0 + r.h, r.x0 : r.x0 + r.w] = np.frombuffer(r.samples, np.uint8).reshape(r.h, r.w)
+        assert (back == image).all()
+
+
+def test_strips_of_another_length_are_an_error(spark):
+    df = R.enumerate_chunks(spark.createDataFrame([("p", 0, 5, 5, 3, 1, None, None, 5)], PAGES))
+    for n in (74, 50):
+        with pytest.raises(Exception, match="samples of a strip or tile"):
+            R.retile(df.withColumn("data", F.unhex(F.repeat(F.lit("00"), n))), 3, 3, sample_bytes=1).collect()
+
+
 def test_running_sums_of_long_rows(spark):
     px = spark.range(3000).select((F.col("id") % 2).alias("row"), (F.col("id") / 2).cast("long").alias("x"), (F.col("id") * 37 % 256).alias("d"))
     px = px.union(spark.createDataFrame([(None, 0, 250), (None, 1, 10)], "row long, x long, d long"))
